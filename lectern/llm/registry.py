@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontamination
+from . import chat, decontamination, warc
+from .chat import op2_perspectives
 from .decontamination import op10_decontamination
 from .mixing import op5_mixing
 from .quality_ranking import op7_quality_ranking
 from .quality_rules import op1_quality_rules
 from .secrets import op3_secrets
 from .token_counts import op4_token_counts
+from .warc import op9_warc
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_secrets, op4_token_counts, op5_mixing, op7_quality_ranking, op10_decontamination)}
-ORACLES: dict[str, str] = {"op10_decontamination": decontamination.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_perspectives, op3_secrets, op4_token_counts, op5_mixing, op7_quality_ranking, op9_warc, op10_decontamination)}
+ORACLES: dict[str, str] = {"op2_perspectives": chat.ORACLE, "op9_warc": warc.ORACLE, "op10_decontamination": decontamination.ORACLE}
