@@ -14,7 +14,7 @@ from lectern.llm.common import materialise, table
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects (predicted 0)."""
-    ranker = quality_ranking.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    ranker = quality_ranking.train(docs, table(spark, sf_dir, "labels"))
     scored = quality_ranking.with_score(docs, ranker, *docs.columns)
     return scored.where("predicted = 1").select(*docs.columns)
 

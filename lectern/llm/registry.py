@@ -6,6 +6,7 @@ from . import chat, decontamination, jaccard, warc
 from .chat import op2_perspectives
 from .decontamination import op10_decontamination
 from .jaccard import op8_jaccard
+from .language_model import op6_language_model
 from .mixing import op5_mixing
 from .quality_ranking import op7_quality_ranking
 from .quality_rules import op1_quality_rules
@@ -13,5 +14,5 @@ from .secrets import op3_secrets
 from .token_counts import op4_token_counts
 from .warc import op9_warc
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_perspectives, op3_secrets, op4_token_counts, op5_mixing, op7_quality_ranking, op8_jaccard, op9_warc, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_perspectives, op3_secrets, op4_token_counts, op5_mixing, op6_language_model, op7_quality_ranking, op8_jaccard, op9_warc, op10_decontamination)}
 ORACLES: dict[str, str] = {"op2_perspectives": chat.ORACLE, "op8_jaccard": jaccard.ORACLE, "op9_warc": warc.ORACLE, "op10_decontamination": decontamination.ORACLE}
