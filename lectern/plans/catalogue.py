@@ -2,14 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import layout_queries
 
-from pyspark.sql import DataFrame, SparkSession
+_MODULES = (layout_queries,)
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The query used as a smoke check."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
