@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import layout_queries
+from . import data_queries, layout_queries, text_queries
 
-_MODULES = (layout_queries,)
+_MODULES = (layout_queries, text_queries, data_queries)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
+flagship = text_queries.t02_fair_topk
