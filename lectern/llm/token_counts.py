@@ -41,6 +41,8 @@ _BEYOND_LATIN = re.compile("[ʰ-\U0010ffff]")
 _ANY_PIECE = regex.compile(PIECE)
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 END = "</w>"
+#: Keys of a node for the token that ends there; letters are never longer than one.
+OPEN, CLOSED = "open", "closed"
 
 
 def byte_letters() -> list[str]:
@@ -69,11 +71,11 @@ class PrefixCounter:
     def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]], special: list[str]):
         self.vocabulary, self.ranks = vocabulary, {tuple(m): k for k, m in enumerate(merges)}
         self.letters = byte_letters()
-        self.longest = max(len(t.removesuffix(END)) for t in vocabulary)
+        self.names = {k: t for t, k in vocabulary.items()}
+        self.tree = self._tree(vocabulary)
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.follows: dict[tuple[str, str], bool] = {}
+        self.follows: dict[int, bool] = {}
         self.edges: tuple[dict, dict] = ({}, {})
-        self.made: dict[str, bool] = {}
         self.known: dict[str, int] = {}
         self.words = _Words(self)
 
@@ -83,6 +85,18 @@ class PrefixCounter:
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in j["model"]["merges"]]
         return cls(j["model"]["vocab"], merges, [t["content"] for t in j.get("added_tokens", [])])
 
+    @staticmethod
+    def _tree(vocabulary: dict[str, int]) -> dict:
+        """The tokens by their letters; a node has the token that ends there, without and with the end mark."""
+        root: dict = {}
+        for token, k in vocabulary.items():
+            body, kind = (token[: -len(END)], CLOSED) if token.endswith(END) and token != END else (token, OPEN)
+            node = root
+            for letter in body:
+                node = node.setdefault(letter, {})
+            node[kind] = k
+        return root
+
     def merged(self, symbols: list[str], steps: int | None = None) -> list[str]:
         """The merges in order of rank, leftmost first, until none applies (or ``steps`` are done)."""
         symbols = list(symbols)
@@ -128,23 +142,20 @@ class PrefixCounter:
 
     def is_made(self, token: str) -> bool:
         """Whether the merges turn the letters of ``token`` into it."""
-        found = self.made.get(token)
-        if found is None:
-            found = self.made[token] = len(self.merged(self.symbols(token))) == 1
-        return found
-
-    def may_follow(self, left: str, token: str) -> bool:
-        """Whether ``token`` stays whole after ``left`` (empty: at the start), and ``left`` before it:
-        no two symbols that meet at the border at the same time have a merge that comes before their own."""
-        if not self.is_made(token):
-            return False
-        if not left:
-            return True
-        found = self.follows.get((left, token))
-        if found is None:
-            if len(self.follows) > 2_000_000:
-                self.follows.clear()
-            found = self.follows[left, token] = self._border_holds(self.edge(left, 1), self.edge(token, 0))
+        return len(self.merged(self.symbols(token))) == 1
+
+    def may_follow(self, left: int, token: int) -> bool:
+        """Whether ``token`` stays whole after ``left`` (-1: at the start), and ``left`` before it: no two
+        symbols that meet at the border at the same time have a merge that comes before their own."""
+        if len(self.follows) > 2_000_000:
+            self.follows.clear()
+        if left < 0:
+            found = self.is_made(self.names[token])
+        else:
+            alone = self.follows.get(-1 << 20 | token)
+            found = self.may_follow(-1, token) if alone is None else alone
+            found = found and self._border_holds(self.edge(self.names[left], 1), self.edge(self.names[token], 0))
+        self.follows[left << 20 | token] = found
         return found
 
     def _border_holds(self, xs: list[tuple[str, float, float]], ys: list[tuple[str, float, float]]) -> bool:
@@ -162,20 +173,31 @@ class PrefixCounter:
             else:
                 j += 1
 
-    def _step(self, spelled: str, i: int, last: list[str], count: list[int], end: str) -> tuple[str, int]:
-        vocabulary, may_follow = self.vocabulary, self.may_follow
-        for j in range(max(0, i - self.longest), i):
-            token = spelled[j:i] + end
-            if token in vocabulary and may_follow(last[j], token):
-                return token, count[j] + 1
-        raise ValueError(f"no token ends at {i} of {spelled!r}")
-
-    def open_table(self, spelled: str, upto: int) -> tuple[list[str], list[int]]:
-        """Last token and number of tokens of each prefix that does not end the piece."""
-        last, count = [""] * (upto + 1), [0] * (upto + 1)
-        for i in range(1, upto + 1):
-            last[i], count[i] = self._step(spelled, i, last, count, "")
-        return last, count
+    def walk(self, spelled: str, every: bool) -> tuple[list[int], list[int]]:
+        """Tokens of each prefix that does not end the piece, and of each that does (``every``; else only of the
+        whole). From each start the tokens along the letters are tried; just one that ends at a place may follow."""
+        n = len(spelled)
+        last, count, ended = [-1] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+        follows, tree = self.follows, self.tree
+        for j in range(n):
+            node, left = tree, last[j]
+            for i in range(j + 1, n + 1):
+                node = node.get(spelled[i - 1])
+                if node is None:
+                    break
+                if i < n and last[i] < 0 and (token := node.get(OPEN)) is not None:
+                    ok = follows.get(left << 20 | token)
+                    if ok is None:
+                        ok = self.may_follow(left, token)
+                    if ok:
+                        last[i], count[i] = token, count[j] + 1
+                if (every or i == n) and not ended[i] and (token := node.get(CLOSED)) is not None:
+                    ok = follows.get(left << 20 | token)
+                    if ok is None:
+                        ok = self.may_follow(left, token)
+                    if ok:
+                        ended[i] = count[j] + 1
+        return count, ended
 
     def spell(self, piece: str) -> str:
         return "".join(map(self.letters.__getitem__, piece.encode("utf-8")))
@@ -185,20 +207,13 @@ class PrefixCounter:
         if found is None:
             if len(self.known) > MEMORY:
                 self.known.clear()
-            s = self.spell(piece)
-            if s + END in self.vocabulary and self.may_follow("", s + END):
-                found = 1
-            else:
-                found = self._step(s, len(s), *self.open_table(s, len(s) - 1), END)[1]
-            self.known[piece] = found
+            found = self.known[piece] = self.walk(self.spell(piece), False)[1][-1]
         return found
 
     def piece_prefix_counts(self, piece: str) -> list[int]:
         """Tokens of piece[:1], piece[:2], ... each taken as a whole piece."""
-        s = self.spell(piece)
-        last, count = self.open_table(s, len(s) - 1)
-        ends = accumulate(len(c.encode("utf-8")) for c in piece)
-        return [self._step(s, e, last, count, END)[1] for e in ends]
+        ended = self.walk(self.spell(piece), True)[1]
+        return [ended[e] for e in accumulate(len(c.encode("utf-8")) for c in piece)]
 
     def segments(self, text: str) -> Iterator[tuple[str, bool]]:
         """The text between special strings, and those strings."""
