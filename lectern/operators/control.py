@@ -14,7 +14,8 @@ TURNS = {3: 180, 6: 90, 8: -90}
 
 
 def ingest(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, bytes, sha256, kind, problem) of the files in a folder; the kind follows from the content, not the name."""
+    """(path, bytes, sha256, kind, problem) of the files in a folder; the kind follows from the content, not the name.
+    Files without content are not listed: the reader leaves them out."""
     raw = spark.read.format("binaryFile").load(folder)
     n = F.octet_length("content")
     kind = F.when(F.startswith("content", F.lit("%PDF-").cast("binary")), "pdf").otherwise("image")
