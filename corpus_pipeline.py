@@ -9,14 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm import decontamination, jaccard, mixing, quality_ranking, secrets
-from lectern.llm.common import materialise, table
+from lectern.llm.common import materialise, set_aside, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects (predicted 0)."""
     ranker = quality_ranking.train(docs, table(spark, sf_dir, "labels"))
+    docs, back = set_aside(docs, "score", "predicted")
     scored = quality_ranking.with_score(docs, ranker, *docs.columns)
-    return scored.where("predicted = 1").select(*docs.columns)
+    return back(scored.where("predicted = 1").select(*docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +27,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a window of a benchmark item."""
+    docs, back = set_aside(docs, "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     found = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), *docs.columns)
-    return found.where("not contaminated").select(*docs.columns)
+    return back(found.where("not contaminated").select(*docs.columns))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

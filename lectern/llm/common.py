@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,3 +57,10 @@ def lowered(text: str) -> str:
     if text.isascii():
         return text.lower()
     return text.encode("utf-8").lower().decode("utf-8")
+
+
+def set_aside(docs: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with other names for its columns that clash with ``names``, and what gives them their names back."""
+    taken = {n.lower() for n in names}
+    clash = {c: f"_aside_{i}" for i, c in enumerate(docs.columns) if c.lower() in taken}
+    return docs.withColumnsRenamed(clash), lambda out: out.withColumnsRenamed({v: k for k, v in clash.items()})

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import set_aside, table
 
 #: kind -> pattern, in the order in which spans at the same place are listed.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -29,9 +29,12 @@ KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Least log-likelihood ratio of a secret: random must be a thousand times as likely.
 LEAST_RATIO = math.log(1000)
+#: Weight of a character's own frequency against its transitions.
+BACK_OFF = 5.0
 #: Bounds of the labelled samples: random strings made, and documents whose words serve as identifiers.
 RANDOM_STRINGS, SAMPLE_DOCS = 20_000, 400
 
+_ADDED = ("n_assign", "n_access", "n_hex", "base_spans", "span_list", "_t", "_assign", "_values", "_access", "_hex", "_runs")
 _SPAN = "array<struct<start:bigint,order:int,end:bigint,kind:string>>"
 
 
@@ -46,22 +49,28 @@ def labelled_samples(docs: DataFrame, random_strings: int = RANDOM_STRINGS, samp
     plain = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(F.regexp_replace("text", f"{ASSIGN}|{ACCESS}|{HEX}", " ").alias("text"))
     word = plain.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), 0)).alias("w")).distinct()
     w = F.col("w")
-    spelled = F.array(w, F.upper(w), F.lower(w), F.concat(F.lower(w), F.lit("_"), F.lower(w)), F.concat(F.lower(w), F.initcap(w)), F.concat(F.lower(w), F.lit("-"), F.length(w)), F.concat(F.lit("/"), w, F.lit("/"), F.lower(w)))
+    spelled = F.array(w, F.upper(w), F.lower(w), F.concat(F.lower(w), F.lit("_"), F.lower(w)), F.concat(F.upper(w), F.lit("_"), F.upper(w)), F.concat(F.lower(w), F.initcap(w)), F.concat(F.lower(w), F.lit("-"), F.length(w)), F.concat(F.lit("/"), w, F.lit("/"), F.lower(w)))
     ordinary = word.select(F.explode(spelled).alias("text"), F.lit(0).alias("label"))
     numbers = spark.range(1000).select(F.concat_ws("-", F.col("id") + 1200, F.lpad((F.col("id") % 12 + 1).cast("string"), 2, "0"), F.lpad((F.col("id") % 28 + 1).cast("string"), 2, "0")).alias("text"), F.lit(0).alias("label"))
     return random.unionByName(ordinary).unionByName(numbers)
 
 
 def train(samples: DataFrame) -> list[float]:
-    """The log-likelihood ratio of each transition, row by row of ALPHABET; add-one smoothing. What reaches the
-    driver is bounded by the square of the alphabet."""
+    """The log-likelihood ratio of each transition, row by row of ALPHABET; a character's own frequency stands
+    in for BACK_OFF transitions. What reaches the driver is bounded by the square of the alphabet."""
     chars = samples.select("label", F.regexp_replace("text", r"[^A-Za-z0-9+/_=-]", "").alias("s")).where("length(s) > 1")
     pairs = chars.select("label", F.explode(F.transform(F.sequence(F.lit(1), F.length("s") - 1), lambda i: F.substring("s", i, F.lit(2)))).alias("pair"))
     counts = {(r.label, r.pair): r.n for r in pairs.groupBy("label", "pair").agg(F.count("*").alias("n")).collect()}
     if {label for label, _ in counts} != {0, 1}:
         return [0.0] * len(ALPHABET) ** 2
     totals = {(label, a): sum(counts.get((label, a + b), 0) for b in ALPHABET) for label in (0, 1) for a in ALPHABET}
-    log = lambda label, a, b: math.log((counts.get((label, a + b), 0) + 1) / (totals[label, a] + len(ALPHABET)))
+    ends = {(label, b): sum(counts.get((label, a + b), 0) for a in ALPHABET) for label in (0, 1) for b in ALPHABET}
+    every = {label: sum(totals[label, a] for a in ALPHABET) for label in (0, 1)}
+
+    def log(label: int, a: str, b: str) -> float:
+        alone = (ends[label, b] + 0.5) / (every[label] + 0.5 * len(ALPHABET))
+        return math.log((counts.get((label, a + b), 0) + BACK_OFF * alone) / (totals[label, a] + BACK_OFF))
+
     return [round(log(1, a, b) - log(0, a, b), 6) for a in ALPHABET for b in ALPHABET]
 
 
@@ -100,7 +109,7 @@ def spelled(spans: Column) -> Column:
 def scan(docs: DataFrame, ratios: list[float], least: float = LEAST_RATIO) -> DataFrame:
     """``docs`` with n_assign, n_access, n_hex, base_spans and span_list (arrays by start, then kind). One row in,
     one row out; columns of these names in ``docs`` are replaced."""
-    docs = docs.drop("n_assign", "n_access", "n_hex", "base_spans", "span_list")
+    docs = docs.drop(*_ADDED)
     text = F.coalesce(F.col("text"), F.lit(""))
     work = docs.withColumn("_t", text).withColumns({
         "_assign": F.regexp_extract_all("_t", F.lit(ASSIGN), 0),
@@ -128,6 +137,7 @@ def scan(docs: DataFrame, ratios: list[float], least: float = LEAST_RATIO) -> Da
 def redact(docs: DataFrame, ratios: list[float], mark: str = "[secret]") -> DataFrame:
     """The columns of ``docs``, each secret span of ``text`` replaced by ``mark`` (overlapping spans by one);
     ``n_chars``, if there, follows the new text. Texts without secrets stay as they are."""
+    docs, back = set_aside(docs, *_ADDED)
     columns, text = docs.columns, F.col("text")
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
@@ -141,7 +151,7 @@ def redact(docs: DataFrame, ratios: list[float], mark: str = "[secret]") -> Data
     out = found.withColumn("text", F.when(F.size("span_list") > 0, clean).otherwise(text))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(F.size("span_list") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*columns)
+    return back(out.select(*columns))
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
