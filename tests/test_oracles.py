@@ -2,6 +2,7 @@
 
 import os
 
+import pandas as pd
 import pytest
 
 from lectern.plans import catalogue
@@ -22,9 +23,9 @@ def duck():
 
 def rows(frame, columns):
     def plain(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return "null"
-        return f"{v:.6f}" if isinstance(v, float) else str(v)
+        return f"{v:.6f}".rstrip("0").rstrip(".") if isinstance(v, float) else str(v)
 
     return sorted(tuple(plain(v) for v in r) for r in frame[columns].astype(object).itertuples(index=False))
 
