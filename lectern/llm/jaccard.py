@@ -7,9 +7,10 @@ at least e + 1 hold the same elements in both. Each set has one signature per pa
 not empty. A set with more than e empty parts adds the signatures of another partition,
 and at the last one those of its empty parts too, so no link is lost.
 
-Equal sets are one class from the start. In each bucket of equal signatures all classes are
-first compared with the smallest one; the components of these links leave few buckets with
-more than one component, and only there are the classes of different components compared.
+Equal sets are one class from the start. In each bucket of equal signatures the classes are
+first compared with one of them, another one in each bucket and round; the components of
+these links leave few buckets with more than one component, and only there are the classes
+of different components compared with each other.
 A comparison first bounds the difference by parity sketches, which never rule out a link,
 and then counts the common shingles.
 
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, lowered, materialise, table
+from .common import WORD, lowered, materialise, set_aside, table
 
 _WORD = re.compile(WORD)
 SHINGLE = 5
@@ -44,6 +45,10 @@ SKETCH = 16
 LEVELS = 4
 #: Buckets of at most this size are joined as they are, larger ones with their sketches.
 SMALL_BUCKET = 32
+#: Rounds in which each bucket's members are compared with one of them only.
+HUB_ROUNDS = 2
+#: Ids of up to this many documents (some 20 bytes each) go to every task; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -198,16 +203,36 @@ def _may_link(a: str, b: str, sketches: bool = True) -> Column:
     return sizes & (9 * bits <= na + nb)
 
 
-def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The distinct pairs (a, b) whose sizes and sketches allow a link."""
-    x = pairs.distinct().join(nodes.alias("x"), F.col("a") == F.col("x.node")).join(nodes.alias("y"), F.col("b") == F.col("y.node"))
+def _with_component(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """``rows`` with the component of their node; a node without links is its own."""
+    if comp is None:
+        return rows.withColumn("comp", F.col("node"))
+    return rows.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+
+def _in_mixed_buckets(shared: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """(sig, node, comp) of the buckets that hold more than one component."""
+    bucket = Window.partitionBy("sig")
+    placed = _with_component(shared, comp).withColumns({"c0": F.min("comp").over(bucket), "c1": F.max("comp").over(bucket)})
+    return placed.where("c0 <> c1").select("sig", "node", "comp")
+
+
+def _bounded(pairs: DataFrame, nodes: DataFrame, known: DataFrame | None) -> DataFrame:
+    """The distinct pairs (a, b) that are not ``known`` and whose sizes and sketches allow a link."""
+    pairs = pairs.distinct()
+    if known is not None:
+        pairs = pairs.join(known, ["a", "b"], "left_anti")
+    x = pairs.join(nodes.alias("x"), F.col("a") == F.col("x.node")).join(nodes.alias("y"), F.col("b") == F.col("y.node"))
     return x.where(_may_link("x", "y")).select("a", "b")
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs that link, by their sets; only the texts of classes in ``pairs`` are read as sets."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(nodes, "node").select(F.col("doc_id").alias("w_id"), "text_key").distinct()
+    wanted = materialise(wanted, "wanted")
     keyed = docs.select("doc_id", F.xxhash64("text").alias("d_key"), "text")
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
     texts = keyed.join(wanted, keyed["doc_id"].eqNullSafe(wanted["w_id"]) & (keyed["d_key"] == wanted["text_key"]), "left_semi")
     sets = materialise(_sets(texts).dropDuplicates(["node"]), "sets")
     a, b = sets.select(F.col("node").alias("a"), F.col("elements").alias("x")), sets.select(F.col("node").alias("b"), F.col("elements").alias("y"))
@@ -244,27 +269,34 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     slim = nodes.select("node", "n_shingles", *_SKETCH_COLUMNS)
 
     bucket = Window.partitionBy("sig")
-    rows = _signature_rows(docs).withColumns({"hub": F.min("node").over(bucket), "top": F.max("node").over(bucket)})
-    shared = materialise(rows.where("hub <> top").select("sig", "node", "hub").distinct(), "shared")
-
-    near = materialise(_bounded(shared.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")), slim), "pairs")
-    links = materialise(_linked(near, docs, nodes), "links")
-    comp = components(links)
-
-    placed = shared.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    placed = placed.withColumns({"c0": F.min("comp").over(bucket), "c1": F.max("comp").over(bucket), "m": F.count("*").over(bucket)})
-    mixed_buckets = materialise(placed.where("c0 <> c1").select("sig", "node", "comp", "m"), "mixed")
+    rows = _signature_rows(docs).withColumns({"low": F.min("node").over(bucket), "top": F.max("node").over(bucket)})
+    shared = materialise(rows.where("low <> top").select("sig", "node").distinct(), "shared")
+
+    comp, links, known = None, None, None
+    for turn in range(HUB_ROUNDS):
+        placed = _in_mixed_buckets(shared, comp)
+        hub = F.min(F.struct(F.xxhash64("sig", "node", F.lit(turn)).alias("h"), "node", "comp")).over(bucket)
+        pairs = placed.withColumn("hub", hub).where(F.col("comp") != F.col("hub.comp"))
+        pairs = pairs.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
+        near = materialise(_bounded(pairs, slim, known), "pairs")
+        known = near if known is None else known.union(near)
+        more = materialise(_linked(near, docs, nodes), "links")
+        links = more if links is None else links.union(more)
+        if not more.isEmpty():
+            comp = components(links)
+
+    mixed_buckets = materialise(_in_mixed_buckets(shared, comp).withColumn("m", F.count("*").over(bucket)), "mixed")
     sized = mixed_buckets.where(F.col("m") <= SMALL_BUCKET).join(nodes.select("node", "n_shingles"), "node")
     small = sized.alias("x").join(sized.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & _may_link("x", "y", sketches=False))
     full = mixed_buckets.where(F.col("m") > SMALL_BUCKET).join(slim, "node")
     large = full.alias("x").join(full.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & _may_link("x", "y"))
     cross = small.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).union(large.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
-    cross = materialise(_bounded(cross, slim).join(near, ["a", "b"], "left_anti"), "cross")
+    cross = materialise(_bounded(cross, slim, known), "cross")
     more = materialise(_linked(cross, docs, nodes), "more")
     if not more.isEmpty():
         comp = components(links.union(more))
 
-    member = nodes.select("node", "rep").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    member = _with_component(nodes.select("node", "rep"), comp)
     first = member.groupBy("comp").agg(F.min("rep").alias("rep"))
     named = member.select("node", "comp").join(first, "comp").select("node", F.col("rep.doc_id").alias("component_id"), F.col("rep.text_key").alias("first_key"))
     full = classes.select("doc_id", "text_key", "n_shingles", "node").join(named, "node", "left")
@@ -274,6 +306,7 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The columns of ``docs`` for one document of each component (its smallest id); empty sets all stay."""
+    docs, back = set_aside(docs, "_key", "k_id", "k_key", "times", "size")
     found = materialise(similarity_classes(docs), "similar")
     stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("first_key")))
     stay = stay.groupBy(F.col("doc_id").alias("k_id"), F.col("text_key").alias("k_key")).agg(F.count("*").alias("times"), F.max("n_shingles").alias("size"))
@@ -283,7 +316,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     if not repeated.isEmpty():  # rows that repeat an id and its text
         on = out["doc_id"].eqNullSafe(repeated["k_id"]) & (out["_key"] == repeated["k_key"])
         out = out.join(repeated, on, "left_anti").union(out.join(repeated, on, "left_semi").dropDuplicates(["doc_id", "_key"]))
-    return out.drop("_key")
+    return back(out.drop("_key"))
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

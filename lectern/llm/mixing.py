@@ -13,8 +13,8 @@ table gives an empty result. ``doc_id`` may be null or repeated.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
-import zlib
 from fractions import Fraction
 
 import numpy as np
@@ -73,6 +73,11 @@ def step_for(blocks: int) -> int:
     return _PRIME if blocks % _PRIME else _PRIME + 2
 
 
+def _number(text: str) -> int:
+    """A number below 2**32 that follows from a text."""
+    return int(hashlib.md5(text.encode()).hexdigest()[:8], 16)
+
+
 def plan(shards: pd.DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES, block: int = BLOCK_WORDS, seed: int = 7) -> pd.DataFrame:
     """Per shard (source, shard, words) the passes over it, the blocks of the last, partial one, and the walk's start."""
     key = lambda s: (s is None, s or "")  # noqa: E731  code points, null last
@@ -91,7 +96,7 @@ def plan(shards: pd.DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int =
             full = take // words if words else 0
             there = -(-words // block)
             rest = min(round((take - full * words) / block), there)
-            out.append((s, int(shard), size[s], float(t), full, rest, there, step_for(there), zlib.crc32(f"{seed}:{s}:{shard}".encode()) % max(there, 1)))
+            out.append((s, int(shard), size[s], float(t), full, rest, there, step_for(there), _number(f"{seed}:{s}:{shard}") % max(there, 1)))
     return pd.DataFrame(out, columns=["source", "shard", "source_size", "target", "passes", "blocks", "there", "step", "first"])
 
 
@@ -108,9 +113,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSE
     total = sum(r["rows"] for r in rows)
     spread = [(r["source"], max(1, min(-(-r["rows"] // SHARD_DOCS), MAX_SHARDS * r["rows"] // total))) for r in rows]
     spread = spark.createDataFrame(spread, "source string, n_shards bigint")
-    placed = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed))
+    placed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     sharded = sized.withColumn("place", placed).join(F.broadcast(spread), sized["source"].eqNullSafe(spread["source"])).drop(spread["source"])
-    sharded = sharded.withColumn("shard", F.pmod("place", "n_shards")).drop("n_shards")
+    sharded = sharded.withColumn("shard", F.conv(F.substring("place", 1, 8), 16, 10).cast("bigint") % F.col("n_shards")).drop("n_shards")
     shards = sharded.groupBy("source", "shard").agg(F.sum("size").alias("words")).toArrow().to_pylist()
     plans = plan(pd.DataFrame(shards, columns=["source", "shard", "words"], dtype=object), weights, passes, block, seed)
     plans = spark.createDataFrame([tuple(r) for r in plans.astype(object).where(plans.notna(), None).itertuples(index=False)], _PLAN)
@@ -127,3 +132,47 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSE
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5('7:' || coalesce(cast(doc_id AS varchar), '')) AS place FROM documents
+), s0 AS (
+  SELECT source, sum(size) AS size, count(*) AS n FROM d GROUP BY source
+), s1 AS (
+  SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS i, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w, sum(size) OVER () AS total, sum(n) OVER () AS docs FROM s0
+), s2 AS (
+  SELECT *, total - 3 * (sum(size) OVER o - size) AS room, sum(w) OVER () - (sum(w) OVER o - w) AS weight, row_number() OVER o AS place FROM s1 WINDOW o AS (ORDER BY size * (10 // w), i ROWS UNBOUNDED PRECEDING)
+), s3 AS (
+  SELECT *, min(CASE WHEN room * w < 3 * size * weight THEN place END) OVER () AS first_open FROM s2
+), s4 AS (
+  SELECT a.*, CASE WHEN first_open IS NULL OR a.place < first_open THEN cast(3 * a.size AS double)
+    ELSE (SELECT cast(b.room AS double) FROM s3 b WHERE b.place = a.first_open) * a.w / (SELECT cast(b.weight AS double) FROM s3 b WHERE b.place = a.first_open) END AS target,
+    cast(round_even(total / 16.0::DOUBLE, 0) AS bigint) AS seats FROM s3 a
+), q AS (
+  SELECT i, target / (2 * k + 1) AS q, seats FROM (SELECT *, unnest(range(0, cast(ceil(seats * target / greatest(total, 1)) AS bigint) + 100)) AS k FROM s4 WHERE target > 0)
+), won AS (
+  SELECT i, count(*) AS blocks FROM (SELECT *, row_number() OVER (ORDER BY q DESC, i) AS rank FROM q) WHERE rank <= seats GROUP BY i
+), src AS (
+  SELECT s4.*, coalesce(won.blocks, 0) AS blocks, greatest(1, least((n + 255) // 256, 65536 * n // docs)) AS n_shards FROM s4 LEFT JOIN won USING (i)
+), ds AS (
+  SELECT d.*, src.i, src.size AS source_size, src.target, src.blocks AS s_blocks, cast('0x' || d.place[1:8] AS bigint) % src.n_shards AS shard FROM d JOIN src ON d.source IS NOT DISTINCT FROM src.source
+), sh AS (
+  SELECT i, any_value(source) AS source, shard, sum(size) AS words, any_value(s_blocks) AS s_blocks FROM ds GROUP BY i, shard
+), sq AS (
+  SELECT i, shard, s_blocks, words / (2 * k + 1)::DOUBLE AS q FROM (SELECT *, unnest(range(0, s_blocks)) AS k FROM sh WHERE words > 0)
+), sw AS (
+  SELECT i, shard, count(*) AS blocks FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY q DESC, shard) AS rank FROM sq) WHERE rank <= s_blocks GROUP BY i, shard
+), p0 AS (
+  SELECT i, shard, words, (words + 15) // 16 AS there, least(coalesce(blocks, 0) * 16, 3 * words) AS take, cast('0x' || md5('7:' || coalesce(source, 'None') || ':' || shard)[1:8] AS bigint) AS number FROM sh LEFT JOIN sw USING (i, shard)
+), p AS (
+  SELECT *, CASE WHEN words > 0 THEN take // words ELSE 0 END AS passes, CASE WHEN words > 0 THEN least(cast(round_even((take - take // words * words) / 16.0::DOUBLE, 0) AS bigint), there) ELSE 0 END AS rest, number % greatest(there, 1) AS first FROM p0
+), laid AS (
+  SELECT *, sum(size) OVER (PARTITION BY i, shard ORDER BY place, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS stop, row_number() OVER () AS r FROM ds
+), cut AS (
+  SELECT r, passes, rest, there, first, laid.size, stop - laid.size AS start, stop, unnest(CASE WHEN laid.size = 0 OR rest = 0 THEN [NULL] ELSE range(cast((stop - laid.size) // 16 AS bigint), cast((stop - 1) // 16 + 1 AS bigint)) END) AS b FROM laid JOIN p USING (i, shard)
+), got AS (
+  SELECT r, any_value(passes * size) + sum(CASE WHEN b IS NOT NULL AND (b * (1000000007 % there) + first) % there < rest THEN least(stop, (b + 1) * 16) - greatest(start, b * 16) ELSE 0 END) AS taken FROM cut GROUP BY r
+)
+SELECT doc_id, cast(size AS bigint) AS size, cast(source_size AS bigint) AS source_size, target, cast(taken AS bigint) AS taken FROM laid JOIN got USING (r)
+"""
