@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zlib
@@ -35,6 +36,17 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete written ``tables`` that are no longer read, and let Spark drop the shuffle files of finished steps."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for t in tables:
+        for f in t.inputFiles()[:1]:
+            folder = jvm.org.apache.hadoop.fs.Path(f).getParent()
+            folder.getFileSystem(conf).delete(folder, True)
+    gc.collect()
+    jvm.System.gc()
+
+
 def fold(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5 (null id: null)."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5

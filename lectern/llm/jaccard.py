@@ -8,9 +8,9 @@ not empty. A set with more than e empty parts adds the signatures of another par
 and at the last one those of its empty parts too, so no link is lost.
 
 Equal sets are one class from the start. In each bucket of equal signatures the classes are
-first compared with one of them, another one in each bucket and round; the components of
-these links leave few buckets with more than one component, and only there are the classes
-of different components compared with each other.
+first compared with one of them, another one in each round; the components of these links
+leave few buckets with more than one component, and only there are the classes of
+different components compared with each other.
 A comparison first bounds the difference by parity sketches, which never rule out a link,
 and then counts the common shingles.
 
@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, lowered, materialise, table
+from .common import WORD, lowered, materialise, release, set_aside, table
 
 _WORD = re.compile(WORD)
 SHINGLE = 5
@@ -46,7 +46,7 @@ LEVELS = 4
 #: Buckets of at most this size are joined as they are, larger ones with their sketches.
 SMALL_BUCKET = 32
 #: Rounds in which each bucket's members are compared with one of them only.
-HUB_ROUNDS = 2
+HUB_ROUNDS = 3
 #: Ids of up to this many documents (some 20 bytes each) go to every task; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -181,14 +181,20 @@ def _signature_rows(docs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """(node, elements) of the documents given."""
+    """(node, elements) of the documents given; a task emits a class once."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
             for i in range(0, b.num_rows, 500):
-                sets = [s for t in b.column("text").slice(i, 500) if len(s := shingles(t.as_py()))]
-                elements = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array([class_of(s)[0] for s in sets], pa.int64()), elements], names=["node", "elements"])
+                nodes, sets = [], []
+                for t in b.column("text").slice(i, 500):
+                    s = shingles(t.as_py())
+                    if len(s) and (node := class_of(s)[0]) not in seen:
+                        seen.add(node)
+                        nodes.append(node)
+                        sets.append(s.view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "elements"])
 
     return docs.select("text").mapInArrow(work, "node bigint, elements array<bigint>")
 
@@ -221,23 +227,27 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, known: DataFrame | None) -> Dat
     """The distinct pairs (a, b) that are not ``known`` and whose sizes and sketches allow a link."""
     pairs = pairs.distinct()
     if known is not None:
-        pairs = pairs.join(known, ["a", "b"], "left_anti")
-    x = pairs.join(nodes.alias("x"), F.col("a") == F.col("x.node")).join(nodes.alias("y"), F.col("b") == F.col("y.node"))
-    return x.where(_may_link("x", "y")).select("a", "b")
+        low, high = F.least("a", "b"), F.greatest("a", "b")
+        pairs = pairs.join(known.select(low.alias("low"), high.alias("high")), (low == F.col("low")) & (high == F.col("high")), "left_anti")
+    x = pairs.join(nodes.alias("x"), F.col("a") == F.col("x.node"))
+    return x.join(nodes.alias("y"), (F.col("b") == F.col("y.node")) & _may_link("x", "y")).select("a", "b")
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs that link, by their sets; only the texts of classes in ``pairs`` are read as sets."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(nodes, "node").select(F.col("doc_id").alias("w_id"), "text_key").distinct()
-    wanted = materialise(wanted, "wanted")
+    wanted = wanted_table = materialise(wanted, "wanted")
     keyed = docs.select("doc_id", F.xxhash64("text").alias("d_key"), "text")
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     texts = keyed.join(wanted, keyed["doc_id"].eqNullSafe(wanted["w_id"]) & (keyed["d_key"] == wanted["text_key"]), "left_semi")
-    sets = materialise(_sets(texts).dropDuplicates(["node"]), "sets")
+    sets = materialise(_sets(texts), "sets")
     a, b = sets.select(F.col("node").alias("a"), F.col("elements").alias("x")), sets.select(F.col("node").alias("b"), F.col("elements").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(a, "a").join(b, "b").where(100 * both >= 80 * (F.size("x") + F.size("y") - both)).select("a", "b")
+    # the set of b, which many pairs may share, comes last
+    links = materialise(pairs.join(a, "a").join(b, "b").where(100 * both >= 80 * (F.size("x") + F.size("y") - both)).select("a", "b").distinct(), "links")
+    release(docs.sparkSession, sets, wanted_table)
+    return links
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -256,6 +266,19 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def merged_components(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, comp) after ``links`` join components of ``comp``; only components that a link touches are worked on."""
+    if comp is None:
+        return components(links)
+    at = lambda c: comp.select(F.col("node").alias(f"{c}_n"), F.col("comp").alias(f"{c}_c"))
+    x = links.join(at("a"), F.col("a") == F.col("a_n"), "left").join(at("b"), F.col("b") == F.col("b_n"), "left")
+    x = x.select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b")).where("a <> b").distinct()
+    joined = components(x)
+    every = comp.union(joined.join(comp, "node", "left_anti").select("node", F.col("node").alias("comp")))
+    up = joined.select(F.col("node").alias("u_node"), F.col("comp").alias("up"))
+    return materialise(every.join(up, F.col("comp") == F.col("u_node"), "left").select("node", F.coalesce("up", "comp").alias("comp")), "labels")
+
+
 def similarity_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, n_shingles, component_id, first_key) per document; first_key is the text_key of the
     document with the id component_id that stands for the component."""
@@ -272,18 +295,18 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     rows = _signature_rows(docs).withColumns({"low": F.min("node").over(bucket), "top": F.max("node").over(bucket)})
     shared = materialise(rows.where("low <> top").select("sig", "node").distinct(), "shared")
 
-    comp, links, known = None, None, None
+    release(docs.sparkSession)
+
+    comp, known = None, None
     for turn in range(HUB_ROUNDS):
         placed = _in_mixed_buckets(shared, comp)
-        hub = F.min(F.struct(F.xxhash64("sig", "node", F.lit(turn)).alias("h"), "node", "comp")).over(bucket)
-        pairs = placed.withColumn("hub", hub).where(F.col("comp") != F.col("hub.comp"))
-        pairs = pairs.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
+        hub = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "comp")).over(bucket)
+        pairs = placed.withColumn("hub", hub).where(F.col("comp") != F.col("hub.comp")).select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
         near = materialise(_bounded(pairs, slim, known), "pairs")
         known = near if known is None else known.union(near)
-        more = materialise(_linked(near, docs, nodes), "links")
-        links = more if links is None else links.union(more)
-        if not more.isEmpty():
-            comp = components(links)
+        links = _linked(near, docs, nodes)
+        if not links.isEmpty():
+            comp = merged_components(comp, links)
 
     mixed_buckets = materialise(_in_mixed_buckets(shared, comp).withColumn("m", F.count("*").over(bucket)), "mixed")
     sized = mixed_buckets.where(F.col("m") <= SMALL_BUCKET).join(nodes.select("node", "n_shingles"), "node")
@@ -292,9 +315,9 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     large = full.alias("x").join(full.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & _may_link("x", "y"))
     cross = small.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).union(large.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
     cross = materialise(_bounded(cross, slim, known), "cross")
-    more = materialise(_linked(cross, docs, nodes), "more")
-    if not more.isEmpty():
-        comp = components(links.union(more))
+    links = _linked(cross, docs, nodes)
+    if not links.isEmpty():
+        comp = merged_components(comp, links)
 
     member = _with_component(nodes.select("node", "rep"), comp)
     first = member.groupBy("comp").agg(F.min("rep").alias("rep"))
@@ -306,16 +329,20 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The columns of ``docs`` for one document of each component (its smallest id); empty sets all stay."""
+    docs, back = set_aside(docs, "_key", "k_id", "k_key", "times", "size")
     found = materialise(similarity_classes(docs), "similar")
     stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("first_key")))
     stay = stay.groupBy(F.col("doc_id").alias("k_id"), F.col("text_key").alias("k_key")).agg(F.count("*").alias("times"), F.max("n_shingles").alias("size"))
     keyed = docs.withColumn("_key", F.xxhash64("text"))
+    stay = materialise(stay, "stay")
     repeated = stay.where("times > 1 and size > 0")
+    if stay.count() <= BROADCAST_ROWS:
+        stay = F.broadcast(stay)
     out = keyed.join(stay, keyed["doc_id"].eqNullSafe(stay["k_id"]) & (keyed["_key"] == stay["k_key"]), "left_semi")
     if not repeated.isEmpty():  # rows that repeat an id and its text
         on = out["doc_id"].eqNullSafe(repeated["k_id"]) & (out["_key"] == repeated["k_key"])
         out = out.join(repeated, on, "left_anti").union(out.join(repeated, on, "left_semi").dropDuplicates(["doc_id", "_key"]))
-    return out.drop("_key")
+    return back(out.drop("_key"))
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
