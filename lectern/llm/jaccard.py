@@ -12,7 +12,7 @@ first compared with one of them, another one in each round; the components of th
 leave few buckets with more than one component, and only there are the classes of
 different components compared with each other.
 A comparison first bounds the difference by parity sketches, which never rule out a link,
-and then counts the common shingles.
+and then counts the common shingles of the two texts, which travel compressed.
 
 Defined cases: null and empty texts, and texts without words, have an empty set and link
 with nothing; a text with fewer than five words is one shingle; documents with equal ids
@@ -23,7 +23,7 @@ Shingles and classes are known by 64-bit hashes; a second hash of 64 bits guards
 
 from __future__ import annotations
 
-import re
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
@@ -35,9 +35,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, lowered, materialise, release, set_aside, table
+from .common import materialise, release, set_aside, table
 
-_WORD = re.compile(WORD)
 SHINGLE = 5
 #: 64-bit words of a parity sketch.
 SKETCH = 16
@@ -49,6 +48,8 @@ SMALL_BUCKET = 32
 HUB_ROUNDS = 3
 #: Ids of up to this many documents (some 20 bytes each) go to every task; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Elements of sets that a task which compares texts keeps for the next pair.
+HELD_ELEMENTS = 4_000_000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -60,30 +61,26 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> s)
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-_hashes = _WordHashes()
-
-
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct shingles."""
-    words = _WORD.findall(lowered(text)) if text else []
+def shingles(text: bytes | None) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct shingles of a text in UTF-8; bytes.lower and bytes.split know A-Z and ASCII white space only."""
+    words = text.lower().split() if text else []
     n = len(words)
     if not n:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, n)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
     if n < SHINGLE:
         return mixed((h * _FACTORS[:n]).sum(keepdims=True) + np.uint64(n))
     s = h[: n - 4] * _FACTORS[0]
     for i in range(1, SHINGLE):
         s = s + h[i : n - 4 + i] * _FACTORS[i]
-    return np.unique(mixed(s))
+    s = np.sort(mixed(s))
+    return s[np.concatenate(([True], s[1:] != s[:-1]))]
+
+
+def _bytes(column: pa.Array) -> Iterator[bytes | None]:
+    """The values of a string or binary column in UTF-8."""
+    for t in column.cast(pa.binary()):
+        yield t.as_py()
 
 
 def class_of(s: np.ndarray) -> tuple[int, int]:
@@ -112,7 +109,7 @@ BANDS = _bands()
 
 def signatures(s: np.ndarray) -> np.ndarray:
     """All signatures of a set: for its own band and for the next one."""
-    out, own = [], bisect_left(BANDS, len(s))
+    out, own, content_of = [], bisect_left(BANDS, len(s)), mixed(s + _FACTORS[2])
     for band in (own, own + 1):
         k = 2 * BANDS[band] // 9
         spare = 2 + k * 8 // 100
@@ -120,10 +117,10 @@ def signatures(s: np.ndarray) -> np.ndarray:
         for level in range(LEVELS):
             salt = np.uint64(band * LEVELS + level + 1)
             part = mixed(s + np.full(1, salt) * _FACTORS[1]) % parts
-            order = np.argsort(part, kind="stable")
+            order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")  # short keys are sorted by radix
             part = part[order]
             first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-            content = np.add.reduceat(mixed(s + _FACTORS[2])[order], first)
+            content = np.add.reduceat(content_of[order], first)
             out.append(mixed(content + mixed(part[first] * _FACTORS[3] + salt)))
             empty = int(parts) - len(first)
             if empty <= spare:
@@ -144,7 +141,7 @@ def _classes(docs: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(t.as_py()) for t in b.column("text")]
+            sets = [shingles(t) for t in _bytes(b.column("text"))]
             known = [class_of(s) if len(s) else (None, None) for s in sets]
             bits = np.array([sketch(s) for s in sets], np.int64).reshape(-1, SKETCH)
             yield pa.RecordBatch.from_arrays(
@@ -162,8 +159,8 @@ def _signature_rows(docs: DataFrame) -> DataFrame:
         seen: set[int] = set()
         for b in batches:
             sigs, nodes, held = [], [], 0
-            for t in b.column("text"):
-                s = shingles(t.as_py())
+            for t in _bytes(b.column("text")):
+                s = shingles(t)
                 if not len(s) or (node := class_of(s)[0]) in seen:
                     continue
                 seen.add(node)
@@ -180,23 +177,47 @@ def _signature_rows(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(work, "sig bigint, node bigint")
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """(node, elements) of the documents given; a task emits a class once."""
+def _packed(texts: DataFrame) -> DataFrame:
+    """(node, packed) of (node, text), the texts compressed for the way; a task emits a class once."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
             for i in range(0, b.num_rows, 500):
-                nodes, sets = [], []
-                for t in b.column("text").slice(i, 500):
-                    s = shingles(t.as_py())
-                    if len(s) and (node := class_of(s)[0]) not in seen:
+                part, nodes, packed = b.slice(i, 500), [], []
+                for node, t in zip(part.column("node").to_pylist(), _bytes(part.column("text")), strict=True):
+                    if node not in seen:
                         seen.add(node)
                         nodes.append(node)
-                        sets.append(s.view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "elements"])
+                        packed.append(zlib.compress(t, 6))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(packed, pa.binary())], names=["node", "packed"])
+
+    return texts.select("node", "text").mapInArrow(work, "node bigint, packed binary")
+
 
-    return docs.select("text").mapInArrow(work, "node bigint, elements array<bigint>")
+def _verified(pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of (a, b, x, y) whose packed texts x and y link."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        size = 0
+        for batch in batches:
+            a, b, keep = batch.column("a").to_pylist(), batch.column("b").to_pylist(), []
+            for i in range(batch.num_rows):
+                sets = []
+                for node, c in ((a[i], "x"), (b[i], "y")):
+                    if node not in held:
+                        if size > HELD_ELEMENTS:
+                            held.clear()
+                            size = 0
+                        held[node] = shingles(zlib.decompress(batch.column(c)[i].as_py()))
+                        size += len(held[node])
+                    sets.append(held[node])
+                both = len(np.intersect1d(*sets, assume_unique=True))
+                keep.append(100 * both >= 80 * (len(sets[0]) + len(sets[1]) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("a", "b", "x", "y").mapInArrow(work, "a bigint, b bigint")
 
 
 def _may_link(a: str, b: str, sketches: bool = True) -> Column:
@@ -216,11 +237,12 @@ def _with_component(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
     return rows.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
-def _in_mixed_buckets(shared: DataFrame, comp: DataFrame | None) -> DataFrame:
-    """(sig, node, comp) of the buckets that hold more than one component."""
+def _in_mixed_buckets(shared: DataFrame, comp: DataFrame | None, turn: int) -> DataFrame:
+    """(sig, node, comp, hub, m) of the buckets that hold more than one component, with the bucket's size and its hub of this turn."""
     bucket = Window.partitionBy("sig")
-    placed = _with_component(shared, comp).withColumns({"c0": F.min("comp").over(bucket), "c1": F.max("comp").over(bucket)})
-    return placed.where("c0 <> c1").select("sig", "node", "comp")
+    hub = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "comp")).over(bucket)
+    placed = _with_component(shared.select("sig", "node"), comp).withColumns({"c0": F.min("comp").over(bucket), "c1": F.max("comp").over(bucket), "hub": hub, "m": F.count("*").over(bucket)})
+    return placed.where("c0 <> c1").select("sig", "node", "comp", "hub", "m")
 
 
 def _bounded(pairs: DataFrame, nodes: DataFrame, known: DataFrame | None) -> DataFrame:
@@ -234,19 +256,20 @@ def _bounded(pairs: DataFrame, nodes: DataFrame, known: DataFrame | None) -> Dat
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs that link, by their sets; only the texts of classes in ``pairs`` are read as sets."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(nodes, "node").select(F.col("doc_id").alias("w_id"), "text_key").distinct()
-    wanted = wanted_table = materialise(wanted, "wanted")
+    """The pairs that link, by their sets; only the texts of classes in ``pairs`` travel."""
+    spark = docs.sparkSession
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(nodes, "node")
+    wanted = wanted_table = materialise(wanted.select("node", F.col("doc_id").alias("w_id"), "text_key"), "wanted")
     keyed = docs.select("doc_id", F.xxhash64("text").alias("d_key"), "text")
-    if wanted.count() <= BROADCAST_ROWS:
+    n_wanted = wanted.count()
+    if n_wanted <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    texts = keyed.join(wanted, keyed["doc_id"].eqNullSafe(wanted["w_id"]) & (keyed["d_key"] == wanted["text_key"]), "left_semi")
-    sets = materialise(_sets(texts), "sets")
-    a, b = sets.select(F.col("node").alias("a"), F.col("elements").alias("x")), sets.select(F.col("node").alias("b"), F.col("elements").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    # the set of b, which many pairs may share, comes last
-    links = materialise(pairs.join(a, "a").join(b, "b").where(100 * both >= 80 * (F.size("x") + F.size("y") - both)).select("a", "b").distinct(), "links")
-    release(docs.sparkSession, sets, wanted_table)
+    texts = materialise(_packed(keyed.join(wanted, keyed["doc_id"].eqNullSafe(wanted["w_id"]) & (keyed["d_key"] == wanted["text_key"]))), "texts")
+    packed = texts if texts.count() == n_wanted else texts.dropDuplicates(["node"])  # rows may repeat an id and its text
+    a, b = packed.select(F.col("node").alias("a"), F.col("packed").alias("x")), packed.select(F.col("node").alias("b"), F.col("packed").alias("y"))
+    # the text of b, which many pairs may share, comes last
+    links = materialise(_verified(pairs.join(a, "a").join(b, "b")), "links")
+    release(spark, texts, wanted_table)
     return links
 
 
@@ -299,16 +322,19 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
 
     comp, known = None, None
     for turn in range(HUB_ROUNDS):
-        placed = _in_mixed_buckets(shared, comp)
-        hub = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "comp")).over(bucket)
-        pairs = placed.withColumn("hub", hub).where(F.col("comp") != F.col("hub.comp")).select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
+        placed = _in_mixed_buckets(shared, comp, turn)
+        if comp is not None:  # a bucket of one component stays one
+            placed = materialise(placed, "mixed")
+            release(docs.sparkSession, shared)
+            shared = placed
+        pairs = placed.where(F.col("comp") != F.col("hub.comp")).select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
         near = materialise(_bounded(pairs, slim, known), "pairs")
         known = near if known is None else known.union(near)
         links = _linked(near, docs, nodes)
         if not links.isEmpty():
             comp = merged_components(comp, links)
 
-    mixed_buckets = materialise(_in_mixed_buckets(shared, comp).withColumn("m", F.count("*").over(bucket)), "mixed")
+    mixed_buckets = materialise(_in_mixed_buckets(shared, comp, HUB_ROUNDS).drop("hub"), "mixed")
     sized = mixed_buckets.where(F.col("m") <= SMALL_BUCKET).join(nodes.select("node", "n_shingles"), "node")
     small = sized.alias("x").join(sized.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & _may_link("x", "y", sketches=False))
     full = mixed_buckets.where(F.col("m") > SMALL_BUCKET).join(slim, "node")

@@ -6,6 +6,7 @@ import io
 import itertools
 import math
 import random
+import re
 from collections import Counter, defaultdict
 from fractions import Fraction
 
@@ -15,7 +16,7 @@ import pytest
 
 import corpus_pipeline
 from lectern.llm import chat, gru, jaccard, language_model, mixing, warc
-from lectern.llm.common import fold_of
+from lectern.llm.common import WORD, fold_of, lowered
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, predicted int, contaminated string, _key string"
 
@@ -183,7 +184,7 @@ def test_language_model_scores(spark):
 def brute_components(texts):
     sets = []
     for t in texts:
-        w = jaccard._WORD.findall(jaccard.lowered(t or ""))
+        w = re.findall(WORD, lowered(t or ""))
         sets.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set())
     parent = list(range(len(texts)))
 
