@@ -3,8 +3,8 @@
 Word counts cover all training documents. The NUMBERED most frequent words (a bounded
 table) are known to every task; words beyond it are few, and their counts come by a join.
 The recurrent model starts from a bounded sample of documents on the driver; then every
-partition goes on from there with one in TRAIN_EVERY of its own training documents, and the
-weights are averaged by tokens, level by level. All documents are then scored in full.
+partition goes on from there with all of its own training documents, and the weights are
+averaged by tokens, level by level. All documents are then scored in full.
 
 Defined cases: a null text is empty and has one token, the end; a null doc_id is training
 text; without training tokens both scores are the base's; repeated documents give repeated
@@ -31,8 +31,8 @@ _WORD = re.compile(WORD)
 END = "\n"
 #: Words with numbers, known to every task; those that occur once have none, and teach the model what unknown words do.
 NUMBERED = 262_144
-#: Documents from which the driver starts the model, and the share of the others that partitions train on.
-START_DOCS, START_EPOCHS, TRAIN_EVERY = 1_024, 2, 16
+#: Documents from which the driver starts the model, before partitions train on all.
+START_DOCS, START_EPOCHS = 1_024, 2
 #: Documents in one round of a partition's training, and weights averaged in one group.
 ROUND_DOCS, FAN_IN = 1_024, 32
 _RATES = (0.01, 0.003)
@@ -119,8 +119,8 @@ def _average(blobs: list[bytes]) -> bytes:
 def _start(docs: DataFrame, vocabulary: Vocabulary, seed: int = 7) -> dict[str, np.ndarray]:
     """Train on the START_DOCS documents with the smallest hashed ids."""
     ids = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(START_DOCS)
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").toArrow().to_pylist()
-    texts = {r["doc_id"]: r["text"] for r in sorted(texts, key=lambda r: (r["doc_id"], r["text"] or ""))}
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text")).toArrow().to_pylist()
+    texts = {r["doc_id"]: r["text"] for r in sorted(texts, key=lambda r: r["doc_id"])}
     t = Trainer(start_weights(vocabulary.layout), vocabulary.layout, _RATES[0])
     own = [vocabulary.ids(x)[1] for x in texts.values()]
     for _ in range(START_EPOCHS):
@@ -133,7 +133,6 @@ def train(docs: DataFrame, shared, vocabulary: Vocabulary) -> dict[str, np.ndarr
     spark = docs.sparkSession
     first = _start(docs, vocabulary)
     begin = spark.sparkContext.broadcast(first)
-    mine = docs.where(F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(TRAIN_EVERY)) == 0, F.lit(False)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, done, held = _vocabulary(shared), 0, []
@@ -155,7 +154,7 @@ def train(docs: DataFrame, shared, vocabulary: Vocabulary) -> dict[str, np.ndarr
         if done:
             yield pa.RecordBatch.from_arrays([pa.array([_pack(t.w, done)], pa.binary())], names=["weights"])
 
-    blobs = materialise(mine.select("text").mapInArrow(work, "weights binary"), "weights")
+    blobs = materialise(docs.select("text").mapInArrow(work, "weights binary"), "weights")
     while (n := blobs.count()) > FAN_IN:
         groups = -(-n // FAN_IN)
         placed = blobs.withColumn("g", F.pmod(F.xxhash64("weights"), F.lit(groups)))

@@ -181,6 +181,22 @@ def test_language_model_scores(spark):
     assert empty.count() == 0
 
 
+def test_model_trains_on_every_document(spark, monkeypatch):
+    """Null and repeated ids too, and beyond the documents that start the model."""
+    monkeypatch.setattr(language_model, "START_DOCS", 1)
+    ids = [None, None, 8, 8, *range(20, 36)]
+    rows = [(i, "one two three four " * (k + 1), "s") for k, i in enumerate(ids)]
+    docs = docs_of(spark, rows).select("doc_id", "text").coalesce(1)
+    c = Counter(w for _, t, _ in rows for w in language_model.tokens(t))
+    words = sorted(c, key=lambda w: (-c[w], w))
+    value = (words, np.array([c[w] for w in words]), sum(c.values()), len(c))
+    vocabulary = language_model.Vocabulary(*value)
+    got = language_model.train(docs, spark.sparkContext.broadcast(value), vocabulary)
+    want = gru.Trainer(language_model._start(docs, vocabulary), vocabulary.layout, language_model._RATES[1])
+    want.epoch([vocabulary.ids(t)[1] for _, t, _ in rows], vocabulary[language_model.END])
+    assert all(np.allclose(got[k], want.w[k], atol=1e-5) for k in got)
+
+
 def brute_components(texts):
     sets = []
     for t in texts:
