@@ -82,7 +82,7 @@ def k05_table_markup(spark: SparkSession, d: str) -> DataFrame:
 def k08_markup_containment(spark: SparkSession, d: str) -> DataFrame:
     b = adapt.blocks(_docs(spark, d))
     marks = b.where("ord % 5 = 0 and length(text) between 1 and 60").select("doc_id", F.col("text").alias("markup"))
-    return P.markup_short(marks, _docs(spark, d).select("doc_id", F.substring("text", 1, 4000).alias("text")))
+    return P.markup_short(marks, _docs(spark, d).select("doc_id", "text"))
 
 
 def k10_artifact_entry(spark: SparkSession, d: str) -> DataFrame:
@@ -115,7 +115,7 @@ def f09_quote_grounding(spark: SparkSession, d: str) -> DataFrame:
     bench = adapt.table(spark, d, "benchmark")
     n = bench.count()
     x = _docs(spark, d).withColumn("item_id", F.col("doc_id") % n).join(bench.select("item_id", F.col("text").alias("quote")), "item_id")
-    return A.ground_quotes(x.select("doc_id", "item_id", F.substring("quote", 1, 40).alias("quote")), _docs(spark, d), "doc_id").select("doc_id", "item_id", "grounded", "warning")
+    return A.ground_quotes(x.select("doc_id", "item_id", "quote"), _docs(spark, d), "doc_id").select("doc_id", "item_id", "grounded", "warning")
 
 
 def f11_block_evidence(spark: SparkSession, d: str) -> DataFrame:

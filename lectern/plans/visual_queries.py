@@ -114,7 +114,7 @@ def t06_pending_rounds(spark: SparkSession, d: str) -> DataFrame:
 
 
 def u05_content_ids(spark: SparkSession, d: str) -> DataFrame:
-    x = _blocks(spark, d).select("doc_id", "page", "ord", F.lit("logo").alias("kind"), F.substring("text", 1, 3).alias("content"))
+    x = _blocks(spark, d).select("doc_id", "page", "ord", F.lit("logo").alias("kind"), F.col("text").alias("content"))
     return V.content_ids(x)
 
 
