@@ -198,7 +198,7 @@ def j25_box_matching(spark: SparkSession, d: str) -> DataFrame:
 
 
 def x11_text_agreement(spark: SparkSession, d: str) -> DataFrame:
-    b = _blocks(spark, d).where("length(text) < 400").select("doc_id", "ord", "text", F.regexp_replace("text", "[aeiou]", "").alias("other"))
+    b = _blocks(spark, d).select("doc_id", "ord", "text", F.regexp_replace("text", "[aeiou]", "").alias("other"))
     return E.text_agreement(b, "text", "other").select("doc_id", "ord", "agreement")
 
 

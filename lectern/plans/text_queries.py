@@ -31,7 +31,7 @@ def x10_tokenize(spark: SparkSession, d: str) -> DataFrame:
 
 def a08_term_frequencies(spark: SparkSession, d: str) -> DataFrame:
     w = _docs(spark, d).select("lang", F.explode(T.search_terms(F.col("text"))).alias("term"))
-    return w.groupBy("lang", "term").agg(F.count("*").alias("n")).where("n >= 20")
+    return w.groupBy("lang", "term").agg(F.count("*").alias("n"))
 
 
 def w16_excerpts(spark: SparkSession, d: str) -> DataFrame:
