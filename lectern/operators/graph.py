@@ -2,34 +2,43 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def accepted_links(links: DataFrame, by: str) -> DataFrame:
-    """Links (by, src, dst, ord) with accepted, in input order within each ``by`` (a document's links, few): a link is
-    refused if its end already leads to its start over the links accepted so far."""
-
-    def pick(x: pd.DataFrame) -> pd.DataFrame:
-        after: dict = {}
-        out = []
-        for r in x.sort_values("ord").itertuples(index=False):
-            stack, seen, closes = [r.dst], set(), r.src == r.dst
-            while stack and not closes:
-                n = stack.pop()
-                if n in seen:
-                    continue
-                seen.add(n)
-                closes = n == r.src
-                stack += after.get(n, [])
-            if not closes:
-                after.setdefault(r.src, []).append(r.dst)
-            out.append(not closes)
-        return x.sort_values("ord").assign(accepted=out)
+    """Links (by, src, dst, ord) with accepted, in input order within each ``by``: a link is refused if its end already
+    leads to its start over the links accepted so far. The links of a ``by`` pass in order through one task, which
+    holds its distinct links only and searches once for each; an unknown ``ord`` comes last."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, begun, after, refused = None, False, {}, set()
+        for b in batches:
+            out = []
+            for key, src, dst in zip(*(b.column(c).to_pylist() for c in (by, "src", "dst"))):
+                if not begun or not (key == last or (key != key and last != last)):
+                    last, begun, after, refused = key, True, {}, set()
+                if dst not in after.get(src, ()) and (src, dst) not in refused:
+                    stack, seen, closes = [dst], set(), src == dst
+                    while stack and not closes:
+                        n = stack.pop()
+                        if n in seen:
+                            continue
+                        seen.add(n)
+                        closes = n == src
+                        stack += after.get(n, ())
+                    if closes:
+                        refused.add((src, dst))
+                    else:
+                        after.setdefault(src, set()).add(dst)
+                out.append((src, dst) not in refused)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.bool_())], names=[*b.schema.names, "accepted"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in links.schema) + ", accepted boolean"
-    return links.groupBy(by).applyInPandas(pick, schema)
+    return links.repartition(by).sortWithinPartitions(by, F.asc_nulls_last("ord"), "src", "dst").mapInArrow(work, schema)
 
 
 def reachable(edges: DataFrame, starts: DataFrame, rounds: int = 64) -> DataFrame:

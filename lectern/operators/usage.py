@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -50,18 +53,55 @@ def stage_summary(timings: DataFrame, stages: DataFrame, by: str) -> DataFrame:
     return x.select(by, "stage", "place", F.round("seconds", 6).alias("seconds"), F.bround(F.col("seconds") / F.col("total") * 100, 1).alias("share"), (F.col("place") == 1).alias("bottleneck"))
 
 
+def _admit(worst: int | None, actual: int | None, spent: int, blocked: bool | None, limit: int) -> tuple[bool | None, int, bool | None]:
+    """Whether a request is admitted, and spent and blocked after it; None is unknown, as in SQL."""
+    fits = None if worst is None else spent + worst <= limit
+    ok = False if blocked or fits is False else None if blocked is None or fits is None else True
+    if ok:
+        spent += worst if actual is None else actual
+    ends = False if ok is False or actual is not None else ok
+    return ok, spent, True if blocked or ends else None if blocked is None or ends is None else False
+
+
 def admissions(requests: DataFrame, by: str, order: str, limit: int) -> DataFrame:
     """Budget admission in order: a request reserves its worst case if that still fits, and is settled to its actual
-    cost (both in micro-dollars); after an admitted request of unknown cost all others are denied. A fold over the
-    requests of one run, which are few."""
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("worst").cast("bigint").alias("worst"), F.col("actual").cast("bigint").alias("actual"))))
-    start = F.struct(F.lit(0).cast("bigint").alias("spent"), F.lit(False).alias("blocked"), F.array().cast("array<struct<o:bigint,ok:boolean>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        ok = ~acc["blocked"] & (acc["spent"] + x["worst"] <= limit)
-        spent = F.when(ok, acc["spent"] + F.coalesce(x["actual"], x["worst"])).otherwise(acc["spent"])
-        one = F.struct(x["o"].cast("bigint").alias("o"), ok.alias("ok"))
-        return F.struct(spent.alias("spent"), (acc["blocked"] | (ok & x["actual"].isNull())).alias("blocked"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-    x = requests.groupBy(by).agg(items.alias("items")).select(by, F.aggregate("items", start, step).alias("x"))
-    return x.select(by, "x.spent", F.explode("x.out").alias("r")).select(by, F.col("r.o").alias(order), F.col("r.ok").alias("admitted"), "spent")
+    cost (both in micro-dollars); after an admitted request of unknown cost all others are denied. The requests of a
+    run pass in order through one task, which holds no more of them than a batch; ``spent`` is the run's in the end."""
+    kind = requests.schema[by].dataType.simpleString()
+    x = requests.select(F.col(by).alias("by"), F.col(order).cast("bigint").alias("o"), F.col("worst").cast("bigint").alias("worst"), F.col("actual").cast("bigint").alias("actual"))
+
+    def batch(like: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+        keys, o, ok, spent, total = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(keys, like.schema.field("by").type), pa.array(o, pa.int64()), pa.array(ok, pa.bool_()), pa.array(spent, pa.int64()), pa.array(total, pa.bool_())], names=["by", "o", "admitted", "spent", "total"])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, begun, spent, blocked, b = None, False, 0, False, None
+        for b in batches:
+            rows = []
+            for key, o, worst, actual in zip(*(c.to_pylist() for c in b.columns)):
+                if not begun or not (key == last or (key != key and last != last)):
+                    if begun:
+                        rows.append((last, None, None, spent, True))
+                    last, begun, spent, blocked = key, True, 0, False
+                ok, spent, blocked = _admit(worst, actual, spent, blocked, limit)
+                rows.append((key, o, ok, None, False))
+            if rows:
+                yield batch(b, rows)
+        if begun:
+            yield batch(b, [(last, None, None, spent, True)])
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spent = None  # a run's total stands before its requests
+        for b in batches:
+            rows = []
+            for key, o, ok, s, total in zip(*(c.to_pylist() for c in b.columns)):
+                if total:
+                    spent = s
+                else:
+                    rows.append((key, o, ok, spent, False))
+            if rows:
+                yield batch(b, rows)
+
+    folded = x.repartition("by").sortWithinPartitions("by", "o", "worst", "actual").mapInArrow(fold, schema := f"by {kind}, o bigint, admitted boolean, spent bigint, total boolean")
+    settled = folded.repartition("by").sortWithinPartitions("by", F.desc("total")).mapInArrow(settle, schema)
+    return settled.select(F.col("by").alias(by), F.col("o").alias(order), "admitted", "spent")
