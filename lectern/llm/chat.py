@@ -2,7 +2,8 @@
 
 For each participant of a conversation the turns are rendered with that speaker as
 assistant and all others as named users; masks mark what the assistant says. A dialogue of
-any length is rendered in parts of ``TURNS`` turn numbers, so no group grows without bound.
+any length is rendered in parts of ``TURNS`` turn numbers. This bounds a part where turns are
+distinct; repeated or null turns of one conversation (or of the null one) all stand in one row.
 
 Defined cases: a null text is an empty turn; a null role is a participant named "unknown";
 a null turn stands before all others, in part -1; repeated turns are all rendered, in order
