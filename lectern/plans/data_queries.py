@@ -297,7 +297,7 @@ ORACLES = {
         UNION ALL SELECT 'known_order', count(*) FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey) UNION ALL SELECT 'discount_range', count(*) FROM lineitem WHERE l_discount < 0 OR l_discount > 0.1""",
     "s05_page_ranges": f"WITH {BLOCKS_SQL}, t AS (SELECT doc_id, max(page) AS total FROM blocks GROUP BY 1) SELECT doc_id, CASE WHEN doc_id % 4 < 1 THEN 'start_below_1' WHEN doc_id % 5 < doc_id % 4 THEN 'end_before_start' WHEN doc_id % 5 > total THEN 'end_after_last' END AS problem FROM t",
     "s06_selected_pages": f"WITH {BLOCKS_SQL}, p AS (SELECT DISTINCT doc_id, page FROM blocks), w AS (SELECT doc_id, cast(page + doc_id % 2 AS integer) AS page FROM p) SELECT w.doc_id, w.page, CASE WHEN p.page IS NULL THEN 'unknown_page' END AS problem FROM w LEFT JOIN p USING (doc_id, page)",
-    "s14_base64_uploads": "SELECT doc_id, CASE WHEN doc_id % 6 <> 0 THEN cast(strlen(text[1:50]) AS bigint) END AS n_bytes FROM documents",
+    "s14_base64_uploads": "SELECT doc_id, CASE WHEN doc_id % 6 <> 0 THEN cast(strlen(text) AS bigint) END AS n_bytes FROM documents",
     "s16_pairing": "SELECT 'd' || doc_id AS stem, concat_ws(',', CASE WHEN doc_id % 3 = 0 THEN '.parse.json' END, CASE WHEN doc_id % 5 = 0 THEN '.parse.md' END) AS missing FROM documents WHERE doc_id % 3 = 0 OR doc_id % 5 = 0",
     "w21_dense_order": f"WITH {BLOCKS_SQL} SELECT doc_id, page, block_id, cast(dense_rank() OVER (PARTITION BY doc_id, page ORDER BY (ord * 7) % 10) AS integer) AS order_no FROM blocks",
     "e01_event_windows": "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM events GROUP BY ALL",

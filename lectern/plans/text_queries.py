@@ -163,7 +163,7 @@ _T2 = """, best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY
 _STRIPPED = r"'^[\s\x0b\x1c-\x1f\x85\p{Z}]+|[\s\x0b\x1c-\x1f\x85\p{Z}]+$', '', 'g'"
 ORACLES = {
     "x10_tokenize": f"SELECT doc_id, len(w) AS n_tokens, len(list_distinct(w)) AS n_distinct FROM (SELECT doc_id, list_filter({_WORDS('text')}, lambda x: NOT list_contains({_STOP}, x)) AS w FROM documents)",
-    "a08_term_frequencies": f"SELECT lang, term, count(*) AS n FROM (SELECT lang, unnest({_WORDS('text')}) AS term FROM documents) WHERE NOT list_contains({_STOP}, term) GROUP BY ALL HAVING count(*) >= 20",
+    "a08_term_frequencies": f"SELECT lang, term, count(*) AS n FROM (SELECT lang, unnest({_WORDS('text')}) AS term FROM documents) WHERE NOT list_contains({_STOP}, term) GROUP BY ALL",
     "w16_excerpts": "WITH " + EXCERPTS_SQL + " SELECT doc_id, excerpt_no, page, heading, length(excerpt) AS n_chars FROM excerpts",
     "t01_lexical_score": "WITH " + EXCERPTS_SQL + ", " + _score_sql("section the order 2 and", [("2", 1), ("order", 1), ("section", 1)]) + " SELECT doc_id, excerpt_no, score FROM scored",
     "t02_fair_topk": "WITH " + EXCERPTS_SQL + ", " + _score_sql("section 7 of that", [("7", 1), ("section", 1), ("that", 1)]) + _T2 + " SELECT doc_id, excerpt_no, score, n_chars, cast(rank AS integer) AS rank FROM ranked WHERE rank <= 12",
@@ -189,13 +189,13 @@ ORACLES = {
           '| ' || list_aggregate(list_transform(c, lambda x: replace(x, '|', '\|')), 'string_agg', ' | ') || ' |' || CASE WHEN i = 1 THEN chr(10) || '| --- | --- | --- | --- |' ELSE '' END AS p FROM r)
         SELECT l_orderkey, md5('<table>' || string_agg(h, '' ORDER BY i) || '</table>') AS html_md5, md5(string_agg(p, chr(10) ORDER BY i)) AS pipe_md5 FROM s GROUP BY 1""",
     "k08_markup_containment": "WITH " + BLOCKS_SQL + """, m AS (SELECT doc_id, text AS markup, count(*) AS wanted FROM blocks WHERE ord % 5 = 0 AND length(text) BETWEEN 1 AND 60 GROUP BY ALL),
-        f AS (SELECT m.*, (length(d.text[1:4000]) - length(replace(d.text[1:4000], markup, ''))) // length(markup) AS found FROM m JOIN documents d USING (doc_id)) SELECT * FROM f WHERE found < wanted""",
+        f AS (SELECT m.*, (length(d.text) - length(replace(d.text, markup, ''))) // length(markup) AS found FROM m JOIN documents d USING (doc_id)) SELECT * FROM f WHERE found < wanted""",
     "k10_artifact_entry": """SELECT doc_id, 'doc-' || doc_id || '.md' AS name, CASE WHEN doc_id % 10 <> 0 THEN cast(strlen(text) AS bigint) END AS bytes, CASE WHEN doc_id % 10 <> 0 THEN sha256(text) END AS sha256, doc_id % 10 <> 0 AND text IS NOT NULL AS generated FROM documents""",
     "k13_page_manifest": "WITH " + BLOCKS_SQL + " SELECT doc_id, page, CASE WHEN page % 2 = 1 THEN count(*) ELSE 0 END AS n_blocks, CASE WHEN page % 2 = 1 THEN 'parsed' ELSE 'missing' END AS status FROM blocks GROUP BY doc_id, page",
     "k17_resume": "WITH " + BLOCKS_SQL + " SELECT 'doc' || doc_id AS stem FROM blocks GROUP BY doc_id HAVING count(DISTINCT ord % 5) < 5",
     "k18_names": r"""SELECT page_id, regexp_replace(regexp_replace(url, '[^\p{L}\p{N}_-]', '-', 'g'), '^-+|-+$', '', 'g')[1:80] AS safe, regexp_replace(regexp_extract(url, '([^/\\]*)$', 1), '(.)\.[^.]*$', '\1') || '_out.md' AS output FROM pages""",
     "x08_html_escape": """SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;')) AS escaped_md5, md5(replace(replace(replace(html, '&', '\\u0026'), '<', '\\u003c'), '>', '\\u003e')) AS json_md5 FROM pages""".replace("\\\\u", "\\u"),
-    "f09_quote_grounding": """WITH n AS (SELECT count(*) AS n FROM benchmark), q AS (SELECT d.doc_id, b.item_id, b.text[1:40] AS quote, d.text FROM documents d, n JOIN benchmark b ON b.item_id = d.doc_id % n.n)
+    "f09_quote_grounding": """WITH n AS (SELECT count(*) AS n FROM benchmark), q AS (SELECT d.doc_id, b.item_id, b.text AS quote, d.text FROM documents d, n JOIN benchmark b ON b.item_id = d.doc_id % n.n)
         SELECT doc_id, item_id, coalesce(contains(text, quote), false) AS grounded, CASE WHEN text IS NULL THEN 'unknown_source' WHEN NOT contains(text, quote) THEN 'quote_mismatch' END AS warning FROM q""",
     "f11_block_evidence": "WITH " + BLOCKS_SQL + """, e AS (SELECT *, CASE WHEN ord % 2 = 0 THEN page ELSE page + (ord % 9) // 6 END AS said, text[2:13] AS quote FROM blocks WHERE ord % 3 = 0)
         SELECT doc_id, block_id, said = page AND contains(text, quote) AS grounded FROM e""",

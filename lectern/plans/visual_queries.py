@@ -167,7 +167,7 @@ ORACLES = {
     "a11_image_area": "WITH " + REGIONS_SQL + " SELECT doc_id, cast(page AS integer) AS page, round(least(1, sum((r - l) * (b - t))), 6) AS ratio FROM regions WHERE region_ord <= 1 + page % 5 GROUP BY 1, 2",
     "t08_page_edges": _W + "e AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY ord) AS a, row_number() OVER (PARTITION BY doc_id, page ORDER BY ord DESC) AS z FROM blocks) SELECT doc_id, page, block_id, length(text[1:500]) AS n_chars FROM e WHERE a <= 2 OR z <= 2",
     "t06_pending_rounds": _W + "p AS (SELECT doc_id, ord, (row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1) // 8 + 1 AS r FROM blocks WHERE ord % 3 <> 1) SELECT doc_id, cast(ord AS integer) AS ord, CASE WHEN r <= 2 THEN cast(r AS integer) END AS round FROM p",
-    "u05_content_ids": "WITH " + BLOCKS_SQL + " SELECT doc_id, 'visual-p' || page || '-' || sha256(page || '|logo|' || text[1:3])[1:20] AS id, cast(min(ord) AS integer) AS ord FROM blocks GROUP BY 1, 2",
+    "u05_content_ids": "WITH " + BLOCKS_SQL + " SELECT doc_id, 'visual-p' || page || '-' || sha256(page || '|logo|' || text)[1:20] AS id, cast(min(ord) AS integer) AS ord FROM blocks GROUP BY 1, 2",
     "k15_crop_boxes": _W + _CONTROLS + """, p AS (SELECT *, greatest(2 * (r - l), 2 * (b - t), 0.02::DOUBLE) AS m FROM controls)
         SELECT doc_id, cast(ord AS integer) AS ord, round(greatest(0, l - m), 6) AS l, round(greatest(0, t - m), 6) AS t, round(least(1, r + m), 6) AS r, round(least(1, b + m), 6) AS b FROM p""",
 }
