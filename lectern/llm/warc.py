@@ -1,9 +1,13 @@
 """WARC archives of web pages, and a globally ordered index of their captures.
 
-Spark's text writer lays down one record per row (a record ends with two line breaks, the
-separator of the rows), compressed with gzip. Reading back goes record by record along
-Content-Length. Each archive gives a run of captures sorted by URL key and time; ranges of
-the key space are then merged, all runs of a range at once, by a tree of losers.
+Each record is a gzip member of its own. Tasks pack members into archives of bounded size, and
+Spark's text writer lays down one archive per file; the line end it adds is a zero byte, which
+gzip readers skip as padding. Reading back goes member by member, and a member can be read
+alone from its offset. Each archive gives a run of captures sorted by URL key and time; ranges
+of the key space are then merged, all runs of a range at once, by a tree of losers.
+
+Payloads are known by SHA-1, a second hash of 64 bits and their length. Which pages revisit
+others follows from these alone, without the payloads.
 
 Defined cases: null html is an empty payload; a null URL leaves out the header and has the
 empty key; line breaks in URLs are percent-encoded; a null page_id counts as smaller than
@@ -19,9 +23,12 @@ import hashlib
 import io
 import re
 import uuid
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
+from functools import reduce
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,36 +37,46 @@ from .common import materialise, shared_folder, table
 
 #: Payloads shorter than this are always written in full.
 LEAST_REVISIT = 0
-#: Records in one archive file at most.
-RECORDS_PER_FILE = 20_000
-_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: An archive is closed once it holds so many bytes or records.
+ARCHIVE_BYTES, ARCHIVE_RECORDS = 32_000_000, 20_000
+#: Revisits (some 60 bytes each) that go to every task; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+#: Captures that a range of the merged index holds, about.
+RANGE_ROWS = 50_000
+_KEY = ["sha1", "second", "n_bytes"]
 _EPOCH = 1_700_000_000  # capture time of page 0; page n is captured n seconds later
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Bare upper-case base32 of the SHA-1: 20 bits, four letters, at a time."""
-    digest = F.sha1(payload.cast("binary"))
-    letters = []
-    for k in range(8):
-        bits = F.conv(F.substring(digest, 5 * k + 1, 5), 16, 10).cast("int")
-        letters += [F.substring(F.lit(_BASE32), F.shiftright(bits, s).bitwiseAND(F.lit(31)) + 1, F.lit(1)) for s in (15, 10, 5, 0)]
-    return F.concat(*letters)
+def base32(sha1: Column) -> Column:
+    """Bare upper-case base32 of a 20-byte digest: 60, 60 and 40 bits in digits of base 32, then the letters of RFC 4648."""
+    digits = [F.lpad(F.conv(F.substring(F.hex(sha1), at, n), 16, 32), letters, "0") for at, n, letters in ((1, 15, 12), (16, 15, 12), (31, 10, 8))]
+    return F.translate(F.concat(*digits), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def records(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """One WARC record (without its final line breaks) per row of ``pages``, as text."""
+def with_digest(pages: DataFrame) -> DataFrame:
+    """(page_id, url, payload, sha1, second, n_bytes) of every page."""
     payload = F.coalesce(F.col("html"), F.lit(""))
-    known = pages.select("page_id", "url", payload.alias("payload"), base32_sha1(payload).alias("digest"))
-    groups = known.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.max("page_id").alias("last"), F.min("page_id").alias("least"), F.count("*").alias("n"), F.count("page_id").alias("ids"))
-    shared = groups.where("last is not null and (least < last or ids < n)").select(F.col("digest").alias("g_digest"), "last")
-    light = pages.select("page_id", base32_sha1(payload).alias("digest"))
-    older = light.join(shared, F.col("digest") == F.col("g_digest")).where("page_id is null or page_id < last")
-    older = older.select(F.col("page_id").alias("o_page"), F.col("g_digest").alias("o_digest"), F.col("last").alias("refers_to")).distinct()
-    rows = known.join(older, known["page_id"].eqNullSafe(older["o_page"]) & (known["digest"] == older["o_digest"]), "left")
+    return pages.select("page_id", "url", payload.alias("payload"), F.unhex(F.sha1(payload.cast("binary"))).alias("sha1"), F.xxhash64(payload).alias("second"), F.octet_length(payload).cast("bigint").alias("n_bytes"))
+
+
+def revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
+    """(page_id, sha1, second, n_bytes, refers_to) of the pages whose payload a page with a larger id has too."""
+    light = materialise(with_digest(pages).select("page_id", *_KEY), "digests")
+    groups = light.where(F.col("n_bytes") >= least).groupBy(*_KEY).agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("first"), F.count("*").alias("n"), F.count("page_id").alias("ids"))
+    shared = groups.where("refers_to is not null and (first < refers_to or ids < n)").select(*_KEY, "refers_to")
+    older = light.join(shared, _KEY).where("page_id is null or page_id < refers_to")
+    return materialise(older.select("page_id", *_KEY, "refers_to").distinct(), "revisits")
+
+
+def records(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
+    """(head, payload) of one WARC record per row of ``pages``, without its final line breaks; a revisit has no payload."""
+    older = revisits(pages, least)
+    if older.count() <= BROADCAST_ROWS:
+        older = F.broadcast(older)
+    known = with_digest(pages)
+    rows = known.join(older, known["page_id"].eqNullSafe(older["page_id"]) & reduce(Column.__and__, [known[c] == older[c] for c in _KEY]), "left").select(*known, "refers_to")
     revisit, line = F.col("refers_to").isNotNull(), "\r\n"
-    n = F.octet_length("payload")
-    head = F.concat(F.lit(f"HTTP/1.1 200 OK{line}Content-Type: text/html; charset=utf-8{line}Content-Length: "), n, F.lit(line * 2))
-    block = F.when(revisit, head).otherwise(F.concat(head, F.col("payload")))
+    head = F.concat(F.lit(f"HTTP/1.1 200 OK{line}Content-Type: text/html; charset=utf-8{line}Content-Length: "), F.col("n_bytes"), F.lit(line * 2))
     url = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
     urn = lambda c: F.concat(F.lit("<urn:page:"), c, F.lit(">"))
     fields = {
@@ -67,19 +84,33 @@ def records(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
         "WARC-Record-ID": F.coalesce(urn(F.col("page_id")), F.lit("<urn:page:unknown>")),
         "WARC-Date": F.date_format(F.timestamp_seconds(F.coalesce(F.col("page_id"), F.lit(0)) + _EPOCH), "yyyy-MM-dd'T'HH:mm:ss'Z'"),
         "WARC-Target-URI": url,
-        "WARC-Payload-Digest": F.concat(F.lit("sha1:"), F.col("digest")),
+        "WARC-Payload-Digest": F.concat(F.lit("sha1:"), base32(F.col("sha1"))),
         "WARC-Refers-To": urn(F.col("refers_to")),
         "WARC-Profile": F.when(revisit, "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
         "Content-Type": F.lit("application/http; msgtype=response"),
-        "Content-Length": F.octet_length("block").cast("string"),
+        "Content-Length": (F.octet_length(head) + F.when(revisit, 0).otherwise(F.col("n_bytes"))).cast("string"),
     }
     lines = [F.when(v.isNotNull(), F.concat(F.lit(f"{k}: "), v, F.lit(line))).otherwise("") for k, v in fields.items()]
-    return rows.withColumn("block", block).select(F.concat(F.lit(f"WARC/1.1{line}"), *lines, F.lit(line), F.col("block")).alias("value"))
+    return rows.select(F.concat(F.lit(f"WARC/1.1{line}"), *lines, F.lit(line), head).alias("head"), F.when(~revisit, F.col("payload")).alias("payload"))
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = LEAST_REVISIT) -> None:
-    writer = records(pages, least).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE)
-    writer.text(folder)
+    """Write ``pages`` as archives, each a file of ``folder``."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            for head, payload in zip(*(b.column(c).cast(pa.binary()) for c in ("head", "payload"))):
+                held.append(gzip.compress(head.as_py() + (payload.as_py() or b"") + b"\r\n\r\n", 6, mtime=0))
+                size += len(held[-1])
+                if size >= ARCHIVE_BYTES or len(held) == ARCHIVE_RECORDS:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["archive"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["archive"])
+
+    archives = records(pages, least).mapInArrow(pack, "archive binary")
+    archives.select(F.col("archive").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(folder)
 
 
 def url_key(url: str | None) -> str:
@@ -126,6 +157,22 @@ def parse(archive: io.BufferedIOBase) -> Iterator[dict]:
         at += size
 
 
+def members(content: memoryview) -> Iterator[tuple[int, bytes]]:
+    """Where each gzip member of an archive begins, and what it holds."""
+    at = 0
+    while at < len(content):
+        if content[at] == 0:  # padding
+            at += 1
+            continue
+        d, start, out = zlib.decompressobj(31), at, []
+        while not d.eof:
+            if at >= len(content):
+                raise ValueError(f"cut member at {start}")
+            out.append(d.decompress(content[at : at + 65_536]))
+            at = min(at + 65_536, len(content)) - len(d.unused_data)
+        yield start, b"".join(out)
+
+
 def order(r: dict) -> tuple:
     return (r["url_key"], r["captured_at"], r["page_id"] is not None, r["page_id"] or 0, r["payload_digest"])
 
@@ -140,17 +187,17 @@ def runs(spark: SparkSession, folder: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, content in zip(b.column("path"), b.column("content")):
-                own = sorted(parse(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content.as_buffer())))), key=order)
+                own = sorted((r | {"offset": at} for at, x in members(memoryview(content.as_buffer())) for r in parse(io.BytesIO(x))), key=order)
                 if own:
                     yield pa.RecordBatch.from_pylist([r | {"archive": path.as_py()} for r in own], schema=_INDEX)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).select("path", "content").mapInArrow(work, _INDEX_DDL)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", "content").mapInArrow(work, _INDEX_DDL)
 
 
 class LoserTree:
     """Merges sorted runs: each inner node keeps the loser of its match, the overall winner stands apart."""
 
-    def __init__(self, own: list[list[dict]], key=order):
+    def __init__(self, own: list[Iterable[dict]], key=order):
         self.runs, self.key, self.k = [iter(r) for r in own], key, len(own)
         self.heads: list[tuple | None] = [self._next(i) for i in range(self.k)]
         self.losers = [-1] * max(self.k, 1)
@@ -193,18 +240,27 @@ class LoserTree:
             self.winner = w
 
 
+def _rows(run: pa.Table) -> Iterator[dict]:
+    """The rows of a run, some at a time."""
+    for at in range(0, run.num_rows, 64):
+        yield from run.slice(at, 64).to_pylist()
+
+
 def merged_index(sorted_runs: DataFrame) -> DataFrame:
-    """All captures in order of URL key and time: ranges of the key (with time and page, so that one URL's
-    captures can fall into several) hold a piece of each run, and each range merges its pieces."""
-    ranged = sorted_runs.repartitionByRange("url_key", "captured_at", "page_id").sortWithinPartitions("archive", "url_key", "captured_at", "page_id")
+    """All captures in order of URL key and time. Ranges of the whole order, so that one URL's captures can fall into
+    several, hold a piece of each run, archive by archive in its order; a range merges its pieces, of which it holds
+    the columns, and the heads as rows."""
+    places = ["url_key", "captured_at", "page_id", "payload_digest", "archive", "offset"]
+    n = -(-sorted_runs.count() // RANGE_ROWS)
+    ranged = sorted_runs.repartitionByRange(max(n, 1), *places).sortWithinPartitions("archive", *places)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[str, list[dict]] = {}
-        for b in batches:
-            for r in b.to_pylist():
-                own.setdefault(r["archive"], []).append(r)
+        whole = pa.Table.from_batches(batches, _INDEX)
+        names = whole.column("archive").combine_chunks().dictionary_encode() if whole.num_rows else None
+        codes = names.indices.to_numpy() if names is not None else np.zeros(0, int)
+        cuts = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(codes)]
         out: list[dict] = []
-        for r in LoserTree([sorted(x, key=order) for x in own.values()]):
+        for r in LoserTree([_rows(whole.slice(a, b - a)) for a, b in zip(cuts, cuts[1:])]):
             out.append(r)
             if len(out) == 10_000:
                 yield pa.RecordBatch.from_pylist(out, schema=_INDEX)

@@ -1,12 +1,14 @@
 """Chat views, mixing, the language model, the Jaccard join, archives and the pipeline."""
 
 import base64
+import gzip
 import hashlib
 import io
 import itertools
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 
@@ -299,6 +301,28 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc.archive_and_index(pages.limit(0), f"file://{tmp_path}/e").count() == 0
 
 
+def test_captures_are_read_from_their_offsets(spark, tmp_path, monkeypatch):
+    """Small archives and ranges; one payload in a third of the pages; each record alone from its place in the archive."""
+    monkeypatch.setattr(warc, "ARCHIVE_RECORDS", 7)
+    monkeypatch.setattr(warc, "RANGE_ROWS", 20)
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    rows = [(i, f"http://h{i % 5}.org/{i}", "hot" if i % 3 == 0 else f"<p>{i} é</p>" * (i % 4)) for i in range(90)]
+    index = warc.archive_and_index(spark.createDataFrame(rows, "page_id bigint, url string, html string"), f"file://{tmp_path}/w").collect()
+    html, last = {i: h.encode() for i, _, h in rows}, {h: i for i, _, h in rows}
+    assert sorted(r.page_id for r in index) == list(range(90)) and len({r.archive for r in index}) >= 90 // 7
+    assert [(r.url_key, r.captured_at) for r in index] == sorted((r.url_key, r.captured_at) for r in index)
+    for r in index:
+        with open(r.archive.removeprefix("file:"), "rb") as f:
+            f.seek(r.offset)
+            record = zlib.decompressobj(31).decompress(f.read())
+        i = r.page_id
+        assert f"<urn:page:{i}>".encode() in record
+        assert r.refers_to == (None if last[html[i].decode()] == i else last[html[i].decode()])
+        assert record.endswith((b"" if r.refers_to is not None else html[i]) + b"\r\n\r\n")
+    whole = [warc.members(memoryview(open(p, "rb").read())) for p in {r.archive.removeprefix("file:") for r in index}]
+    assert sum(len(list(warc.parse(io.BytesIO(gzip.decompress(open(p.removeprefix("file:"), "rb").read()))))) for p in {r.archive for r in index}) == sum(len(list(m)) for m in whole) == 90
+
+
 def test_loser_tree_merges_runs():
     rng = random.Random(3)
     for k in range(8):
