@@ -8,12 +8,14 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -183,6 +185,40 @@ def test_language_model_scores(spark):
     assert empty.count() == 0
 
 
+def test_words_of_arrow_are_those_of_the_pattern():
+    texts = [None, "", " ", "\t a\x0bB  c\u2003d \x1c e\x85", "ÀÉ Ab", "x", " lead", "trail \n", "\U0001f642 Z\x00y", *(t for _, t, _ in EDGE)]
+    for own in (texts, texts[:1], [], texts[3:5]):
+        words, n = language_model.words_of(pa.array(own, pa.string()))
+        want = [re.findall(WORD, lowered(t)) if t else [] for t in own]
+        assert words.to_pylist() == [w for x in want for w in x] and n.tolist() == [len(x) for x in want]
+
+
+def test_numbers_of_words(spark):
+    counts = {"the": 9, language_model.END: 8, "cat": 3}
+    value = (list(counts), np.array(list(counts.values())), 30, 9)
+    v = language_model.Vocabulary(*value)
+    rows = [*[(i, t, "s") for i, t in enumerate(["The cat", "", "a cat a\tthe B", None])], *EDGE]
+    got = language_model.numbered(docs_of(spark, rows), spark.sparkContext.broadcast(value)).collect()
+    want = Counter()
+    for i, t, _ in rows:
+        words, ids = v.ids(t)
+        want[i, tuple(ids.tolist()), tuple(w for w in words if w not in counts)] += 1
+    assert Counter((r.doc_id, tuple(r.ids), tuple(r.rare)) for r in got) == want
+
+
+def test_a_very_long_text_is_trained_and_scored_in_bounded_memory():
+    layout = gru.Layout(np.arange(3000, 0, -1).astype(float), 20.0)
+    rng = np.random.default_rng(4)
+    long = np.append(rng.integers(-1, 3000, 1_000_000), 5).astype(np.int32)
+    tracemalloc.start()
+    t = gru.Trainer(gru.start_weights(layout), layout, 0.005)
+    t.epoch([long, long[:10]], 5)
+    total = gru.score(t.w, layout, [long[-200_000:], long[:10]])
+    assert tracemalloc.get_traced_memory()[1] < 200_000_000
+    tracemalloc.stop()
+    assert np.isfinite(total).all() and t.steps < 200
+
+
 def test_model_trains_on_every_document(spark, monkeypatch):
     """Null and repeated ids too, and beyond the documents that start the model."""
     monkeypatch.setattr(language_model, "START_DOCS", 1)
