@@ -1,11 +1,13 @@
 """N-gram Jaccard join by PartEnum signatures.
 
 A document is the set of its distinct five-word shingles; two link at a Jaccard similarity
-of 0.8 or more. Sets fall into bands by size. Sets of one band, or of two next to each
-other, that link differ in at most k elements, so of k + 1 + e parts of the feature domain
-at least e + 1 hold the same elements in both. Each set has one signature per part that is
-not empty. A set with more than e empty parts adds the signatures of another partition,
-and at the last one those of its empty parts too, so no link is lost.
+of 0.8 or more. Sets fall into bands by size, which overlap so that sets that link share
+one; there they differ in at most k elements. The feature domain is cut into k // 2 + 1 + e
+parts, so in at least e + 1 of them linked sets differ in one element at most. Each part is
+cut again into cells, of which all but one are then equal: a set has a signature for every
+subset of the cells of a part that leaves out one. Signatures of empty cells alone are left
+out; a set that so loses signatures in more than e parts adds those of another partition,
+and at the last one the empty ones too, so no link is lost.
 
 Equal sets are one class from the start. In each bucket of equal signatures the classes are
 first compared with one of them, another one in each round; the components of these links
@@ -24,9 +26,10 @@ Shingles and classes are known by 64-bit hashes; a second hash of 64 bits guards
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +43,15 @@ from .common import materialise, release, set_aside, table
 SHINGLE = 5
 #: 64-bit words of a parity sketch.
 SKETCH = 16
-#: Partitions tried before empty parts count as well.
+#: Partitions tried before empty cells count as well.
 LEVELS = 4
+#: Parts have three cells, of which a signature takes two, in bands of sizes up to this; two, of which it takes one, above:
+#: large sets have signatures enough.
+THREE_CELLS = 512
+#: Parts in a hundred differences, over those needed, that may lack a signature; for three cells and for two.
+SPARE = {3: 8, 2: 24}
+#: Bits of a signature; what falls together by chance is told apart when pairs are compared.
+SIGNATURE_BITS = 48
 #: Buckets of at most this size are joined as they are, larger ones with their sketches.
 SMALL_BUCKET = 32
 #: Rounds in which each bucket's members are compared with one of them only.
@@ -95,40 +105,58 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
 
 
-def _bands(largest: int = 1 << 40) -> list[int]:
-    """The largest size of each band; a set links only with sets of its own band and the next ones."""
+def _bands(largest: int = 1 << 40) -> list[tuple[int, int]]:
+    """The sizes of each band, from and to. The next one begins with the smallest set whose partners may be too large for this."""
     out, low = [], 1
-    while low < largest:
-        out.append(max(low, low * 5 // 4))
-        low = out[-1] + 1
+    while low <= largest:
+        high = max(low, low * 7 // 4)
+        out.append((low, high))
+        low = max(low + 1, 4 * high // 5 + 1)
     return out
 
 
 BANDS = _bands()
+_LOWS = [low for low, _ in BANDS]
+
+
+def _band_signatures(s: np.ndarray, content_of: np.ndarray, band: int) -> list[np.ndarray]:
+    """The signatures of a set in a band of its size; ``content_of``: what each element adds to the content of its cell."""
+    k = 2 * BANDS[band][1] // 9
+    cells = 3 if BANDS[band][1] <= THREE_CELLS else 2
+    spare = 1 + k * SPARE[cells] // 100
+    parts, out = k // 2 + 1 + spare, []
+    for level in range(LEVELS):
+        salt = np.uint64(band * LEVELS + level + 1)
+        cell = mixed(s + np.full(1, salt) * _FACTORS[1]) % np.uint64(parts * cells)
+        order = np.argsort(cell.astype(np.uint16) if parts * cells <= 1 << 16 else cell, kind="stable")  # short keys are sorted by radix
+        cell = cell[order].astype(np.int64)
+        first = np.flatnonzero(np.diff(cell, prepend=-1))
+        content = np.zeros(parts * cells, np.uint64)
+        content[cell[first]] = np.add.reduceat(content_of[order], first)
+        held = np.zeros(parts * cells, bool)
+        held[cell[first]] = True
+        content, held = content.reshape(parts, cells), held.reshape(parts, cells)
+        found, there = [], []
+        for subset in combinations(range(cells), cells - 1):
+            own = list(subset)
+            found.append((content[:, own] * _FACTORS[own]).sum(1, dtype=np.uint64))
+            there.append(held[:, own].any(1))
+        found, there = np.concatenate(found), np.stack(there)
+        found = mixed(found + mixed(np.arange(len(found), dtype=np.uint64) * _FACTORS[3] + salt))
+        enough = np.count_nonzero(~there.all(0)) <= spare
+        out.append(found if level == LEVELS - 1 and not enough else found[there.reshape(-1)])
+        if enough:
+            break
+    return out
 
 
 def signatures(s: np.ndarray) -> np.ndarray:
-    """All signatures of a set: for its own band and for the next one."""
-    out, own, content_of = [], bisect_left(BANDS, len(s)), mixed(s + _FACTORS[2])
-    for band in (own, own + 1):
-        k = 2 * BANDS[band] // 9
-        spare = 2 + k * 8 // 100
-        parts = np.uint64(k + 1 + spare)
-        for level in range(LEVELS):
-            salt = np.uint64(band * LEVELS + level + 1)
-            part = mixed(s + np.full(1, salt) * _FACTORS[1]) % parts
-            order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")  # short keys are sorted by radix
-            part = part[order]
-            first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-            content = np.add.reduceat(content_of[order], first)
-            out.append(mixed(content + mixed(part[first] * _FACTORS[3] + salt)))
-            empty = int(parts) - len(first)
-            if empty <= spare:
-                break
-            if level == LEVELS - 1:
-                absent = np.setdiff1d(np.arange(int(parts), dtype=np.uint64), part[first])
-                out.append(mixed(mixed(absent * _FACTORS[3] + salt)))
-    return np.concatenate(out)
+    """All signatures of a set, for each band of its size."""
+    out, content_of, band = [], mixed(s + _FACTORS[2]), bisect_right(_LOWS, len(s)) - 1
+    while band >= 0 and len(s) <= BANDS[band][1]:
+        out += _band_signatures(s, content_of, band)
+        band -= 1
+    return np.concatenate(out) >> np.uint64(64 - SIGNATURE_BITS)
 
 
 _SKETCH_COLUMNS = [f"s{i}" for i in range(SKETCH)]

@@ -290,7 +290,7 @@ def test_components_equal_brute_force(spark, monkeypatch, small):
 
 def test_signatures_lose_no_link():
     rng = np.random.default_rng(5)
-    for n in [*range(1, 40), 90, 333]:
+    for n in [*range(1, 40), 90, 333, 700, 1500]:
         for _ in range(6):
             a = rng.integers(0, 2**63, n).astype(np.uint64)
             gone = rng.integers(0, max(1, n // 5) + 1)
@@ -304,6 +304,36 @@ def test_signatures_lose_no_link():
                 assert bits <= len(a) + len(b) - 2 * both
 
 
+def test_linked_sets_share_a_band():
+    for n in range(1, 3000):
+        for m in {n, min(n + 1, n * 5 // 4), n * 5 // 4}:
+            both = [b for b in jaccard.BANDS if b[0] <= n and m <= b[1]]
+            assert both and all((n + m) // 9 <= 2 * high // 9 for _, high in both)
+
+
+def test_signatures_survive_the_last_level(monkeypatch):
+    """With no spare parts and one partition, empty cells count too, and links of small sets still meet."""
+    monkeypatch.setattr(jaccard, "LEVELS", 1)
+    monkeypatch.setattr(jaccard, "SPARE", {3: 0, 2: 0})
+    rng = np.random.default_rng(6)
+    for cells in (0, 512):
+        monkeypatch.setattr(jaccard, "THREE_CELLS", cells)
+        for n in range(5, 60):
+            a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            b = a[: max(1, -(-8 * len(a) // 10))]
+            assert np.intersect1d(jaccard.signatures(a), jaccard.signatures(b)).size
+
+
+def test_thousands_of_texts_share_a_passage(spark):
+    """Different texts around one long passage: no links between them, and near copies of some are still found."""
+    rng = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [f"{' '.join(f'w{rng.randrange(10**6)}' for _ in range(rng.randint(60, 120)))} {passage}" for _ in range(5_000)]
+    texts += [t + " tail" for t in texts[:50]]
+    got = {r.doc_id: r.component_id for r in jaccard.similarity_classes(docs_of(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert got == {i: i if i < 5_000 else i - 5_000 for i in range(len(texts))}
+
+
 def test_join_edges(spark):
     rows = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similarity_classes(docs_of(spark, EDGE)).collect()}
     assert rows == {(1, 0, 1), (2, 0, 2), (3, 1, 3), (4, 1, 4), (None, 2, None), (5, 1, 5), (6, 0, 6)}
