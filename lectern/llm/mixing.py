@@ -15,13 +15,14 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
+from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import WORD, materialise, table
@@ -29,7 +30,7 @@ from .common import WORD, materialise, table
 WEIGHTS = (5, 2, 1)
 PASSES = 3
 BLOCK_WORDS = 16
-#: Sources the plan may hold, and shards over all of them; both bound what reaches the driver.
+#: Sources whose quotas the driver works out (of more, window functions do), and shards over all of them (one a source at least).
 MAX_SOURCES, MAX_SHARDS, SHARD_DOCS = 100_000, 65_536, 256
 _PRIME = 1_000_000_007
 
@@ -78,51 +79,96 @@ def _number(text: str) -> int:
     return int(hashlib.md5(text.encode()).hexdigest()[:8], 16)
 
 
-def plan(shards: pd.DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES, block: int = BLOCK_WORDS, seed: int = 7) -> pd.DataFrame:
-    """Per shard (source, shard, words) the passes over it, the blocks of the last, partial one, and the walk's start."""
-    key = lambda s: (s is None, s or "")  # noqa: E731  code points, null last
-    size = {s: 0 for s in sorted(set(shards["source"]), key=key)}
-    for s, n in zip(shards["source"], shards["words"]):
-        size[s] += int(n)
-    names = list(size)
-    want = targets([size[s] for s in names], [weights[i % len(weights)] for i in range(len(names))], passes)
-    seats = sainte_lague(np.array([float(x) for x in want]), round(sum(size.values()) / block))
-    out = []
-    for s, t, n in zip(names, want, seats):
-        own = shards[[x == s if s is not None else x is None for x in shards["source"]]].sort_values("shard")
-        for shard, words, blocks in zip(own["shard"], own["words"], sainte_lague(own["words"].to_numpy(), int(n))):
-            words = int(words)
-            take = min(int(blocks) * block, passes * words)
+def source_quotas(sources: DataFrame, few: bool, weights: tuple[int, ...], passes: int, block: int) -> DataFrame:
+    """(source, source_size, target, quota) of (source, size): the words a source should give, and its blocks of the mix.
+    ``few``: the driver works them out; else window functions over all sources do, by the same rules."""
+    spark = sources.sparkSession
+    if few:
+        rows = sorted(sources.select("source", "size").collect(), key=lambda r: (r["source"] is None, r["source"] or ""))  # code points, null last
+        size = [int(r["size"]) for r in rows]
+        want = targets(size, [weights[i % len(weights)] for i in range(len(rows))], passes)
+        seats = sainte_lague(np.array([float(x) for x in want]), round(sum(size) / block)).tolist()
+        return spark.createDataFrame([(r["source"], n, float(t), q) for r, n, t, q in zip(rows, size, want, seats)], "source string, source_size bigint, target double, quota bigint")
+    whole = lambda c: F.col(c).cast("decimal(38,0)")
+    everything = Window.partitionBy()
+    x = sources.select("source", "size", (F.row_number().over(everything.orderBy(F.asc_nulls_last("source"))) - 1).alias("i"))
+    x = x.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (F.col("i") % len(weights) + 1).cast("int")))
+    # the order in which sources fill up, the words and weights left before each, and the first that does not fill up
+    common = math.lcm(*weights)
+    filling = everything.orderBy((F.col("size") * (F.lit(common) / F.col("w")).cast("bigint")), "i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = x.withColumns({"total": F.sum("size").over(everything), "place": F.row_number().over(filling.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
+    x = x.withColumns({"room": F.col("total") - passes * (F.sum("size").over(filling) - F.col("size")), "weight": F.sum("w").over(everything) - F.sum("w").over(filling) + F.col("w")})
+    opens = whole("room") * F.col("w") < passes * whole("size") * F.col("weight")
+    first = F.min(F.when(opens, F.struct("place", "room", "weight"))).over(everything)
+    x = x.withColumn("first", first)
+    shared = F.col("first.room").cast("double") * F.col("w") / F.col("first.weight")
+    x = x.withColumn("target", F.when(F.col("first").isNull() | (F.col("place") < F.col("first.place")), (passes * F.col("size")).cast("double")).otherwise(shared))
+    # nearly all blocks by a common divisor, the last ones by the highest quotients
+    x = x.withColumns({"seats": F.bround(F.col("total") / F.lit(float(block)), 0).cast("bigint"), "votes": F.sum("target").over(everything), "n": F.count("*").over(everything)})
+    x = x.withColumn("sure", F.when((F.col("seats") > F.col("n")) & (F.col("votes") > 0), F.floor(F.col("target") * (F.col("seats") - F.col("n") / 2) / F.col("votes") + 0.5)).otherwise(F.lit(0)).cast("bigint"))
+    x = x.withColumn("left", F.col("seats") - F.sum("sure").over(everything))
+    most = F.least(F.col("left"), F.ceil(F.col("target") * F.col("n") / F.greatest("votes", F.lit(1.0))).cast("bigint") + 2)
+    k = x.where("target > 0 and left > 0").select("i", "left", "target", F.explode(F.sequence(F.col("sure"), F.col("sure") + most)).alias("k"))
+    ranked = k.withColumn("rank", F.row_number().over(everything.orderBy(F.desc(F.col("target") / (2 * F.col("k") + 1)), "i")))
+    more = ranked.where("rank <= left").groupBy("i").agg(F.count("*").alias("more"))
+    return x.join(more, "i", "left").select("source", F.col("size").alias("source_size"), "target", (F.col("sure") + F.coalesce("more", F.lit(0))).alias("quota"))
+
+
+_PLAN = "source string, shard bigint, source_size bigint, target double, passes bigint, blocks bigint, there bigint, step bigint, first bigint"
+_PLAN_ROWS = pa.schema([("source", pa.string()), ("shard", pa.int64()), ("source_size", pa.int64()), ("target", pa.float64()), *((c, pa.int64()) for c in ("passes", "blocks", "there", "step", "first"))])
+
+
+def shard_plans(shards: DataFrame, passes: int = PASSES, block: int = BLOCK_WORDS, seed: int = 7) -> DataFrame:
+    """Per shard of (source, shard, words, source_size, target, quota) the passes over it, the blocks of the last, partial one,
+    and the walk's start. A source has MAX_SHARDS shards at most."""
+
+    def rows(own: list[dict]) -> list[dict]:
+        out, s = [], own[0]["source"]
+        for r, blocks in zip(own, sainte_lague(np.array([r["words"] for r in own]), own[0]["quota"]).tolist()):
+            words = r["words"]
+            take = min(blocks * block, passes * words)
             full = take // words if words else 0
             there = -(-words // block)
             rest = min(round((take - full * words) / block), there)
-            out.append((s, int(shard), size[s], float(t), full, rest, there, step_for(there), _number(f"{seed}:{s}:{shard}") % max(there, 1)))
-    return pd.DataFrame(out, columns=["source", "shard", "source_size", "target", "passes", "blocks", "there", "step", "first"])
-
-
-_PLAN = T.StructType([T.StructField("source", T.StringType()), T.StructField("shard", T.LongType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), *(T.StructField(c, T.LongType()) for c in ("passes", "blocks", "there", "step", "first"))])
+            walk = {"there": there, "step": step_for(there), "first": _number(f"{seed}:{s}:{r['shard']}") % max(there, 1)}
+            out.append({k: r[k] for k in ("source", "shard", "source_size", "target")} | {"passes": full, "blocks": rest} | walk)
+        return out
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                if held and held[0]["source"] != r["source"]:
+                    out += rows(held)
+                    held = []
+                held.append(r)
+            yield pa.RecordBatch.from_pylist(out, schema=_PLAN_ROWS)
+        if held:
+            yield pa.RecordBatch.from_pylist(rows(held), schema=_PLAN_ROWS)
+
+    return shards.repartition("source").sortWithinPartitions("source", "shard").mapInArrow(work, _PLAN)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES, block: int = BLOCK_WORDS, seed: int = 7) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken, shard) of every document."""
-    spark = docs.sparkSession
     sized = materialise(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")), "sizes")
-    rows = sized.groupBy("source").agg(F.count("*").alias("rows")).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    total = sum(r["rows"] for r in rows)
-    spread = [(r["source"], max(1, min(-(-r["rows"] // SHARD_DOCS), MAX_SHARDS * r["rows"] // total))) for r in rows]
-    spread = spark.createDataFrame(spread, "source string, n_shards bigint")
+    sources = materialise(sized.groupBy("source").agg(F.count("*").alias("rows"), F.sum("size").alias("size")), "sources")
+    n_sources, total = sources.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    few = n_sources <= MAX_SOURCES
+    small = F.broadcast if few else lambda x: x
+    quotas = materialise(source_quotas(sources, few, weights, passes, block), "quotas")
+    spread = sources.select(F.col("source").alias("s_source"), F.greatest(F.lit(1), F.least(F.expr(f"(rows + {SHARD_DOCS - 1}) div {SHARD_DOCS}"), F.expr(f"{MAX_SHARDS} * rows div {max(total, 1)}"))).alias("n_shards"))
     placed = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sharded = sized.withColumn("place", placed).join(F.broadcast(spread), sized["source"].eqNullSafe(spread["source"])).drop(spread["source"])
+    sharded = sized.withColumn("place", placed).join(small(spread), sized["source"].eqNullSafe(spread["s_source"])).drop("s_source")
     sharded = sharded.withColumn("shard", F.conv(F.substring("place", 1, 8), 16, 10).cast("bigint") % F.col("n_shards")).drop("n_shards")
-    shards = sharded.groupBy("source", "shard").agg(F.sum("size").alias("words")).toArrow().to_pylist()
-    plans = plan(pd.DataFrame(shards, columns=["source", "shard", "words"], dtype=object), weights, passes, block, seed)
-    plans = spark.createDataFrame([tuple(r) for r in plans.astype(object).where(plans.notna(), None).itertuples(index=False)], _PLAN)
+    words = sharded.groupBy("source", "shard").agg(F.sum("size").alias("words"))
+    of = quotas.select(F.col("source").alias("q_source"), "source_size", "target", "quota")
+    plans = materialise(shard_plans(words.join(small(of), words["source"].eqNullSafe(of["q_source"])).drop("q_source"), passes, block, seed), "plans")
     window = Window.partitionBy("source", "shard").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     laid = sharded.withColumn("end", F.sum("size").over(window)).withColumn("start", F.col("end") - F.col("size"))
     p = plans.select(F.col("source").alias("p_source"), F.col("shard").alias("p_shard"), *plans.columns[2:])
-    joined = laid.join(F.broadcast(p), laid["source"].eqNullSafe(p["p_source"]) & (laid["shard"] == p["p_shard"]))
+    joined = laid.join(small(p), laid["source"].eqNullSafe(p["p_source"]) & (laid["shard"] == p["p_shard"]))
     mine = F.sequence(F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block))
     picked = lambda b: F.pmod(b * F.pmod("step", "there") + F.col("first"), F.col("there")) < F.col("blocks")
     part = lambda acc, b: acc + F.when(picked(b), F.least(F.col("end"), (b + 1) * block) - F.greatest(F.col("start"), b * block)).otherwise(0)

@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lectern.llm import chat, gru, jaccard, language_model, mixing, warc
@@ -114,6 +115,19 @@ def test_mix_meets_targets_and_repeats(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_quotas_of_very_many_sources(spark, monkeypatch):
+    """Window functions give what the driver gives, and a table of more than 100,000 sources is mixed whole."""
+    rng = random.Random(12)
+    for n in (1, 3, 40, 700):
+        rows = [(None if i == 5 else f"s{i:05d}", 1, rng.choice([0, 1, 7, 300, 90_000, 5_000_000])) for i in range(n)]
+        sources = spark.createDataFrame(rows, "source string, rows bigint, size bigint")
+        few, many = ({r.source: (r.source_size, round(r.target, 4), r.quota) for r in mixing.source_quotas(sources, few, mixing.WEIGHTS, 3, 16).collect()} for few in (True, False))
+        assert few == many
+    docs = spark.range(100_500).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), "id").alias("source"), F.repeat(F.lit("w "), (F.col("id") % 40).cast("int")).alias("text"))
+    got = mixing.mix(docs).agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.sum("target").alias("target"), F.sum("taken").alias("taken"), F.count_if(F.expr("taken > 3 * size")).alias("over")).first()
+    assert got.n == 100_500 and got.over == 0 and abs(got.target - got.size) < 1 and got.taken > 0
+
+
 def test_state_is_carried_over_windows():
     rng = np.random.default_rng(0)
     layout = gru.Layout(np.sort(rng.integers(2, 1000, 9000))[::-1].astype(float), 300.0)
