@@ -11,6 +11,9 @@ any budget, which prefix still fits, without encoding the text again.
 Defined cases: a null text counts as empty and has no tokens; prefixes are counted in code
 points of the composed (NFC) text; a text within the budget is kept whole; repeated
 documents give repeated rows; an empty table gives an empty result.
+
+What kind of character a code point is differs between versions of Unicode. Those that this
+Python does not know, but the library may, are put to the library once, one by one.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from itertools import accumulate
 
 import pyarrow as pa
 import regex
+import tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
@@ -38,8 +42,8 @@ _ASCII_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]
 _LATIN = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-ʯ"
 _LATIN_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\t-\r \x85\xa00-9\xb2\xb3\xb9\xbc-\xbe{_LATIN}]+")
 _BEYOND_LATIN = re.compile("[ʰ-\U0010ffff]")
-_ANY_PIECE = regex.compile(PIECE)
 _SEPARATORS = re.compile("[\x1c-\x1f]")
+_NFC, _LOWER = tokenizers.normalizers.NFC(), tokenizers.normalizers.Lowercase()
 END = "</w>"
 #: Keys of a node for the token that ends there; letters are never longer than one.
 OPEN, CLOSED = "open", "closed"
@@ -52,6 +56,19 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(extra)) for b in range(256)]
 
 
+def late_kinds(library: tokenizers.Tokenizer) -> dict[str, str]:
+    """For each kind, L, N or other, the code points of that kind in the library which this Python's tables do not have
+    but those of the pattern module do."""
+    unknown = "".join(c for c in map(chr, range(0x250, 0x110000)) if unicodedata.category(c) == "Cn")
+    late = regex.findall(r"\P{Cn}", unknown)
+    pieces = lambda text: len(library.pre_tokenizer.pre_tokenize_str(text))
+    kinds = {"L": [], "N": [], "other": []}
+    for c in late:
+        low = _LOWER.normalize_str(_NFC.normalize_str(c))
+        kinds["L" if pieces(f"a{low}a") == 1 else "N" if pieces(low * 2) == 2 * len(low) else "other"].append(c)
+    return {k: "".join(v) for k, v in kinds.items()}
+
+
 class _Words(dict):
     """Tokens of words between white space, remembered."""
 
@@ -68,7 +85,7 @@ class _Words(dict):
 class PrefixCounter:
     """Exact counts for one vocabulary: ranked merges with an end mark on the last letter."""
 
-    def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]], special: list[str]):
+    def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]], special: list[str], late: dict[str, str] | None = None):
         self.vocabulary, self.ranks = vocabulary, {tuple(m): k for k, m in enumerate(merges)}
         self.letters = byte_letters()
         self.names = {k: t for t, k in vocabulary.items()}
@@ -78,12 +95,18 @@ class PrefixCounter:
         self.edges: tuple[dict, dict] = ({}, {})
         self.known: dict[str, int] = {}
         self.words = _Words(self)
+        late = {k: f"[{re.escape(v)}]" for k, v in (late or {}).items() if v}
+        self.late = regex.compile("|".join(late.values())) if late else None
+        letter, number = (f"[[\\p{{{k}}}{''.join('--' + v for j, v in late.items() if j != k)}]{'||' + late[k] if k in late else ''}]" for k in "LN")
+        piece = PIECE.replace(rf"[^{_SPACE}\p{{L}}\p{{N}}]", f"[^[{_SPACE}]||{letter}||{number}]").replace(r"\p{L}+|\p{N}|", f"{letter}+|{number}|")
+        self.any_piece = regex.compile(piece, regex.V1)
 
     @classmethod
-    def of_json(cls, text: str) -> PrefixCounter:
+    def of_json(cls, text: str, late: dict[str, str] | None = None) -> PrefixCounter:
+        """``late``: what late_kinds gives for the vocabulary, where it is known."""
         j = json.loads(text)
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in j["model"]["merges"]]
-        return cls(j["model"]["vocab"], merges, [t["content"] for t in j.get("added_tokens", [])])
+        return cls(j["model"]["vocab"], merges, [t["content"] for t in j.get("added_tokens", [])], late or late_kinds(tokenizers.Tokenizer.from_str(text)))
 
     @staticmethod
     def _tree(vocabulary: dict[str, int]) -> dict:
@@ -224,16 +247,21 @@ class PrefixCounter:
             if part:
                 yield part, k % 2 == 1
 
-    @staticmethod
-    def lower(text: str) -> str:
+    def is_late(self, text: str) -> bool:
+        return bool(self.late and _BEYOND_LATIN.search(text) and self.late.search(text))
+
+    def composed(self, text: str) -> str:
+        return text if text.isascii() else _NFC.normalize_str(text) if self.is_late(text) else unicodedata.normalize("NFC", text)
+
+    def lower(self, text: str) -> str:
         """Each code point's own lower case, composed first."""
         if text.isascii():
             return text.lower()
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        composed = self.composed(text)
+        return _LOWER.normalize_str(composed) if self.is_late(composed) else composed.replace("Σ", "σ").lower()
 
-    @staticmethod
-    def pattern(text: str):
-        return _ASCII_PIECE if text.isascii() else _ANY_PIECE if _BEYOND_LATIN.search(text) else _LATIN_PIECE
+    def pattern(self, text: str):
+        return _ASCII_PIECE if text.isascii() else self.any_piece if _BEYOND_LATIN.search(text) else _LATIN_PIECE
 
     def count(self, text: str) -> int:
         total = 0
@@ -264,7 +292,7 @@ class PrefixIndex:
                 self._add(at, at + len(part), None, 1)
                 at += len(part)
                 continue
-            composed = unicodedata.normalize("NFC", part)
+            composed = counter.composed(part)
             low = counter.lower(part)
             place = range(len(low) + 1)
             if len(low) != len(composed):  # a code point whose lower case is longer
@@ -309,20 +337,21 @@ def token_counts(docs: DataFrame, vocabulary: str, *keep: str, limit: int = LIMI
     keep = keep or ("doc_id",)
     base = docs.select(*dict.fromkeys([*keep, "text"]))
     with open(vocabulary, encoding="utf-8") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary: a few MB at any size of input
+        text = f.read()
+    shared = docs.sparkSession.sparkContext.broadcast((text, late_kinds(tokenizers.Tokenizer.from_str(text))))  # one vocabulary: a few MB at any size of input
     schema = ", ".join(f"`{base.schema[c].name}` {base.schema[c].dataType.simpleString()}" for c in keep)
     schema += ", n_bytes bigint, n_tokens bigint, over_limit boolean, fit_chars bigint"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash(shared.value)
+        key = hash(shared.value[0])
         if key not in _counters:
             _counters.clear()
-            _counters[key] = PrefixCounter.of_json(shared.value)
+            _counters[key] = PrefixCounter.of_json(*shared.value)
         c = _counters[key]
         for b in batches:
             texts = [t.as_py() or "" for t in b.column("text")]
             n = [c.count(t) for t in texts]
-            fit = [c.index(t).fit(limit) if k > limit else len(t if t.isascii() else unicodedata.normalize("NFC", t)) for t, k in zip(texts, n)]
+            fit = [c.index(t).fit(limit) if k > limit else len(c.composed(t)) for t, k in zip(texts, n)]
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(x) for x in keep), pa.array([len(t.encode("utf-8")) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([k > limit for k in n], pa.bool_()), pa.array(fit, pa.int64())],
                 names=[*keep, "n_bytes", "n_tokens", "over_limit", "fit_chars"],

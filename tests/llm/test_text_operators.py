@@ -120,6 +120,19 @@ def test_counts_equal_the_library(library):
     assert [mine.count(t) for t in texts] == [len(e.ids) for e in lib.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_every_kind_of_character_counts_as_in_the_library(library):
+    """A sweep of the code points, those of late versions of Unicode in full."""
+    _, lib, counter = library
+    late = "".join(token_counts.late_kinds(lib).values())
+    points = [c for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) < 0xE000]
+    points = [*late[::3], *points[:0x3000], *points[0x3000:0x20000:5], *points[0x20000::97]]
+    texts = [f"ab{c}c1 {c}{c}'s e{c}" for c in points]
+    want = [len(e.ids) for e in lib.encode_batch(texts, add_special_tokens=False)]
+    assert [c for c, t, n in zip(points, texts, want) if counter.count(t) != n] == []
+    for t, n in list(zip(texts, want))[::50]:
+        assert counter.index(t).tokens(len(counter.composed(t))) == n
+
+
 def test_every_prefix_is_exact(library):
     _, lib, mine = library
     text = "The counterrevolutionaries' unbelievably long-winded x2047 straße, don't!! \U0001f642 end"
