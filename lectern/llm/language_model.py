@@ -60,18 +60,11 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return found.filter(word), np.where(lists.value_lengths().to_numpy() > 0, n, 0)
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A batch in parts of some 2,000 texts: what splitting one takes is several times its size."""
-    for b in batches:
-        for at in range(0, b.num_rows, 2_000):
-            yield b.slice(at, 2_000)
-
-
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) over all documents given; tasks add up some texts before it is shuffled."""
+    """(word, n) over all documents given; tasks add up each batch before it is shuffled."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches):
+        for b in batches:
             words, _ = words_of(b.column("text"))
             words, n = words.value_counts().flatten()
             yield pa.RecordBatch.from_arrays([pa.concat_arrays([words, pa.array([END])]), pa.array(np.append(n.to_numpy(), b.num_rows))], names=["word", "n"])
@@ -154,7 +147,7 @@ def numbered(docs: DataFrame, shared) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = _vocabulary(shared)
-        for b in _slices(batches):
+        for b in batches:
             words, n = words_of(b.column("text"))
             ids, ends = v.numbered(words), np.cumsum(n)
             far = np.flatnonzero(ids < 0)
