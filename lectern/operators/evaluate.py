@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import difflib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .layout import kept_in_turn
+
 
 def type_histogram(left: DataFrame, right: DataFrame) -> DataFrame:
     """Per document and type how many blocks either side has, and whether the documents' types agree in order."""
@@ -22,8 +24,8 @@ def type_histogram(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def greedy_matches(oracle: DataFrame, candidate: DataFrame, least: float = 0.25) -> DataFrame:
     """One-to-one matches per (doc_id, page, type) by falling overlap (of equals the later oracle box, then the later
-    candidate). Only pairs that overlap enough are made, by a join within the page; the order-dependent picking runs
-    per page in pandas, where groups are bounded by a page's boxes."""
+    candidate). Only pairs that overlap enough are made, by a join within the page; the order-dependent picking passes
+    over sorted rows and holds one page's picks."""
     from ..functions import geometry as g
 
     keys = ["doc_id", "page", "type"]
@@ -31,17 +33,19 @@ def greedy_matches(oracle: DataFrame, candidate: DataFrame, least: float = 0.25)
     b = candidate.select(*keys, F.col("ord").alias("b"), F.col("box").alias("b_box"))
     pairs = a.join(b, keys).withColumn("overlap", g.iou(F.col("a_box"), F.col("b_box"))).where(F.col("overlap") >= least).select(*keys, "a", "b", "overlap")
 
-    def pick(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values(["overlap", "a", "b"], ascending=False)
-        seen_a, seen_b, keep = set(), set(), []
-        for a, b in zip(x["a"], x["b"]):
-            keep.append(a not in seen_a and b not in seen_b)
-            if keep[-1]:
-                seen_a.add(a)
-                seen_b.add(b)
-        return x[keep]
-
-    return pairs.groupBy(*keys).applyInPandas(pick, pairs.schema)
+    def start() -> Callable[[tuple], bool]:
+        seen_a, seen_b = set(), set()
+
+        def take(row: tuple) -> bool:
+            free = row[0] not in seen_a and row[1] not in seen_b
+            if free:
+                seen_a.add(row[0])
+                seen_b.add(row[1])
+            return free
+
+        return take
+
+    return kept_in_turn(pairs, keys, [F.desc("overlap"), F.desc("a"), F.desc("b")], ["a", "b"], start)
 
 
 def rate(hits: Column, total: Column, other: Column) -> Column:

@@ -5,6 +5,9 @@ Blocks are rows (doc_id, page, ord, block_id, text, score, box); a page is a bou
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -166,3 +169,21 @@ def assign_cells(blocks: DataFrame, cells: DataFrame) -> DataFrame:
     x = blocks.join(c, list(PAGE), "left").withColumn("coverage", F.coalesce(cover, F.lit(0.0)))
     best = F.max_by(F.struct("cell_id", "coverage"), F.struct("coverage", -F.col("cell_ord")))
     return x.groupBy(*PAGE, "block_id").agg(best.alias("best")).select(*PAGE, "block_id", F.when(F.col("best.coverage") > 0, F.col("best.cell_id")).alias("cell_id"))
+
+
+def kept_in_turn(rows: DataFrame, keys: list[str], order: list, seen: list[str], start: Callable[[], Callable[[tuple], bool]]) -> DataFrame:
+    """The rows that are taken when those of each group of ``keys`` are shown in ``order``, one after another, to what
+    ``start`` gives for the group. A task passes over its sorted rows and holds one group's memory at a time."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, take = None, None
+        for b in batches:
+            keep = []
+            for key, row in zip(zip(*(b.column(k).to_pylist() for k in keys)), zip(*(b.column(c).to_pylist() for c in seen))):
+                if take is None or key != last:
+                    last, take = key, start()
+                keep.append(take(row))
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(work, schema)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as g
 from ..functions.text import strip
+from .layout import kept_in_turn
 
 PAGE = ("doc_id", "page")
 #: Marks shown for the states of a checkbox.
@@ -60,27 +62,25 @@ def first_of_overlapping(boxes: DataFrame, least: float = 0.6, most_covered: flo
     """Boxes in order per page, without those that overlap a kept one by more than ``least``, or where one covers more
     than ``most_covered`` of the smaller. A page's boxes are few; each is held against the kept ones in turn."""
 
-    def pick(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values("ord")
+    def start() -> Callable[[tuple], bool]:
         kept: list[tuple[float, float, float, float]] = []
-        keep = []
-        for l, t, r, b in zip(x["l"], x["t"], x["r"], x["b"]):  # noqa: E741
+
+        def take(row: tuple) -> bool:
+            l, t, r, b = row  # noqa: E741
             own = max(0.0, r - l) * max(0.0, b - t)
-            ok = True
             for kl, kt, kr, kb in kept:
                 both = max(0.0, min(r, kr) - max(l, kl)) * max(0.0, min(b, kb) - max(t, kt))
                 other = (kr - kl) * (kb - kt)
                 union, small = own + other - both, min(own, other)
                 if (union > 0 and both / union > least) or (small > 0 and both / small > most_covered):
-                    ok = False
-                    break
-            if ok:
-                kept.append((l, t, r, b))
-            keep.append(ok)
-        return x[keep]
+                    return False
+            kept.append(row)
+            return True
+
+        return take
 
     flat = boxes.select(*PAGE, "ord", "box.l", "box.t", "box.r", "box.b")
-    return flat.groupBy(*PAGE).applyInPandas(pick, flat.schema)
+    return kept_in_turn(flat, list(PAGE), ["ord"], list("ltrb"), start)
 
 
 def redaction_filter(candidates: DataFrame) -> Column:
@@ -111,7 +111,7 @@ def review_windows(tables: DataFrame, by: float = 0.02) -> DataFrame:
     reaches into the pad puts the top back to the table's own; the bottom is cut at the nearest neighbour below."""
     t = tables.withColumn("window", g.pad(F.col("box"), by))
     n = tables.select(*PAGE, F.col("table_id").alias("n_id"), F.col("box").alias("n_box"))
-    x = t.join(n, list(PAGE), "left").where("n_id is null or n_id = table_id or true")
+    x = t.join(n, list(PAGE), "left")
     near = (F.col("n_id") != F.col("table_id")) & (g.x_overlap(F.col("box"), F.col("n_box")) >= 0.5)
     above = near & (F.col("n_box.b") <= F.col("box.t")) & (F.col("n_box.b") > F.col("window.t"))
     below = F.when(near & (F.col("n_box.t") >= F.col("box.b")), F.col("n_box.t"))
