@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -159,15 +161,18 @@ def field_errors(fields: DataFrame) -> DataFrame:
     return fields.withColumn("status", status)
 
 
-#: Fixed words of review messages, by the kind of object that they ask for; the first that occurs decides.
-MESSAGE_KINDS = ("checkbox", "classification", "section", "split", "field", "low-confidence block", "table", "page")
+#: The stage that a review message is for, by the words it holds; the first row whose words all occur decides.
+MESSAGE_STAGES = (
+    ("checkbox", ("checkbox",)), ("classify", ("classification",)), ("section", ("section",)), ("split", ("split",)), ("extract", ("field",)),
+    ("parse", ("low-confidence block",)), ("parse", ("table", "requires review")), ("parse", ("page",)),
+)
 
 
-def message_kind(message: Column) -> Column:
-    low, out = F.lower(message), None
-    for k in MESSAGE_KINDS:
-        out = F.when(F.contains(low, F.lit(k)), k) if out is None else out.when(F.contains(low, F.lit(k)), k)
-    return out.otherwise("validate")
+def message_stage(message: Column) -> Column:
+    low, out = F.lower(message), F.lit("validate")
+    for stage, words in reversed(MESSAGE_STAGES):
+        out = F.when(reduce(Column.__and__, [F.contains(low, F.lit(w)) for w in words]), stage).otherwise(out)
+    return out
 
 
 def link_issues(links: DataFrame, nodes: DataFrame) -> DataFrame:

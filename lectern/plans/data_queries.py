@@ -166,8 +166,8 @@ def x14_field_validation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def x19_message_kinds(spark: SparkSession, d: str) -> DataFrame:
-    x = _blocks(spark, d).select("doc_id", "ord", F.concat(F.element_at(F.array(*map(F.lit, ("Table", "Field", "low-confidence block", "Page", "Checkbox on page", "note"))), (F.col("ord") % 6 + 1).cast("int")), F.lit(" "), "text").alias("m"))
-    return x.groupBy(A.message_kind(F.col("m")).alias("kind")).agg(F.count("*").alias("n"))
+    x = _blocks(spark, d).select("doc_id", "ord", F.concat(F.element_at(F.array(*map(F.lit, ("Table", "Field", "low-confidence block", "Page", "Checkbox on page", "note", "Table requires review"))), (F.col("ord") % 7 + 1).cast("int")), F.lit(" "), "text").alias("m"))
+    return x.groupBy(A.message_stage(F.col("m")).alias("stage")).agg(F.count("*").alias("n"))
 
 
 def _links(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -287,8 +287,9 @@ ORACLES = {
     "st1_job_ttl": """SELECT user_id AS job, ['PROCESSING', 'ACCEPTED', 'REVIEW_REQUIRED', 'FAILED'][arg_max(event_id, (ts, event_id)) % 4 + 1] AS state, epoch_us((SELECT max(ts) FROM events)) - epoch_us(min(ts)) >= 3600000000 AS expired FROM events GROUP BY 1""",
     "x13_normalise_values": """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN cast(o_orderkey * 1234567 AS varchar) || '000' WHEN 1 THEN 'true' WHEN 2 THEN '1' || o_orderkey || '.2500' WHEN 3 THEN o_orderpriority ELSE cast(o_orderkey AS varchar) END AS value FROM orders WHERE o_orderkey > 0""",
     "x14_field_validation": """SELECT o_orderkey, CASE WHEN (o_orderkey % 3 = 0 AND NOT regexp_matches(cast(o_orderkey AS varchar), '^[0-9]*[02468]$')) OR (o_orderkey % 3 = 1 AND o_orderkey < 100) OR (o_orderkey % 7 = 1 AND o_orderkey > 5000) THEN 'invalid' WHEN o_orderkey % 100 < 20 THEN 'uncertain' ELSE 'valid' END AS status FROM orders""",
-    "x19_message_kinds": f"""WITH {BLOCKS_SQL}, m AS (SELECT lower(['Table', 'Field', 'low-confidence block', 'Page', 'Checkbox on page', 'note'][ord % 6 + 1] || ' ' || text) AS m FROM blocks)
-        SELECT CASE {' '.join(f"WHEN contains(m, '{k}') THEN '{k}'" for k in A.MESSAGE_KINDS)} ELSE 'validate' END AS kind, count(*) AS n FROM m GROUP BY 1""",
+    "x19_message_kinds": f"""WITH {BLOCKS_SQL}, m AS (SELECT lower(['Table', 'Field', 'low-confidence block', 'Page', 'Checkbox on page', 'note', 'Table requires review'][ord % 7 + 1] || ' ' || text) AS m FROM blocks)
+        SELECT CASE WHEN contains(m, 'checkbox') THEN 'checkbox' WHEN contains(m, 'classification') THEN 'classify' WHEN contains(m, 'section') THEN 'section' WHEN contains(m, 'split') THEN 'split' WHEN contains(m, 'field') THEN 'extract'
+          WHEN contains(m, 'low-confidence block') OR contains(m, 'table') AND contains(m, 'requires review') OR contains(m, 'page') THEN 'parse' ELSE 'validate' END AS stage, count(*) AS n FROM m GROUP BY 1""",
     "g01_link_endpoints": """WITH nodes AS (SELECT o_orderkey AS node, o_custkey % 50 AS page, o_orderkey AS ro FROM orders WHERE o_orderkey % 20 <> 0),
         links AS (SELECT o_orderkey - o_orderkey % 2 AS src, o_orderkey - o_orderkey % 2 + 1 + o_custkey % 3 AS dst, CASE WHEN o_custkey % 2 = 0 THEN 'continues' ELSE 'cites' END AS relation, o_orderkey AS ord FROM orders),
         x AS (SELECT l.*, s.node AS sn, t.node AS tn, (s.page, s.ro) >= (t.page, t.ro) AS back, row_number() OVER (PARTITION BY src, dst, relation ORDER BY ord) AS i FROM links l LEFT JOIN nodes s ON s.node = src LEFT JOIN nodes t ON t.node = dst)
