@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,14 +42,15 @@ def accepted_links(links: DataFrame, by: str) -> DataFrame:
     return links.repartition(by).sortWithinPartitions(by, F.asc_nulls_last("ord"), "src", "dst").mapInArrow(work, schema)
 
 
-def reachable(edges: DataFrame, starts: DataFrame, rounds: int = 64) -> DataFrame:
+def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(start, node): what each start leads to, in rounds that each add one more step until none adds anything."""
-    found = starts.select("start", F.col("start").alias("node")).distinct()
-    front = found
-    for _ in range(rounds):
-        front = front.join(edges.select(F.col("src").alias("node"), F.col("dst")), "node").select("start", F.col("dst").alias("node")).distinct().join(found, ["start", "node"], "left_anti")
-        front = front.checkpoint() if front.sparkSession.sparkContext.getCheckpointDir() else front.persist()
-        if front.isEmpty():
-            break
-        found = found.union(front)
+    context = edges.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = edges.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lectern-')}"
+        context.setCheckpointDir(folder)
+    steps = edges.select(F.col("src").alias("node"), "dst").distinct()
+    found = front = starts.select("start", F.col("start").alias("node")).distinct()
+    while not front.isEmpty():
+        front = front.join(steps, "node").select("start", F.col("dst").alias("node")).distinct().join(found, ["start", "node"], "left_anti").checkpoint()
+        found = found.union(front).checkpoint()
     return found

@@ -170,6 +170,17 @@ def test_links(spark):
     assert got == {("a", "a"), ("a", "b"), ("a", "c")}
 
 
+def test_long_chains_are_followed_to_their_end(spark):
+    x = spark.range(70).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).coalesce(1)
+    assert G.reachable(x, spark.createDataFrame([(0,)], "start bigint").coalesce(1)).count() == 71
+
+
+def test_message_stages(spark):
+    said = {"Classification of page 2": "classify", "Section 3 is open": "section", "Split 1": "split", "Field total on page 1": "extract", "low-confidence block b1": "parse", "Table p1-t1 requires review": "parse", "Table p1-t1": "validate", "Page 4": "parse", "a Checkbox of a table": "checkbox", "": "validate"}
+    x = spark.createDataFrame(list(said.items()), "m string, s string")
+    assert {r.m: r.o for r in x.select("m", A.message_stage(F.col("m")).alias("o")).collect()} == said
+
+
 def test_box_matching_scores(spark):
     o = blocks(spark, [line(1, "x", top=0.1), line(2, "x", top=0.6)]).withColumn("type", F.lit("logo"))
     c = blocks(spark, [line(1, "x", top=0.105)]).withColumn("type", F.lit("logo"))
