@@ -77,3 +77,11 @@ def union_of(column: str) -> Column:
     f = lambda fn, k: fn(F.col(f"{column}.{k}"))
     around = box(f(F.min, "l"), f(F.min, "t"), f(F.max, "r"), f(F.max, "b"))
     return F.when(F.count(F.col(column)) > 0, around)
+
+
+def raw_box(x: Column) -> Column:
+    """The box of an array of 4 numbers (l, t, r, b) or of 8 (four points); null for any other or with a null in it."""
+    axis = lambda k: F.filter(x, lambda _, i: i % 2 == k)
+    eight = box(F.array_min(axis(0)), F.array_min(axis(1)), F.array_max(axis(0)), F.array_max(axis(1)))
+    whole = ~F.exists(x, F.isnull)
+    return F.when(whole & (F.size(x) == 4), box(F.get(x, 0), F.get(x, 1), F.get(x, 2), F.get(x, 3))).when(whole & (F.size(x) == 8), eight)

@@ -57,3 +57,31 @@ def compact_json_safe(x: Column) -> Column:
     for plain, code in (("&", "\\u0026"), ("<", "\\u003c"), (">", "\\u003e")):
         x = F.replace(x, F.lit(plain), F.lit(code))
     return x
+
+
+def block_number(x: Column) -> Column:
+    """The number at the end of a block's id; 0 if there is none."""
+    return F.coalesce(F.regexp_extract(x, r"-b(\d+)$", 1).try_cast("int"), F.lit(0))
+
+
+def rebound(x: Column, old_page: Column, new_page: Column) -> Column:
+    """An id of a page as that of another page; ids of other pages stay."""
+    prefix = F.concat(F.lit("p"), old_page, F.lit("-"))
+    return F.when(F.startswith(x, prefix), F.concat(F.lit("p"), new_page, F.lit("-"), F.substr(x, F.length(prefix) + 1))).otherwise(x)
+
+
+def positive_int(x: Column) -> Column:
+    """A whole number of at least 1; 1 for anything that is not a number."""
+    return F.greatest(F.lit(1), F.coalesce(F.when(F.trim(x).rlike(r"^[+-]?\d+$"), F.trim(x).try_cast("int")), F.lit(1)))
+
+
+def money(x: Column, status: Column) -> Column:
+    shown = F.concat(F.lit("$"), F.format_string("%.6f", x), F.when(status == "estimate", " estimated").otherwise(""))
+    return F.when(x.isNull() | (status == "unavailable"), "Unavailable").otherwise(shown)
+
+
+def label_of_control(text: Column, block: Column, control: Column, state: Column) -> Column:
+    """A label without the selection mark that was read as its first letter: an X before a capital, at the place of a checked control."""
+    bare = strip(text)
+    fused = (state == "CHECKED") & bare.rlike("^[Xx][A-Z]") & (block["l"] >= control["l"] - 0.01) & (block["l"] < control["r"]) & (control["r"] - block["l"] <= 0.03)
+    return F.when(F.coalesce(fused, F.lit(False)), F.regexp_replace(F.substring(bare, 2, 2**31 - 1), r"(?U)^\s+", "")).otherwise(bare)
