@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as g
+from ..functions.text import strip
 from .layout import LOW_CONFIDENCE
 
 PAGE = ("doc_id", "page")
@@ -19,6 +20,9 @@ MARGINAL = ("header", "footer", "page_number", "footnote", "marginalia")
 SEALS = ("signature", "stamp", "seal")
 SEMANTIC = ("marginalia", "logo", "attestation", "figure", "scan_code")
 ATTESTED = r"(?i)^Electronically\s+signed\s+by:\s*\S"
+#: What stands for a signature and before an attestation; types of nodes that are never merged.
+SIGNATURE, ATTESTATION_MARK = "[SIGNED]\n[ILLEGIBLE_SIGNATURE]", "[E-SIGNED]"
+UNMERGED = ("logo", "attestation", "figure", "scan_code")
 #: Least score of a table candidate, characters of one batch of evidence, place of blocks without an order.
 TABLE_SCORE, BATCH_CHARACTERS, NO_ORDER = 0.5, 80_000, 1_000_000
 
@@ -72,7 +76,7 @@ def refreshed_cells(cells: DataFrame, blocks: DataFrame) -> DataFrame:
     one space between two; blank and unknown ones are passed over."""
     key = ["doc_id", "table_id", "cell_id"]
     each = cells.select(*key, F.posexplode_outer("source_block_ids").alias("at", "block_id"))
-    text = F.trim(F.col("text"))
+    text = strip(F.col("text"))
     x = each.join(blocks.select("doc_id", "block_id", "text"), ["doc_id", "block_id"], "left")
     parts = F.array_sort(F.collect_list(F.when(text != "", F.struct("at", text.alias("text")))))
     return x.groupBy(*key).agg(F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("source_text"))
@@ -116,7 +120,7 @@ def signature_attestations(blocks: DataFrame, regions: DataFrame) -> DataFrame:
     image = regions.where("lower(label) = 'image'").select(*PAGE, F.col("box").alias("r_box"))
     low = blocks.where((F.col("score") < LOW_CONFIDENCE) & F.col("box").isNotNull())
     low = low.join(image, list(PAGE)).where(g.centre_inside(F.col("box"), F.col("r_box"))).select(*PAGE, "block_id", "box").distinct()
-    lines = blocks.where(F.col("box").isNotNull() & F.trim("text").rlike(ATTESTED)).select(*PAGE, F.col("block_id").alias("attestation_id"), F.col("ord").alias("a_ord"), F.col("box").alias("a_box"))
+    lines = blocks.where(F.col("box").isNotNull() & strip(F.col("text")).rlike(ATTESTED)).select(*PAGE, F.col("block_id").alias("attestation_id"), F.col("ord").alias("a_ord"), F.col("box").alias("a_box"))
     gap = F.col("box.t") - F.col("a_box.b")
     x = low.join(lines, list(PAGE)).where((gap >= -0.005) & (gap <= 0.05) & (F.abs(F.col("box.l") - F.col("a_box.l")) <= 0.08))
     return x.groupBy(*PAGE, "block_id").agg(F.min_by("attestation_id", F.struct(F.abs(gap), "a_ord")).alias("attestation_id"))
@@ -198,7 +202,7 @@ def visual_decisions(items: DataFrame, decisions: DataFrame) -> DataFrame:
     """Per object its status: verified if there is exactly one decision on it, supported, with the same transcription (stripped)."""
     d = decisions.groupBy("doc_id", "item_id").agg(F.count("*").alias("n"), F.bool_and("supported").alias("supported"), F.max("transcription").alias("transcription"))
     x = items.join(d, ["doc_id", "item_id"], "left")
-    ok = (F.col("n") == 1) & F.col("supported") & (F.trim("transcription") == F.trim("content"))
+    ok = (F.col("n") == 1) & F.col("supported") & (strip(F.col("transcription")) == strip(F.col("content")))
     return x.select("doc_id", "item_id", F.when(F.coalesce(ok, F.lit(False)), "model_verified").otherwise("pending").alias("status"))
 
 
@@ -212,7 +216,7 @@ def answers_shown(answers: DataFrame) -> DataFrame:
     """``answers`` with shown: grounded if all cited excerpts were supplied and, when "answered", there is a text and a citation;
     otherwise blank."""
     known = F.size(F.array_except("cited", "supplied")) == 0
-    said = (F.col("disposition") != "answered") | ((F.trim("answer") != "") & (F.size("cited") > 0))
+    said = (F.col("disposition") != "answered") | ((strip(F.col("answer")) != "") & (F.size("cited") > 0))
     return answers.withColumn("shown", F.when(F.coalesce(known & said, F.lit(False)), F.col("answer")).otherwise(""))
 
 
@@ -253,3 +257,112 @@ def words_of_blocks(raw: DataFrame) -> DataFrame:
     x = x.where("score is not null and px is not null and width > 0 and height > 0")
     b = F.col("px")
     return x.withColumn("box", g.box(b["l"] / F.col("width"), b["t"] / F.col("height"), b["r"] / F.col("width"), b["b"] / F.col("height"))).drop("px", "width", "height")
+
+
+def page_nodes(pages: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(doc_id, page, type, region_id, start_at, end_at): where the chunks of a page lie in its ``body``, in code points. A chunk is
+    looked for behind the one before, else anywhere in the body; one that is not there is dropped. Neighbours of one region and
+    type become one node. A page without nodes is one text node if it has a text. ``chunks``: chunk_ord, type, region_id, markdown.
+    """
+    parts = F.array_sort(F.collect_list(F.struct("chunk_ord", "type", "region_id", strip(F.col("markdown")).alias("value"))))
+    x = pages.join(chunks.groupBy(*PAGE).agg(parts.alias("parts")), list(PAGE), "left")
+    node = "struct<start_at:int,end_at:int,type:string,region_id:string>"
+    none = F.struct(F.lit(0).alias("cursor"), F.array().cast(f"array<{node}>").alias("out"))
+
+    def place(a: Column, c: Column) -> Column:
+        behind = F.position(c["value"], F.col("body"), a["cursor"] + 1)
+        at = F.when(c["value"] != "", F.when(behind > 0, behind).otherwise(F.position(c["value"], F.col("body")))).otherwise(0) - 1
+        last = F.try_element_at(a["out"], F.lit(-1))
+        end = at + F.length(c["value"])
+        joins = F.coalesce((last["region_id"] == c["region_id"]) & (last["type"] == c["type"]) & ~c["type"].isin(*UNMERGED), F.lit(False))
+        new = F.struct(F.when(joins, last["start_at"]).otherwise(at).alias("start_at"), end.alias("end_at"), c["type"].alias("type"), c["region_id"].alias("region_id"))
+        before = F.when(joins, F.slice(a["out"], 1, F.greatest(F.size(a["out"]) - 1, F.lit(0)))).otherwise(a["out"])
+        return F.when(at >= 0, F.struct(end.alias("cursor"), F.concat(before, F.array(new)).alias("out"))).otherwise(a)
+
+    found = F.aggregate(F.coalesce("parts", F.array().cast("array<struct<chunk_ord:bigint,type:string,region_id:string,value:string>>")), none, place)["out"]
+    whole = F.array(F.struct(F.lit(0).alias("start_at"), F.length("body").alias("end_at"), F.lit("text").alias("type"), F.lit(None).cast("string").alias("region_id")))
+    nodes = x.withColumn("found", found).select(*PAGE, F.explode(F.when(F.size("found") > 0, F.col("found")).when(F.length("body") > 0, whole)).alias("n"))
+    return nodes.select(*PAGE, "n.type", "n.region_id", "n.start_at", "n.end_at")
+
+
+def table_reviews(tables: DataFrame, reviews: DataFrame) -> DataFrame:
+    """(doc_id, table_id, status): what becomes of a table by its review. None, several, or one for another page leave it unresolved.
+    ``tables``: page, status, n_cells; ``reviews``: page, outcome, visible_cells, n_cells, and for corrected grids applied (it is the
+    present grid), grounded (all its cells are) and one_row (a row of few cells over many blocks)."""
+    r = reviews.groupBy("doc_id", "table_id").agg(F.count("*").alias("n_reviews"), F.first(F.struct("page", "outcome", "visible_cells", "n_cells", "applied", "grounded", "one_row")).alias("r"))
+    x = tables.join(r, ["doc_id", "table_id"], "left")
+    one = (F.col("n_reviews") == 1) & (F.col("r.page") == F.col("page"))
+    bare, corrected = F.col("r.n_cells") == 0, F.col("r.outcome") == "corrected"
+    confirmed = (F.col("r.outcome") == "confirmed") & (F.col("status") == "valid") & bare & (F.col("r.visible_cells") == F.col("n_cells"))
+    refused = (F.col("r.outcome") == "not_table") & (F.col("r.visible_cells") == 0) & bare
+    status = (
+        F.when(one & confirmed, "accepted").when(one & refused, "rejected").when(one & corrected & F.col("r.applied"), "accepted")
+        .when(one & corrected & F.col("r.grounded"), F.when(F.col("r.one_row"), "rejected").otherwise("accepted")).otherwise("unresolved")
+    )
+    return x.select("doc_id", "table_id", status.alias("status"))
+
+
+def signature_texts(blocks: DataFrame, found: DataFrame) -> DataFrame:
+    """``blocks`` with shown: marks for the text of a signature, a mark once before the attestation that belongs to one.
+    ``found``: as signature_attestations gives them."""
+    signed = found.select(*PAGE, "block_id").distinct().withColumn("signed", F.lit(True))
+    attested = found.select(*PAGE, F.col("attestation_id").alias("block_id")).distinct().withColumn("attested", F.lit(True))
+    x = blocks.join(signed, [*PAGE, "block_id"], "left").join(attested, [*PAGE, "block_id"], "left")
+    text = F.when(F.col("signed"), SIGNATURE).otherwise(F.col("text"))
+    marked = F.when(F.startswith(text, F.lit(ATTESTATION_MARK)), text).otherwise(F.concat(F.lit(ATTESTATION_MARK + "\n"), text))
+    return x.withColumn("shown", F.when(F.col("attested"), marked).otherwise(text)).drop("signed", "attested")
+
+
+def markdown_of_pages(documents: DataFrame, spans: DataFrame) -> DataFrame:
+    """(doc_id, selected): the parts of a document's ``markdown`` that the pages' spans name, in page order, an empty line between
+    two; spans that are not in the text are passed over. The spans are gathered, the text is not shuffled by page."""
+    s = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "start_at", "end_at"))).alias("spans"))
+    x = documents.join(s, "doc_id", "left")
+    n = F.length("markdown")
+    held = F.filter("spans", lambda p: (p["start_at"] >= 0) & (p["start_at"] <= p["end_at"]) & (p["end_at"] <= n))
+    parts = F.transform(held, lambda p: F.substr(F.col("markdown"), p["start_at"] + 1, p["end_at"] - p["start_at"]))
+    return x.select("doc_id", F.coalesce(F.array_join(parts, "\n\n"), F.lit("")).alias("selected"))
+
+
+def corrected_fields(fields: DataFrame, corrections: DataFrame) -> DataFrame:
+    """``fields`` (doc_id, path, value) with shown and action: the last correction with a reason wins, "accept" if it names the
+    recorded value; the recorded value stays. ``corrections``: path, seq, value, reason."""
+    last = corrections.where(strip(F.col("reason")) != "").groupBy("doc_id", "path").agg(F.max_by(F.struct("value"), "seq").alias("c"), F.count("*").alias("n_corrections"))
+    x = fields.join(last, ["doc_id", "path"], "left")
+    action = F.when(F.col("c").isNotNull(), F.when(F.col("c.value").eqNullSafe(F.col("value")), "accept").otherwise("correct"))
+    return x.select("doc_id", "path", "value", F.when(F.col("c").isNotNull(), F.col("c.value")).otherwise(F.col("value")).alias("shown"), action.alias("action"), F.coalesce("n_corrections", F.lit(0)).alias("n_corrections"))
+
+
+def event_log(events: DataFrame, by: str) -> DataFrame:
+    """``events`` (seq, state, millis) with elapsed (all up to it) and entered: the state is another than before."""
+    w = Window.partitionBy(by).orderBy("seq")
+    return events.withColumns({"elapsed": F.sum("millis").over(w), "entered": ~F.lag("state").over(w).eqNullSafe(F.col("state"))})
+
+
+def evidence_metrics(blocks: DataFrame, full: DataFrame) -> DataFrame:
+    """Per document the blocks and characters of its evidence and its pages, those in full context (``full``) and the others."""
+    page = blocks.groupBy(*PAGE).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).join(full.select(*PAGE).distinct().withColumn("full", F.lit(True)), list(PAGE), "left")
+    pages = lambda c: F.array_join(F.array_sort(F.collect_list(F.when(c, F.col("page")))), ",")
+    whole = F.coalesce("full", F.lit(False))
+    return page.groupBy("doc_id").agg(F.sum("n").alias("n_blocks"), F.sum("chars").alias("n_chars"), pages(whole).alias("full_pages"), pages(~whole).alias("compact_pages"))
+
+
+def for_targets(proposals: DataFrame, targets: DataFrame, *key: str) -> DataFrame:
+    """The earlier proposals on targeted objects or pages."""
+    return proposals.join(targets.select(*key).distinct(), list(key), "left_semi")
+
+
+def checkbox_risks(candidates: DataFrame) -> DataFrame:
+    """(doc_id, page, control_id, risks): reasons in fixed order against a checkbox. ``candidates``: box, label_box, state, reviewed
+    (its page was looked at), the page's width and height and its flags blur, contrast, shadow, compression, edges."""
+    b, known = F.col("box"), F.col("width").isNotNull()
+    ok = F.col("reviewed") & g.valid(b)
+    h = (b["b"] - b["t"]) * F.col("height")
+    aspect = F.when(h != 0, (b["r"] - b["l"]) * F.col("width") / h).otherwise(0.0)
+    rules = [
+        ("invalid or unreviewed visual geometry", ~ok), ("control geometry is not checkbox-shaped", ok & known & ~aspect.between(0.5, 2)), ("label geometry is invalid", F.col("label_box").isNotNull() & ~g.valid(F.col("label_box"))),
+    ]
+    state = F.when(~F.coalesce(F.col("state").isin("CHECKED", "UNCHECKED"), F.lit(False)), F.concat(F.lit("state is "), F.coalesce("state", F.lit("None"))))
+    flags = [("blur", "blur"), ("contrast", "low contrast"), ("shadow", "shadows"), ("compression", "compression artifacts"), ("edges", "cropped edges")]
+    reason = lambda c, name: F.when(F.coalesce(c, F.lit(False)), F.lit(name))
+    return candidates.select(*PAGE, "control_id", F.concat_ws("; ", *[reason(c, name) for name, c in rules], state, *[reason(F.col(c), name) for c, name in flags]).alias("risks"))

@@ -9,6 +9,7 @@ from ..functions import geometry as g
 from ..functions import text as T
 from ..operators import control as C
 from ..operators import layout as L
+from ..operators import publish as P
 from ..operators import structure as S
 from ..sources import adapt
 from ..sources.adapt import BLOCKS_SQL, REGIONS_SQL
@@ -50,12 +51,17 @@ def f19_cells_inside(spark: SparkSession, d: str) -> DataFrame:
     return S.tables_with_cells_inside(t, c.select(*PAGE, "table_id", g.box(F.col("box.l") + F.col("c") * 0.24, F.col("box.t"), F.col("box.l") + F.col("c") * 0.24 + 0.24, F.col("box.b") + out).alias("box")))
 
 
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    """Regions with scores that vary by document."""
+    return _regions(spark, d).withColumn("score", F.col("score") - F.col("doc_id") % 5 / 10.0)
+
+
 def f22_table_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return S.table_candidates(_regions(spark, d)).select(*PAGE, "region_id", "selected")
+    return S.table_candidates(_scored(spark, d)).select(*PAGE, "region_id", "selected")
 
 
 def a12_candidate_pages(spark: SparkSession, d: str) -> DataFrame:
-    return S.candidate_counts(S.table_candidates(_regions(spark, d)))
+    return S.candidate_counts(S.table_candidates(_scored(spark, d)))
 
 
 def f29_accepted_tables(spark: SparkSession, d: str) -> DataFrame:
@@ -227,7 +233,73 @@ def x25_rebound_ids(spark: SparkSession, d: str) -> DataFrame:
     return _blocks(spark, d).select("doc_id", "block_id", T.rebound(F.col("block_id"), old, F.col("page") + 3).alias("new_id"))
 
 
+def k03_page_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks in pairs that changed places; every seventh has a text that the page lacks."""
+    b = _blocks(spark, d)
+    c = b.select(*PAGE, F.expr("cast(k + 1 - 2 * (k % 2) as bigint)").alias("chunk_ord"), F.when(F.expr("ord % 11 = 0"), "logo").otherwise("text").alias("type"), F.when(F.expr("k div 4 <> 2"), F.concat(F.lit("l"), F.expr("k div 4"))).alias("region_id"), F.when(F.expr("ord % 7 = 0 or doc_id % 17 = 0"), F.concat(F.lit("not there: "), "text")).otherwise(F.col("text")).alias("markdown"))
+    return S.page_nodes(P.page_bodies(b), c)
+
+
+def j11_table_reviews(spark: SparkSession, d: str) -> DataFrame:
+    t = _regions(spark, d).select("doc_id", "page", F.col("region_id").alias("table_id"), F.when(F.expr("(doc_id + region_ord) % 5 = 0"), "invalid").otherwise("valid").alias("status"), F.col("region_ord").alias("n_cells"), "region_ord")
+    i = F.col("doc_id") + F.col("region_ord") * 3
+    r = t.where("(doc_id + region_ord) % 13 <> 0").select(
+        "doc_id", "table_id", F.when(i % 19 == 0, F.col("page") + 1).otherwise(F.col("page")).alias("page"), F.element_at(F.array(*map(F.lit, ("confirmed", "not_table", "corrected", "abstained"))), (i % 4 + 1).cast("int")).alias("outcome"),
+        F.when(i % 4 == 1, (i % 8 == 1).cast("int")).otherwise(F.when(i % 7 == 0, 9).otherwise(F.col("n_cells"))).alias("visible_cells"), F.when(i % 4 == 2, 3).when(i % 12 == 0, 1).otherwise(0).alias("n_cells"),
+        (i % 5 == 0).alias("applied"), (i % 3 != 0).alias("grounded"), (i % 10 == 2).alias("one_row"), F.explode(F.expr("sequence(1, if((doc_id + region_ord * 3) % 23 = 0, 2, 1))")).alias("nth"),
+    )
+    return S.table_reviews(t, r)
+
+
+def j33_signature_texts(spark: SparkSession, d: str) -> DataFrame:
+    b = _blocks(spark, d)
+    found = b.where("ord % 8 = 4").select(*PAGE, "block_id", F.concat(F.lit("p"), "page", F.lit("-b"), F.col("ord") - 1).alias("attestation_id"))
+    b = b.withColumn("text", F.when(F.expr("ord % 16 = 3"), F.concat(F.lit("[E-SIGNED]\n"), "text")).otherwise(F.col("text")))
+    return S.signature_texts(b, found).select("doc_id", "block_id", F.md5("shown").alias("shown_md5"))
+
+
+def x12_page_markdown(spark: SparkSession, d: str) -> DataFrame:
+    x = _documents(spark, d).select("doc_id", F.col("text").alias("markdown"), F.length("text").alias("n"))
+    spans = x.select("doc_id", F.posexplode(F.expr("transform(sequence(0, 3), i -> struct(n * i div 5 as s, n * (i + 1) div 5 + if(i = 3 and doc_id % 3 = 0, n, 0) as e))")).alias("page", "p"))
+    return S.markdown_of_pages(x, spans.where("page <> 1").select("doc_id", "page", F.col("p.s").alias("start_at"), F.col("p.e").alias("end_at"))).select("doc_id", F.md5("selected").alias("selected_md5"))
+
+
+def st5_corrected_fields(spark: SparkSession, d: str) -> DataFrame:
+    o = adapt.table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderstatus").alias("value"))
+    f = o.withColumn("path", F.lit("/status"))
+    c = o.where("doc_id % 4 <> 0").select("doc_id", F.lit("/status").alias("path"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("seq"), F.col("value").alias("was"))
+    c = c.select("doc_id", "path", "seq", F.expr("case when (doc_id + seq) % 3 = 0 then was else 'O' end").alias("value"), F.expr("if((doc_id + seq) % 5 < 3, 'seen', ' ')").alias("reason"))
+    return S.corrected_fields(f, c).select("doc_id", "shown", "action", "n_corrections")
+
+
+def w18_event_log(spark: SparkSession, d: str) -> DataFrame:
+    x = _events(spark, d).select("user_id", F.col("event_id").alias("seq"), F.col("event_type").alias("state"), F.expr("(event_id * 11) % 1000").alias("millis"))
+    return S.event_log(x, "user_id").select("user_id", "seq", "elapsed", "entered")
+
+
+def a18_evidence_metrics(spark: SparkSession, d: str) -> DataFrame:
+    b = _blocks(spark, d)
+    return S.evidence_metrics(b, b.where("ord % 40 = 7 and doc_id % 3 = 0"))
+
+
+def j23_for_targets(spark: SparkSession, d: str) -> DataFrame:
+    b = _blocks(spark, d)
+    return S.for_targets(b, b.where("ord % 9 = 0"), "doc_id", "page").groupBy("doc_id", "page").agg(F.count("*").alias("n"))
+
+
+def f16_checkbox_risks(spark: SparkSession, d: str) -> DataFrame:
+    o = F.col("ord")
+    b = F.col("box")
+    x = _blocks(spark, d).where("ord % 4 = 0").select(
+        *PAGE, F.concat(F.lit("k"), "ord").alias("control_id"), g.box(b["l"], b["t"], b["l"] + F.when(o % 12 == 0, 0.06).otherwise(0.015), b["t"] + F.when(o % 20 == 0, -0.01).otherwise(0.014)).alias("box"),
+        F.when(o % 8 == 0, g.box(b["l"], b["t"], b["r"] + F.when(o % 16 == 0, 0.2).otherwise(0.0), b["b"])).alias("label_box"), F.when(o % 28 == 0, "NOT_DETERMINABLE").otherwise("CHECKED").alias("state"), F.expr("(doc_id + page) % 6 <> 0").alias("reviewed"), F.lit(1000).alias("width"), F.lit(1000).alias("height"),
+        *[(F.col("doc_id") % n == 0).alias(c) for n, c in ((5, "blur"), (7, "contrast"), (11, "shadow"), (13, "compression"), (17, "edges"))],
+    )
+    return S.checkbox_risks(x)
+
+
 _FUNCTIONS = (
+    k03_page_nodes, j11_table_reviews, j33_signature_texts, x12_page_markdown, st5_corrected_fields, w18_event_log, a18_evidence_metrics, j23_for_targets, f16_checkbox_risks,
     j03_table_blocks, f19_cells_inside, f22_table_candidates, a12_candidate_pages, f29_accepted_tables, j34_refreshed_cells, a14_table_counts, f15_semantic_types, j14_semantic_groups, j10_signature_attestations, j32_redaction_blocks,
     w07_requested_order, j28_reading_evidence, j07_first_chunks, w05_chunk_order, w12_page_batches, f12_valid_ranges, f25_valid_spans, f23_visual_problems, j27_visual_decisions, t09_inspected_pages, f27_answers_shown, st7_retried_pages,
     a13_warning_counts, a15_ocr_rollup, s04_pixel_cap, x26_block_words, x21_block_numbers, x22_money_shown, x23_positive_ints, x24_control_labels, x25_rebound_ids,
@@ -250,13 +322,13 @@ ORACLES = {
         SELECT doc_id, page, table_id, block_id, CASE WHEN own THEN 'own' ELSE 'adjacent' END AS scope FROM y WHERE own OR (near AND NOT inside)""",
     "f19_cells_inside": _R + """, c AS (SELECT *, unnest([0, 1, 2, 3]) AS c FROM regions) SELECT doc_id, cast(page AS integer) AS page, region_id AS table_id, count(*) AS n_cells,
         bool_and((doc_id + page * 3 + region_ord + c) % 11 <> 0) AS ok FROM c GROUP BY 1, 2, 3""",
-    "f22_table_candidates": _R + " SELECT doc_id, cast(page AS integer) AS page, region_id, score >= 0.5 AS selected FROM regions WHERE label = 'table'",
-    "a12_candidate_pages": _R + """, c AS (SELECT doc_id, page, score >= 0.5 AS s FROM regions WHERE label = 'table') SELECT doc_id, count(*) AS n_candidates, string_agg(page, ',' ORDER BY page) AS candidate_pages,
+    "f22_table_candidates": _R + " SELECT doc_id, cast(page AS integer) AS page, region_id, score - doc_id % 5 / 10.0::DOUBLE >= 0.5 AS selected FROM regions WHERE label = 'table'",
+    "a12_candidate_pages": _R + """, c AS (SELECT doc_id, page, score - doc_id % 5 / 10.0::DOUBLE >= 0.5 AS s FROM regions WHERE label = 'table') SELECT doc_id, count(*) AS n_candidates, string_agg(page, ',' ORDER BY page) AS candidate_pages,
         coalesce(string_agg(page, ',' ORDER BY page) FILTER (WHERE NOT s), '') AS skipped_pages FROM c GROUP BY 1""",
     "f29_accepted_tables": _R + """ SELECT doc_id, cast(page AS integer) AS page, region_id AS table_id FROM regions
         WHERE (region_ord + page) % 4 <> 0 AND (doc_id + region_ord) % 6 <> 0 AND (doc_id % 3 <> 0 OR (region_ord + doc_id) % 2 = 0)""",
-    "j34_refreshed_cells": _B + """, c AS (SELECT doc_id, page, ord, unnest([0, 1, 2]) AS i, unnest([ord, ord + 1, ord - 1]) AS o FROM blocks WHERE ord % 3 = 1),
-        x AS (SELECT c.doc_id, c.ord, c.i, trim(b.text) AS text FROM c LEFT JOIN blocks b ON b.doc_id = c.doc_id AND b.page = c.page AND b.ord = c.o)
+    "j34_refreshed_cells": _B + f""", c AS (SELECT doc_id, page, ord, unnest([0, 1, 2]) AS i, unnest([ord, ord + 1, ord - 1]) AS o FROM blocks WHERE ord % 3 = 1),
+        x AS (SELECT c.doc_id, c.ord, c.i, {_STRIPPED.format('b.text')} AS text FROM c LEFT JOIN blocks b ON b.doc_id = c.doc_id AND b.page = c.page AND b.ord = c.o)
         SELECT doc_id, 'c' || ord AS cell_id, md5(coalesce(string_agg(text, ' ' ORDER BY i) FILTER (WHERE text <> ''), '')) AS text_md5 FROM x GROUP BY doc_id, ord""",
     "a14_table_counts": "SELECT l_orderkey AS doc_id, cast(l_linenumber % 2 AS integer) AS page, count(DISTINCT l_partkey % 3) AS n_tables, count(*) AS n_cells FROM lineitem GROUP BY 1, 2",
     "f15_semantic_types": _L + """, x AS (SELECT b.doc_id, b.page, b.k // 5 AS group_id, (b.doc_id + b.k // 5) % 13 = 0 AS figure, b.ord % 17 = 0 OR regexp_matches(upper(b.text), '\\[(E-SIGNED|SIGNED|ILLEGIBLE_SIGNATURE)\\]') AS mark,
@@ -311,4 +383,34 @@ ORACLES = {
     "x24_control_labels": _B + f""", x AS (SELECT doc_id, block_id, ord, CASE ord % 3 WHEN 0 THEN 'X' WHEN 1 THEN 'x' ELSE '' END || CASE WHEN doc_id % 2 = 0 THEN 'Yes' ELSE 'no' END || ' ' || text[1:5] || '.' AS text, ord % 5 <> 0 AND ord % 3 <> 2 AND doc_id % 2 = 0 AND ord % 8 = 0 AS fused FROM blocks WHERE ord % 4 = 0)
         SELECT doc_id, block_id, CASE WHEN fused THEN substr({_STRIPPED.format('text')}, 2) ELSE {_STRIPPED.format('text')} END AS label FROM x""",
     "x25_rebound_ids": _B + " SELECT doc_id, block_id, CASE WHEN ord % 7 = 0 THEN block_id ELSE 'p' || (page + 3) || '-b' || ord END AS new_id FROM blocks",
+    "k03_page_nodes": "WITH RECURSIVE " + BLOCKS_SQL + f""", body AS (SELECT doc_id, page, string_agg(text, chr(10) || chr(10) ORDER BY ord) AS body FROM blocks GROUP BY 1, 2),
+        c AS (SELECT doc_id, page, CASE WHEN ord % 11 = 0 THEN 'logo' ELSE 'text' END AS type, CASE WHEN k // 4 <> 2 THEN 'l' || (k // 4) END AS region_id, CASE WHEN ord % 7 = 0 OR doc_id % 17 = 0 THEN 'not there: ' ELSE '' END || text AS md,
+          row_number() OVER (PARTITION BY doc_id, page ORDER BY k + 1 - 2 * (k % 2)) AS n FROM blocks),
+        s AS (SELECT c.*, body, {_STRIPPED.format('md')} AS v FROM c JOIN body USING (doc_id, page)),
+        f AS (SELECT doc_id, page, cast(0 AS bigint) AS n, cast(0 AS bigint) AS cursor, cast(-1 AS bigint) AS spot, '' AS type, NULL::VARCHAR AS region_id FROM body UNION ALL
+          SELECT s.doc_id, s.page, s.n, CASE WHEN a.spot >= 0 THEN a.spot + length(s.v) ELSE f.cursor END, a.spot, s.type, s.region_id FROM f JOIN s ON s.doc_id = f.doc_id AND s.page = f.page AND s.n = f.n + 1,
+          LATERAL (SELECT CASE WHEN s.v = '' THEN -1 WHEN strpos(substr(s.body, f.cursor + 1), s.v) > 0 THEN f.cursor + strpos(substr(s.body, f.cursor + 1), s.v) - 1 ELSE strpos(s.body, s.v) - 1 END AS spot) a),
+        g AS (SELECT *, coalesce(region_id = lag(region_id) OVER w AND type = lag(type) OVER w AND type <> 'logo', false) AS joins FROM f WHERE spot >= 0 WINDOW w AS (PARTITION BY doc_id, page ORDER BY n)),
+        i AS (SELECT *, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page ORDER BY n) AS run FROM g),
+        r AS (SELECT doc_id, page, run, any_value(type) AS type, any_value(region_id) AS region_id, cast(arg_min(spot, n) AS integer) AS start_at, cast(arg_max(cursor, n) AS integer) AS end_at FROM i GROUP BY 1, 2, 3)
+        SELECT doc_id, page, type, region_id, start_at, end_at FROM r UNION ALL
+        SELECT doc_id, page, 'text', NULL, 0, cast(length(body) AS integer) FROM body ANTI JOIN r USING (doc_id, page) WHERE length(body) > 0""",
+    "j11_table_reviews": _R + """, t AS (SELECT *, doc_id + region_ord * 3 AS i, (doc_id + region_ord) % 5 <> 0 AS valid FROM regions)
+        SELECT doc_id, region_id AS table_id, CASE WHEN (doc_id + region_ord) % 13 = 0 OR i % 23 = 0 OR i % 19 = 0 THEN 'unresolved' WHEN i % 4 = 0 THEN CASE WHEN valid AND i % 12 <> 0 AND i % 7 <> 0 THEN 'accepted' ELSE 'unresolved' END
+          WHEN i % 4 = 1 THEN CASE WHEN i % 8 <> 1 THEN 'rejected' ELSE 'unresolved' END WHEN i % 4 = 2 THEN CASE WHEN i % 5 = 0 THEN 'accepted' WHEN i % 3 = 0 THEN 'unresolved' WHEN i % 10 = 2 THEN 'rejected' ELSE 'accepted' END ELSE 'unresolved' END AS status FROM t""",
+    "j33_signature_texts": _B + """, a AS (SELECT *, ord % 8 = 4 AS signed, ord % 8 = 3 AND k < 39 AND lead(ord) OVER (PARTITION BY doc_id ORDER BY ord) IS NOT NULL AS attested FROM blocks)
+        SELECT doc_id, block_id, md5(CASE WHEN signed THEN '[SIGNED]' || chr(10) || '[ILLEGIBLE_SIGNATURE]' WHEN ord % 16 = 3 OR (attested AND NOT starts_with(text, '[E-SIGNED]')) THEN '[E-SIGNED]' || chr(10) || text ELSE text END) AS shown_md5 FROM a""",
+    "x12_page_markdown": """WITH x AS (SELECT doc_id, text, length(text) AS n FROM documents) SELECT doc_id, md5(text[1:n // 5] || chr(10) || chr(10) || substr(text, 2 * n // 5 + 1, 3 * n // 5 - 2 * n // 5)
+        || CASE WHEN doc_id % 3 <> 0 OR n = 0 THEN chr(10) || chr(10) || substr(text, 3 * n // 5 + 1, 4 * n // 5 - 3 * n // 5) ELSE '' END) AS selected_md5 FROM x""",
+    "st5_corrected_fields": """WITH c AS (SELECT o_orderkey AS doc_id, unnest([1, 2, 3]) AS seq, o_orderstatus AS was FROM orders WHERE o_orderkey % 4 <> 0), k AS (SELECT doc_id, seq, CASE WHEN (doc_id + seq) % 3 = 0 THEN was ELSE 'O' END AS v FROM c WHERE (doc_id + seq) % 5 < 3),
+        l AS (SELECT doc_id, arg_max(v, seq) AS v, count(*) AS n FROM k GROUP BY 1)
+        SELECT o_orderkey AS doc_id, coalesce(v, o_orderstatus) AS shown, CASE WHEN v = o_orderstatus THEN 'accept' WHEN v IS NOT NULL THEN 'correct' END AS action, coalesce(n, 0) AS n_corrections FROM orders LEFT JOIN l ON l.doc_id = o_orderkey""",
+    "w18_event_log": """SELECT user_id, event_id AS seq, cast(sum((event_id * 11) % 1000) OVER w AS bigint) AS elapsed, lag(event_type) OVER w IS DISTINCT FROM event_type AS entered FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""",
+    "a18_evidence_metrics": _B + """, p AS (SELECT doc_id, page, count(*) AS n, sum(length(text)) AS c, bool_or(ord % 40 = 7 AND doc_id % 3 = 0) AS f FROM blocks GROUP BY 1, 2)
+        SELECT doc_id, cast(sum(n) AS bigint) AS n_blocks, cast(sum(c) AS bigint) AS n_chars, coalesce(string_agg(page, ',' ORDER BY page) FILTER (WHERE f), '') AS full_pages, coalesce(string_agg(page, ',' ORDER BY page) FILTER (WHERE NOT f), '') AS compact_pages FROM p GROUP BY 1""",
+    "j23_for_targets": _B + " SELECT doc_id, page, count(*) AS n FROM blocks GROUP BY 1, 2 HAVING bool_or(ord % 9 = 0)",
+    "f16_checkbox_risks": _B + """, x AS (SELECT *, (doc_id + page) % 6 = 0 OR ord % 20 = 0 OR l + CASE WHEN ord % 12 = 0 THEN 0.06::DOUBLE ELSE 0.015::DOUBLE END > 1 OR t + 0.014::DOUBLE > 1 AS bad FROM blocks WHERE ord % 4 = 0)
+        SELECT doc_id, page, 'k' || ord AS control_id, concat_ws('; ', CASE WHEN bad THEN 'invalid or unreviewed visual geometry' END, CASE WHEN NOT bad AND ord % 12 = 0 THEN 'control geometry is not checkbox-shaped' END,
+          CASE WHEN ord % 8 = 0 AND (b > 1 OR r + CASE WHEN ord % 16 = 0 THEN 0.2::DOUBLE ELSE 0 END > 1) THEN 'label geometry is invalid' END, CASE WHEN ord % 28 = 0 THEN 'state is NOT_DETERMINABLE' END, CASE WHEN doc_id % 5 = 0 THEN 'blur' END,
+          CASE WHEN doc_id % 7 = 0 THEN 'low contrast' END, CASE WHEN doc_id % 11 = 0 THEN 'shadows' END, CASE WHEN doc_id % 13 = 0 THEN 'compression artifacts' END, CASE WHEN doc_id % 17 = 0 THEN 'cropped edges' END) AS risks FROM x""",
 }
