@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, jaccard, mixing, warc
+from . import chat, decontamination, jaccard, lexical, mixing, warc
 from .chat import op2_perspectives
 from .decontamination import op10_decontamination
 from .jaccard import op8_jaccard
 from .language_model import op6_language_model
+from .lexical import op13_lexical_search
 from .mixing import op5_mixing
 from .quality_ranking import op7_quality_ranking
 from .quality_rules import op1_quality_rules
@@ -14,5 +15,5 @@ from .secrets import op3_secrets
 from .token_counts import op4_token_counts
 from .warc import op9_warc
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_perspectives, op3_secrets, op4_token_counts, op5_mixing, op6_language_model, op7_quality_ranking, op8_jaccard, op9_warc, op10_decontamination)}
-ORACLES: dict[str, str] = {"op2_perspectives": chat.ORACLE, "op5_mixing": mixing.ORACLE, "op8_jaccard": jaccard.ORACLE, "op9_warc": warc.ORACLE, "op10_decontamination": decontamination.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_perspectives, op3_secrets, op4_token_counts, op5_mixing, op6_language_model, op7_quality_ranking, op8_jaccard, op9_warc, op10_decontamination, op13_lexical_search)}
+ORACLES: dict[str, str] = {"op2_perspectives": chat.ORACLE, "op5_mixing": mixing.ORACLE, "op8_jaccard": jaccard.ORACLE, "op9_warc": warc.ORACLE, "op10_decontamination": decontamination.ORACLE, "op13_lexical_search": lexical.ORACLE}
