@@ -16,7 +16,8 @@ parts of each entry, Spark adds up what the tasks found, the driver holds the co
 Defined cases: rows whose vector is null or holds null, NaN or infinite components are left
 out; a null id comes after all others; vectors with the same id are taken in ascending order;
 repeated rows are coded as often as they occur; with fewer vectors than entries codebooks are
-smaller; an empty table gives an empty result; other columns do not matter. Vectors of
+smaller; an empty table gives an empty result; other columns do not matter, but one to keep
+may not be named like an output (ValueError). Vectors of
 different lengths, of a length that the parts do not divide, or with integer components whose
 squared distances do not fit 64 bits raise ValueError.
 """
@@ -187,6 +188,9 @@ def train(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, rounds
 
 def encode(vectors: DataFrame, codebooks: list[np.ndarray], *keep: str) -> DataFrame:
     """The columns ``keep`` with code (two hex digits a part, for up to 256 entries) and error. One row a whole vector."""
+    keep = keep or ("vec_id",)
+    if {c.lower() for c in keep} & {"code", "error"}:
+        raise ValueError("columns to keep may not be named code or error")
     vectors = vectors.where(whole(F.col("embedding")))
     base = vectors.select(*dict.fromkeys([*keep, "embedding"]))
     shared = base.sparkSession.sparkContext.broadcast(codebooks)
