@@ -42,6 +42,7 @@ MAX_LABELLED = 20_000
 MIN_EXAMPLES, MIN_CHI, MAX_TERMS = 5, 28.0, 4096
 #: Lengths of the beginnings of words that are terms.
 BEGINNINGS = (3, 4, 5, 6)
+HEAD = min(BEGINNINGS)
 #: Weight of a word as such, against 1 or more for each of the terms it holds.
 ANY_WORD = 0.15
 #: How many of the nearest examples vote, and the weight of the prior against an example at distance 1.
@@ -49,7 +50,7 @@ NEAREST, PRIOR = 15, 0.5
 #: Words whose terms a worker remembers.
 REMEMBERED = 200_000
 #: Examples in a block of the index.
-BLOCK = 64
+BLOCK = 256
 OUTPUTS = ("score", "predicted", "evidence")
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -105,30 +106,29 @@ class Terms:
         self.size = len(known) + 1
         self.number = {t: i for t, (i, _) in known.items()}
         self.idf = np.array([*(v for _, v in known.values()), ANY_WORD])
+        self.heads = {t.rstrip("*")[:HEAD] for t in self.number}
         self.remembered: dict[str, tuple[int, ...]] = {}
 
     def of_word(self, word: str) -> tuple[int, ...]:
         """Places of the terms that a word holds; those of short words are remembered, up to a bound."""
-        if len(word) > 64:
-            return self._of_word(word)
         found = self.remembered.get(word)
         if found is None:
-            if len(self.remembered) >= REMEMBERED:
-                self.remembered.clear()
-            found = self.remembered[word] = self._of_word(word)
+            found = tuple(i for t in terms_of(word) if (i := self.number.get(t)) is not None)
+            if len(word) <= 64:
+                if len(self.remembered) >= REMEMBERED:
+                    self.remembered.clear()
+                self.remembered[word] = found
         return found
 
-    def _of_word(self, word: str) -> tuple[int, ...]:
-        return tuple(i for t in terms_of(word) if (i := self.number.get(t)) is not None)
-
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(places ascending, weights) of length 1; nothing for a text without words."""
-        words, found = words_of(text), Counter()
-        for w, n in words.items():
-            for i in self.of_word(w):
-                found[i] += n
+        words, found, heads = words_of(text), {}, self.heads
         if not words:
             return np.zeros(0, np.int64), np.zeros(0)
+        for w, n in words.items():
+            if w[:HEAD] in heads:  # most words begin like no term
+                for i in self.of_word(w):
+                    found[i] = found.get(i, 0) + n
         found[self.size - 1] = words.total()
         place = np.array(sorted(found), np.int64)
         weight = np.array([found[i] for i in place.tolist()], float) * self.idf[place]
