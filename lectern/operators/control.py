@@ -1,13 +1,11 @@
-"""Sources and control tables: uploads, page ranges, layout results, schemas, gold data, jobs."""
+"""Sources and control tables: uploads, page ranges, layout results, gold data, jobs."""
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_BYTES, MAX_PIXELS, MAX_PAGES = 50 * 1024 * 1024, 25_000_000, 200
+MAX_BYTES, MAX_PIXELS = 50 * 1024 * 1024, 25_000_000
 JOB_TTL = 3_600
 #: EXIF orientations that turn a picture, in degrees.
 TURNS = {3: 180, 6: 90, 8: -90}
@@ -57,56 +55,6 @@ def normalised_order(regions: DataFrame) -> DataFrame:
     return regions.withColumn("order_no", F.when(F.col("raw_order").isNotNull(), F.dense_rank().over(Window.partitionBy("doc_id", "page").orderBy(F.col("raw_order").asc_nulls_last()))))
 
 
-def markdown_schema(markdown: str) -> dict:
-    """A JSON Schema with one optional text property for each second-level heading, described by the text below it."""
-    properties: dict[str, dict] = {}
-    name = None
-    for line in markdown.splitlines():
-        if line.startswith("## ") and line[3:].strip():
-            name = line[3:].strip()
-            if name in properties:
-                raise ValueError(f"field {name!r} stands twice")
-            properties[name] = {"type": "string", "description": ""}
-        elif name is not None:
-            p = properties[name]
-            p["description"] = f"{p['description']}\n{line}".strip()
-    if not properties:
-        raise ValueError("no field heading")
-    return {"type": "object", "properties": properties, "required": [], "additionalProperties": False}
-
-
-def rows_schema(rows: list[dict]) -> dict:
-    """A JSON Schema from rows (name, type, description, required, format, pattern, minimum, maximum)."""
-    properties: dict[str, dict] = {}
-    required = []
-    for r in rows:
-        name = (r.get("name") or "").strip()
-        if not name:
-            continue
-        if name in properties:
-            raise ValueError(f"field {name!r} stands twice")
-        p = {"type": r.get("type") or "string"}
-        p |= {k: r[k] for k in ("description", "format", "pattern") if r.get(k)}
-        p |= {k: float(r[k]) for k in ("minimum", "maximum") if r.get(k) is not None}
-        properties[name] = p
-        if r.get("required"):
-            required.append(name)
-    if not properties:
-        raise ValueError("no fields")
-    return {"type": "object", "properties": properties, "required": required, "additionalProperties": False}
-
-
-def parsed_schema(text: str) -> dict:
-    value = json.loads(text)
-    if not isinstance(value, dict) or value.get("type") != "object" or not value.get("properties"):
-        raise ValueError("the schema must be an object with properties")
-    return value
-
-
-def schema_version(schema: dict) -> str:
-    return str(schema.get("x-schema-version") or schema.get("$id") or "unversioned")
-
-
 def pairing(files: DataFrame) -> DataFrame:
     """Stems (of stem, suffix) that lack one of the three files of a validation pair."""
     need = [".pdf", ".parse.json", ".parse.md"]

@@ -195,18 +195,6 @@ def test_published_tables(spark):
     assert r.p == "| A&B | x\\|y |\n| --- | --- |\n| <s> |  |"
 
 
-def test_schemas():
-    s = C.markdown_schema("# Top\n## id\nThe number\nof it\n## date\n")
-    assert s["properties"] == {"id": {"type": "string", "description": "The number\nof it"}, "date": {"type": "string", "description": ""}}
-    for bad in ("no headings", "## a\n## a"):
-        with pytest.raises(ValueError):
-            C.markdown_schema(bad)
-    assert C.rows_schema([{"name": "n", "type": "number", "minimum": 1, "required": True}, {"name": " "}])["required"] == ["n"]
-    assert C.schema_version({"$id": "v2"}) == "v2" and C.schema_version({}) == "unversioned"
-    with pytest.raises(ValueError):
-        C.parsed_schema('{"type": "array"}')
-
-
 def test_ingest_reads_kinds_from_content(spark, tmp_path):
     (tmp_path / "a.png").write_bytes(b"%PDF-1.7 x")
     (tmp_path / "b.pdf").write_bytes(b"\x89PNG")
