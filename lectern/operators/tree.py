@@ -33,7 +33,7 @@ JOB_PREFIX, RANGE_UNITS = "local-", "unicode_codepoints"
 
 
 #: The text of a node in the body of its page; none where chunks changed places and the node ends before it begins.
-SLICE = F.expr("substring(body, cast(start_at as int) + 1, cast(greatest(end_at - start_at, 0) as int))")
+SLICE = "substring(body, cast(start_at as int) + 1, cast(greatest(end_at - start_at, 0) as int))"
 
 
 def located(holders: DataFrame, parts: DataFrame, keys: list[str], order: list[str], *, restart: bool) -> DataFrame:
@@ -129,7 +129,7 @@ def semantic_nodes(found: DataFrame, bodies: DataFrame, blocks: DataFrame) -> Da
     own = found.where("table_id is null")
     each = own.select(*PAGE, "run", F.posexplode("block_ids").alias("at", "block_id"))
     parts = each.join(blocks.where("box is not null").select(*PAGE, "block_id", F.col("text").alias("value"), "box"), [*PAGE, "block_id"])
-    texts = own.join(bodies, list(PAGE)).select(*PAGE, "run", _at("start_at").alias("node_start"), _at("end_at").alias("node_end"), SLICE.alias("text"))
+    texts = own.join(bodies, list(PAGE)).select(*PAGE, "run", _at("start_at").alias("node_start"), _at("end_at").alias("node_end"), F.expr(SLICE).alias("text"))
     placed = located(texts, parts, [*PAGE, "run"], ["at"], restart=False).drop("value").join(texts.drop("text"), [*PAGE, "run"])
     atom = grounding(F.col("page"), *_within("node_start", "node_end"), F.col("box"))
     atoms = placed.groupBy(*PAGE, "run").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", atom.alias("a")))), lambda x: x["a"]).alias("atoms"), g.union_of("box").alias("around"))
@@ -153,7 +153,7 @@ def table_nodes(found: DataFrame, bodies: DataFrame, tables: DataFrame, cells: D
     """(doc_id, page, run, start_at, node) of the nodes that are tables, their cells in order of row and column, grounded to their
     escaped text in the table's markup. ``tables``: table_id, box; ``cells``: table_id, row, col (from 1), row_span, column_span,
     source_text, box, block_ids."""
-    own = found.where("table_id is not null").join(bodies, list(PAGE)).select(*PAGE, "run", "table_id", "start_at", "end_at", "page_start", SLICE.alias("text"))
+    own = found.where("table_id is not null").join(bodies, list(PAGE)).select(*PAGE, "run", "table_id", "start_at", "end_at", "page_start", F.expr(SLICE).alias("text"))
     parts = own.select(*PAGE, "run", "table_id", _at("start_at").alias("table_start"), _at("end_at").alias("table_end")).join(cells, [*PAGE, "table_id"]).withColumn("value", html_escape(strip(F.col("source_text")))).drop("source_text")
     placed = located(own.select(*PAGE, "run", "text"), parts, [*PAGE, "run"], ["row", "col"], restart=False).drop("value")
     start, end = _within("table_start", "table_end")
