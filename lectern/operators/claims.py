@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions import geometry as g
 from ..functions.text import strip
+from ..sources.stage import written
 
 PAGE = ("doc_id", "page")
 #: How a claimed table is named, and its style until its cells are built.
@@ -100,10 +101,10 @@ def semantic_chunks(proposals: DataFrame, blocks: DataFrame, regions: DataFrame,
     """(doc_id, page, reading_order, chunk_id, type, block_ids, text, origin): a page's proposals as its chunks ("proposed"), if they hold
     together, with a chunk for each block that none of them names ("missing") and the page's tables again ("table"), whose
     blocks no other chunk has; else, and on pages without proposals, the ``fallback`` chunks. Blocks with a source of their own
-    stand behind ("derived"). ``blocks``: block_id, ord, text, source (null: read); ``fallback``: chunk_ord, chunk_id, type, block_ids, text."""
+    stand behind ("derived"). The pages whose proposals hold are written once. ``blocks``: block_id, ord, text, source (null: read); ``fallback``: chunk_ord, chunk_id, type, block_ids, text."""
     read = blocks.where("source is null")
     faults = partition_faults(proposals, read, regions)
-    asked = proposals.select(*PAGE).distinct().join(faults, list(PAGE), "left_anti")
+    asked = written(proposals.select(*PAGE).distinct().join(faults, list(PAGE), "left_anti"), "sound-pages")
     p = proposals.join(asked, list(PAGE), "left_semi")
     tables = fallback.where("type = 'table'").join(asked, list(PAGE), "left_semi")
     in_tables = tables.select(*PAGE, F.explode("block_ids").alias("block_id")).distinct()
