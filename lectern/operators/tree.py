@@ -23,6 +23,7 @@ from pyspark.sql.window import Window
 
 from ..functions import geometry as g
 from ..functions.text import html_escape, strip
+from ..sources.stage import written
 from .publish import PAGE_BREAK
 from .structure import UNMERGED
 
@@ -32,7 +33,7 @@ NODE_TYPES = ("text", "marginalia", "logo", "attestation", "figure", "chart", "e
 JOB_PREFIX, RANGE_UNITS = "local-", "unicode_codepoints"
 
 
-#: The text of a node in the body of its page; none where chunks changed places and the node ends before it begins.
+#: SQL of the text of a node in the body of its page; none where chunks changed places and the node ends before it begins.
 SLICE = "substring(body, cast(start_at as int) + 1, cast(greatest(end_at - start_at, 0) as int))"
 
 
@@ -122,19 +123,24 @@ def _within(start: str, end: str) -> tuple[Column, Column]:
     return F.coalesce(F.col(start) + F.col("start_at"), F.col(start)), F.coalesce(F.col(start) + F.col("end_at"), F.col(end))
 
 
-def semantic_nodes(found: DataFrame, bodies: DataFrame, blocks: DataFrame) -> DataFrame:
+def with_texts(found: DataFrame, bodies: DataFrame) -> DataFrame:
+    """``nodes`` with their text and page_start, the place of their page in the document."""
+    return found.join(bodies.select(*PAGE, "body", "page_start"), list(PAGE)).withColumn("text", F.expr(SLICE)).drop("body")
+
+
+def semantic_nodes(held: DataFrame, blocks: DataFrame) -> DataFrame:
     """(doc_id, page, run, start_at, node) of the nodes that are no tables. The atomic groundings are the places of the node's blocks
     within its text; a node of several chunks has the box around its blocks, one without a box that around the page's.
-    ``bodies``: body and page_start, the place of the page in the document."""
-    own = found.where("table_id is null")
+    ``held``: with_texts."""
+    own = held.where("table_id is null")
     each = own.select(*PAGE, "run", F.posexplode("block_ids").alias("at", "block_id"))
     parts = each.join(blocks.where("box is not null").select(*PAGE, "block_id", F.col("text").alias("value"), "box"), [*PAGE, "block_id"])
-    texts = own.join(bodies, list(PAGE)).select(*PAGE, "run", _at("start_at").alias("node_start"), _at("end_at").alias("node_end"), F.expr(SLICE).alias("text"))
-    placed = located(texts, parts, [*PAGE, "run"], ["at"], restart=False).drop("value").join(texts.drop("text"), [*PAGE, "run"])
+    spans = own.select(*PAGE, "run", _at("start_at").alias("node_start"), _at("end_at").alias("node_end"))
+    placed = located(own.select(*PAGE, "run", "text"), parts, [*PAGE, "run"], ["at"], restart=False).drop("value").join(spans, [*PAGE, "run"])
     atom = grounding(F.col("page"), *_within("node_start", "node_end"), F.col("box"))
     atoms = placed.groupBy(*PAGE, "run").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", atom.alias("a")))), lambda x: x["a"]).alias("atoms"), g.union_of("box").alias("around"))
     page_box = blocks.groupBy(*PAGE).agg(g.union_of("box").alias("page_box"))
-    x = own.join(atoms, [*PAGE, "run"], "left").join(page_box, list(PAGE), "left").join(bodies.select(*PAGE, "page_start"), list(PAGE))
+    x = own.drop("text").join(atoms, [*PAGE, "run"], "left").join(page_box, list(PAGE), "left")
     box = F.when(F.col("n_chunks") > 1, F.coalesce("around", g.box(*map(F.lit, (0, 0, 1, 1))))).otherwise(F.coalesce("box", "page_box"))
     lone = F.when(F.col("n_chunks") > 1, F.col("around")).otherwise(F.col("box"))
     whole = grounding(F.col("page"), _at("start_at"), _at("end_at"), box)
@@ -149,11 +155,11 @@ _GROUNDING = "struct<page:int,range:struct<start:bigint,end:bigint>,box:struct<x
 CELLS = f"array<struct<type:string,id:string,grounding:{_GROUNDING},atomic_grounding:array<{_GROUNDING}>,row:int,col:int,colspan:int,rowspan:int>>"
 
 
-def table_nodes(found: DataFrame, bodies: DataFrame, tables: DataFrame, cells: DataFrame, blocks: DataFrame) -> DataFrame:
+def table_nodes(held: DataFrame, tables: DataFrame, cells: DataFrame, blocks: DataFrame) -> DataFrame:
     """(doc_id, page, run, start_at, node) of the nodes that are tables, their cells in order of row and column, grounded to their
     escaped text in the table's markup. ``tables``: table_id, box; ``cells``: table_id, row, col (from 1), row_span, column_span,
     source_text, box, block_ids."""
-    own = found.where("table_id is not null").join(bodies, list(PAGE)).select(*PAGE, "run", "table_id", "start_at", "end_at", "page_start", F.expr(SLICE).alias("text"))
+    own = held.where("table_id is not null").select(*PAGE, "run", "table_id", "start_at", "end_at", "page_start", "text")
     parts = own.select(*PAGE, "run", "table_id", _at("start_at").alias("table_start"), _at("end_at").alias("table_end")).join(cells, [*PAGE, "table_id"]).withColumn("value", html_escape(strip(F.col("source_text")))).drop("source_text")
     placed = located(own.select(*PAGE, "run", "text"), parts, [*PAGE, "run"], ["row", "col"], restart=False).drop("value")
     start, end = _within("table_start", "table_end")
@@ -184,10 +190,10 @@ def placed_bodies(pages: DataFrame) -> DataFrame:
 
 
 def trees(pages: DataFrame, chunks: DataFrame, tables: DataFrame, cells: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(doc_id, structure): the tree of every document, fields that begin with _ included."""
-    bodies = placed_bodies(pages)
-    found = nodes(bodies, chunks)
-    every = semantic_nodes(found, bodies, blocks).unionByName(table_nodes(found, bodies, tables, cells, blocks))
+    """(doc_id, structure): the tree of every document, fields that begin with _ included. Bodies and nodes are written once."""
+    bodies = written(placed_bodies(pages), "bodies")
+    held = written(with_texts(nodes(bodies, chunks), bodies), "nodes")
+    every = semantic_nodes(held, blocks).unionByName(table_nodes(held, tables, cells, blocks))
     children = F.transform(F.array_sort(F.collect_list(F.struct("start_at", "run", "node"))), lambda x: x["node"])
     kids = every.groupBy(*PAGE).agg(children.alias("children"))
     x = bodies.join(kids, list(PAGE), "left")

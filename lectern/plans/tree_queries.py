@@ -11,6 +11,7 @@ from ..operators import publish as P
 from ..operators import tree as T
 from ..sources import adapt
 from ..sources.adapt import BLOCKS_SQL
+from ..sources.stage import written
 
 PAGE = list(T.PAGE)
 Frames = tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]
@@ -26,7 +27,7 @@ def _evidence(spark: SparkSession, d: str) -> Frames:
     is_table = F.expr("c % 5 = 3")
     rows = F.transform("own", lambda o: F.array(F.concat(F.lit("Row "), o["ord"]), o["text"]))
     x = x.withColumn("markup", F.when(is_table, P.html_table(rows)).otherwise(F.array_join(F.transform("own", lambda o: o["text"]), "\n\n")))
-    x = x.withColumn("table_id", F.when(is_table & F.expr("(c + page) % 4 <> 0"), F.concat(F.lit("p"), "page", F.lit("-t"), "c")))
+    x = written(x, "chunks").withColumn("table_id", F.when(is_table & F.expr("(c + page) % 4 <> 0"), F.concat(F.lit("p"), "page", F.lit("-t"), "c")))
     chunks = x.select(
         *PAGE, F.expr("c + 1 - 2 * (c % 2)").alias("chunk_ord"), F.concat(F.lit("p"), "page", F.lit("-c"), "c").alias("chunk_id"), F.when(F.expr("c % 7 = 5"), "logo").when(F.expr("c % 7 = 6"), "list").otherwise("text").alias("type"),
         F.when(F.expr("c div 3 <> 2"), F.concat(F.lit("l"), F.expr("c div 3"))).alias("region_id"), F.when(F.expr("c % 9 = 4 or doc_id % 17 = 0"), F.concat(F.lit("not there: "), "markup")).otherwise(F.col("markup")).alias("markdown"),
@@ -49,14 +50,14 @@ def _trees(spark: SparkSession, d: str) -> DataFrame:
 def k04_grounded_nodes(spark: SparkSession, d: str) -> DataFrame:
     pages, chunks, _, _, blocks = _evidence(spark, d)
     bodies = T.placed_bodies(pages)
-    n = T.semantic_nodes(T.nodes(bodies, chunks), bodies, blocks).select(*PAGE, "node.*")
+    n = T.semantic_nodes(T.with_texts(T.nodes(bodies, chunks), bodies), blocks).select(*PAGE, "node.*")
     return n.select(*PAGE, "type", "id", "source_id", F.to_json("grounding").alias("grounding"), F.to_json("atomic_grounding").alias("atomic"))
 
 
 def k05_table_nodes(spark: SparkSession, d: str) -> DataFrame:
     pages, chunks, tables, cells, blocks = _evidence(spark, d)
     bodies = T.placed_bodies(pages)
-    n = T.table_nodes(T.nodes(bodies, chunks), bodies, tables, cells, blocks).select(*PAGE, F.col("node.id").alias("table"), F.to_json("node.grounding").alias("table_grounding"), F.explode("node.children").alias("c"))
+    n = T.table_nodes(T.with_texts(T.nodes(bodies, chunks), bodies), tables, cells, blocks).select(*PAGE, F.col("node.id").alias("table"), F.to_json("node.grounding").alias("table_grounding"), F.explode("node.children").alias("c"))
     return n.select(*PAGE, "table", "table_grounding", "c.id", "c.row", "c.col", "c.colspan", "c.rowspan", F.to_json("c.grounding").alias("grounding"), F.to_json("c.atomic_grounding").alias("atomic"))
 
 

@@ -61,8 +61,8 @@ def test_the_walk_gives_back_the_rows(spark, tree):
     d = "/root/testdata/sf0.001"
     pages, chunks, tables, cells, blocks = tree_queries._evidence(spark, d)
     bodies = T.placed_bodies(pages)
-    found = T.nodes(bodies, chunks)
-    every = T.semantic_nodes(found, bodies, blocks).unionByName(T.table_nodes(found, bodies, tables, cells, blocks))
+    held = T.with_texts(T.nodes(bodies, chunks), bodies)
+    every = T.semantic_nodes(held, blocks).unionByName(T.table_nodes(held, tables, cells, blocks))
     flat = every.select("doc_id", "node.id", "node.type", "page", "node.grounding.range.start", "node.grounding.range.end")
     inner = every.select("doc_id", "page", F.explode("node.children").alias("c")).select("doc_id", "c.id", "c.type", "page", "c.grounding.range.start", "c.grounding.range.end")
     rows = T.walk(T.trees(pages, chunks, tables, cells, blocks)).where("depth > 1").select(flat.columns)
