@@ -128,12 +128,14 @@ def _average(blobs: list[bytes]) -> bytes:
 
 
 def _start(docs: DataFrame, vocabulary: Vocabulary, seed: int = 7) -> dict[str, np.ndarray]:
-    """Train on the START_DOCS documents with the smallest hashed ids; ``docs`` has texts, or the ids of their words."""
+    """Train on the START_DOCS documents with the smallest hashed ids, of those with the same id on the greatest; ``docs`` has texts,
+    or the ids of their words. START_DOCS rows at most reach the driver."""
     given = "ids" in docs.columns
     some = docs.where(F.col("doc_id").isNotNull() & (F.size("ids") <= START_TOKENS if given else F.lit(True)))
-    first = {r.doc_id for r in some.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(START_DOCS).collect()}
-    rows = some.where(F.col("doc_id").isin(first)).select("doc_id", "ids" if given else "text").toArrow().to_pylist() if first else []
-    one = {r["doc_id"]: np.array(r["ids"]) if given else vocabulary.ids(r["text"])[1] for r in sorted(rows, key=lambda r: (r["doc_id"], str(r)))}
+    first = {r.doc_id for r in some.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(START_DOCS).collect()}
+    what = F.max("ids" if given else "text").alias("own")
+    rows = some.where(F.col("doc_id").isin(first)).groupBy("doc_id").agg(what).toArrow().to_pylist() if first else []
+    one = {r["doc_id"]: np.array(r["own"]) if given else vocabulary.ids(r["own"])[1] for r in sorted(rows, key=lambda r: r["doc_id"])}
     t = Trainer(start_weights(vocabulary.layout), vocabulary.layout, _RATES[0])
     while one and t.steps < START_STEPS:
         t.epoch(list(one.values()), vocabulary[END], START_LANES)

@@ -148,11 +148,11 @@ def labelled_sample(labels: DataFrame, max_rows: int = MAX_LABELLED, seed: int =
 
 def labelled_statistics(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED, *, with_words: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """doc_id, RATIOS (and the number of words) and quality of the labelled sample, in order of
-    doc_id; ``max_rows`` ids at most. Of documents with the same id the smallest statistics count."""
+    doc_id; ``max_rows`` rows at most reach the driver. Of documents with the same id the smallest statistics count."""
     sample, names = labelled_sample(labels, max_rows), [*RATIOS, *["n_words"] * with_words]
     joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    rows = with_statistics(joined, "doc_id", "quality").toArrow().to_pandas()
-    rows = rows.sort_values(["doc_id", *names]).drop_duplicates("doc_id")
+    least = with_statistics(joined, "doc_id", "quality").groupBy("doc_id", "quality").agg(F.min(F.struct(*names)).alias("s"))
+    rows = least.select("doc_id", "quality", "s.*").toArrow().to_pandas().sort_values("doc_id")
     return rows["doc_id"].to_numpy(), rows[names].to_numpy(float).reshape(len(rows), len(names)), rows["quality"].to_numpy()
 
 

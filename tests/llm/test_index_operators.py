@@ -281,3 +281,25 @@ def test_sql_of_odd_tables(spark, tmp_path, name):
     columns = sorted(got.columns)
     assert sorted(want.columns) == columns
     assert sorted(map(str, want.select(*columns).fetchall())) == sorted(str(tuple(r)) for r in got.select(*columns).collect())
+
+
+def test_repeated_ids_reach_the_driver_once(spark, monkeypatch):
+    from lectern.llm import gru, language_model, quality_rules
+
+    docs = spark.createDataFrame([(0, prose(30 + i % 7)) for i in range(2000)] + [(i, prose(20)) for i in range(1, 40)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, quality int")
+    seen = []
+    plain = type(docs).toArrow
+    monkeypatch.setattr(type(docs), "toArrow", lambda self: (seen.append(out := plain(self)), out)[1])
+    ids, x, quality = quality_rules.labelled_statistics(docs, labels, with_words=True)
+    assert ids.tolist() == list(range(40)) and len(x) == len(quality) == 40 and 30 <= x[0][-1] <= 36
+    assert [t.num_rows for t in seen] == [40]
+    seen.clear()
+    monkeypatch.setattr(language_model, "START_STEPS", 1)
+    vocabulary = language_model.Vocabulary
+    numbers = docs.select("doc_id", F.expr("array(0, 1)").alias("ids"))
+    monkeypatch.setattr(language_model, "Trainer", lambda w, layout, rate: type("T", (), {"w": w, "steps": 0, "epoch": lambda self, d, e, n: setattr(self, "steps", 1)})())
+    monkeypatch.setattr(language_model, "start_weights", lambda layout: {})
+    fake = type("V", (), {"layout": None, "__getitem__": lambda self, k: 0})()
+    language_model._start(numbers, fake)
+    assert [t.num_rows for t in seen] == [40] and vocabulary and gru
