@@ -186,6 +186,14 @@ def g01_accepted_links(spark: SparkSession, d: str) -> DataFrame:
     return G.accepted_links(links, "o_custkey")
 
 
+def g01_checked_links(spark: SparkSession, d: str) -> DataFrame:
+    """Six nodes a customer, links between them by the keys of its orders; some ends are no nodes."""
+    o = _t(spark, d, "orders")
+    nodes = o.select("o_custkey").distinct().select("o_custkey", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("node")).select("o_custkey", "node", F.expr("node div 3").alias("page"), F.expr("(node * 2) % 3").alias("reading_order"))
+    links = o.select("o_custkey", F.expr("cast(o_orderkey % 7 as int)").alias("src"), F.expr("cast((o_orderkey * 3 + o_custkey) % 6 as int)").alias("dst"), F.when(F.expr("o_orderkey % 3 = 0"), "continues").otherwise("cites").alias("relation"), F.col("o_orderkey").alias("ord"))
+    return G.checked_links(links, nodes, "o_custkey")
+
+
 def _boxes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     b = L.typed(_blocks(spark, d)).select("doc_id", "page", "type", "ord", "box")
     by = (F.col("doc_id") % 7) * 4 / 1000.0
@@ -246,7 +254,7 @@ def e01_event_windows(spark: SparkSession, d: str) -> DataFrame:
 _FUNCTIONS = (
     x15_usage_cost, a03_usage_rollup, a16_session_totals, a17_page_allocation, a04_stage_summary, a05_accumulated_stages, w13_budget_admission, j20_label_allowlist, j21_missing_fields, j08_adjudicate_refinements, j24_low_conf_coverage,
     j30_accepted_overlay, w10_split_coverage, a09_sum_equals, a10_checkbox_rules, j19_section_parents, w09_last_audit, j22_upsert, u02_covered_once, st3_workflow_state, st1_job_ttl, x13_normalise_values, x14_field_validation, x19_message_kinds,
-    g01_link_endpoints, g01_accepted_links, j25_box_matching, x11_text_agreement, f24_constraint_violations, s05_page_ranges, s06_selected_pages, s14_base64_uploads, s16_pairing, w21_dense_order, e01_event_windows,
+    g01_link_endpoints, g01_accepted_links, g01_checked_links, j25_box_matching, x11_text_agreement, f24_constraint_violations, s05_page_ranges, s06_selected_pages, s14_base64_uploads, s16_pairing, w21_dense_order, e01_event_windows,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
@@ -290,6 +298,13 @@ ORACLES = {
     "x19_message_kinds": f"""WITH {BLOCKS_SQL}, m AS (SELECT lower(['Table', 'Field', 'low-confidence block', 'Page', 'Checkbox on page', 'note', 'Table requires review'][ord % 7 + 1] || ' ' || text) AS m FROM blocks)
         SELECT CASE WHEN contains(m, 'checkbox') THEN 'checkbox' WHEN contains(m, 'classification') THEN 'classify' WHEN contains(m, 'section') THEN 'section' WHEN contains(m, 'split') THEN 'split' WHEN contains(m, 'field') THEN 'extract'
           WHEN contains(m, 'low-confidence block') OR contains(m, 'table') AND contains(m, 'requires review') OR contains(m, 'page') THEN 'parse' ELSE 'validate' END AS stage, count(*) AS n FROM m GROUP BY 1""",
+    "g01_checked_links": """WITH RECURSIVE l AS (SELECT o_custkey AS c, cast(o_orderkey % 7 AS int) AS s, cast((o_orderkey * 3 + o_custkey) % 6 AS int) AS t, CASE WHEN o_orderkey % 3 = 0 THEN 'continues' ELSE 'cites' END AS r, o_orderkey AS ord, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+        f AS (SELECT DISTINCT c, cast(0 AS bigint) AS n, cast([] AS integer[]) AS pairs, cast([] AS varchar[]) AS seen, NULL::VARCHAR AS issue FROM l UNION ALL
+          SELECT l.c, l.n, CASE WHEN i.issue IS NULL THEN list_distinct(list_concat(pairs, flatten(list_transform(list_append(list_transform(list_filter(pairs, lambda p: p % 10 = s), lambda p: p // 10), s), lambda x: list_transform(list_append(list_transform(list_filter(pairs, lambda p: p // 10 = t), lambda p: p % 10), t), lambda y: x * 10 + y)))))
+              ELSE pairs END, CASE WHEN i.issue IS NULL THEN list_append(seen, s || '-' || t || r) ELSE seen END, i.issue
+          FROM f JOIN l ON l.c = f.c AND l.n = f.n + 1, LATERAL (SELECT CASE WHEN s > 5 THEN 'unknown_endpoint' WHEN list_contains(seen, s || '-' || t || r) THEN 'duplicate' WHEN r = 'continues' AND (s // 3) * 10 + (s * 2) % 3 >= (t // 3) * 10 + (t * 2) % 3 THEN 'not_forward'
+            WHEN s = t OR list_contains(pairs, t * 10 + s) THEN 'cycle' END AS issue) i)
+        SELECT c AS o_custkey, s AS src, t AS dst, r AS relation, ord, issue FROM f JOIN l USING (c, n)""",
     "g01_link_endpoints": """WITH nodes AS (SELECT o_orderkey AS node, o_custkey % 50 AS page, o_orderkey AS ro FROM orders WHERE o_orderkey % 20 <> 0),
         links AS (SELECT o_orderkey - o_orderkey % 2 AS src, o_orderkey - o_orderkey % 2 + 1 + o_custkey % 3 AS dst, CASE WHEN o_custkey % 2 = 0 THEN 'continues' ELSE 'cites' END AS relation, o_orderkey AS ord FROM orders),
         x AS (SELECT l.*, s.node AS sn, t.node AS tn, (s.page, s.ro) >= (t.page, t.ro) AS back, row_number() OVER (PARTITION BY src, dst, relation ORDER BY ord) AS i FROM links l LEFT JOIN nodes s ON s.node = src LEFT JOIN nodes t ON t.node = dst)
