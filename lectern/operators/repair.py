@@ -29,16 +29,14 @@ def query_terms(texts: Column) -> Column:
 def chunk_scores(chunks: DataFrame, items: DataFrame, named: DataFrame) -> DataFrame:
     """``chunks`` of documents with review items, with score: 100 if a named block or chunk is in it, and how often each term of the
     items' messages occurs in its text. ``chunks``: doc_id, page, chunk_ord, chunk_id, block_ids, text, markdown; ``items``: message;
-    ``named``: doc_id and block_id or chunk_id. Texts stay in their rows; what is joined is one row of terms a document."""
-    asked = items.groupBy("doc_id").agg(query_terms(F.collect_set("message")).alias("terms"))
-    key = ["doc_id", "page", "chunk_ord", "chunk_id"]
-    by_block = chunks.select(*key, F.explode("block_ids").alias("block_id")).join(named.where("block_id is not null").select("doc_id", "block_id").distinct(), ["doc_id", "block_id"], "left_semi").select(*key)
-    by_chunk = chunks.select(*key).join(named.where("chunk_id is not null").select("doc_id", "chunk_id"), ["doc_id", "chunk_id"], "left_semi").select(*key)
-    direct = by_block.unionByName(by_chunk).distinct().withColumn("direct", F.lit(DIRECT))
-    text = casefold(F.coalesce("text", F.lit("")))
-    found = F.aggregate("terms", F.lit(0).cast("bigint"), lambda a, t: a + occurrences(F.col("_text"), t))
-    x = chunks.join(asked, "doc_id").join(direct, key, "left").withColumn("_text", text)
-    return x.withColumn("score", F.coalesce("direct", F.lit(0)) + found).drop("_text", "terms", "direct")
+    ``named``: doc_id and block_id or chunk_id. Texts pass one join, with one row of terms and names a document."""
+    asked = items.groupBy("doc_id").agg(query_terms(F.collect_set("message")).alias("_terms"))
+    known = named.groupBy("doc_id").agg(F.collect_set("block_id").alias("_blocks"), F.collect_set("chunk_id").alias("_chunks"))
+    x = chunks.join(asked.join(known, "doc_id", "left"), "doc_id")
+    direct = F.arrays_overlap("block_ids", "_blocks") | F.array_contains("_chunks", F.col("chunk_id"))
+    found = F.aggregate("_terms", F.lit(0).cast("bigint"), lambda a, t: a + occurrences(F.col("_text"), t))
+    x = x.withColumn("_text", casefold(F.coalesce("text", F.lit(""))))
+    return x.withColumn("score", F.when(F.coalesce(direct, F.lit(False)), DIRECT).otherwise(0) + found).drop("_text", "_terms", "_blocks", "_chunks")
 
 
 def repair_scope(scored: DataFrame, most_chunks: int = MOST_CHUNKS, most_characters: int = MOST_CHARACTERS) -> DataFrame:
