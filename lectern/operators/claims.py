@@ -109,25 +109,30 @@ def semantic_chunks(proposals: DataFrame, blocks: DataFrame, regions: DataFrame,
     tables = fallback.where("type = 'table'").join(asked, list(PAGE), "left_semi")
     in_tables = tables.select(*PAGE, F.explode("block_ids").alias("block_id")).distinct()
     each = p.select(*PAGE, "reading_order", "proposal_ord", "proposal_id", "type", F.posexplode("block_ids").alias("at", "block_id"))
-    used = each.select(*PAGE, "block_id")
-    own = each.join(in_tables, [*PAGE, "block_id"], "left_anti").join(read.select(*PAGE, "block_id", "text"), [*PAGE, "block_id"])
-    seq = F.array_sort(F.collect_list(F.struct("at", "block_id", strip(F.col("text")).alias("text"))))
-    made = own.groupBy(*PAGE, "reading_order", "proposal_ord", "proposal_id", "type").agg(seq.alias("s"))
-    ids, texts = F.transform("s", lambda b: b["block_id"]), F.array_join(F.transform("s", lambda b: b["text"]), "\n")
+    own = each.join(in_tables, [*PAGE, "block_id"], "left_anti")
     kind = F.when(F.col("type") == "table", "text").otherwise(F.col("type"))
-    chunks = made.select(*PAGE, F.col("reading_order").cast("bigint").alias("place"), F.lit(0).alias("stage"), F.col("proposal_ord").cast("bigint").alias("seq"), F.col("proposal_id").alias("chunk_id"), kind.alias("type"), ids.alias("block_ids"), texts.alias("text"), F.lit("proposed").alias("origin"))
-    n = p.groupBy(*PAGE).agg(F.count("*").alias("n_proposals")).join(chunks.groupBy(*PAGE).agg(F.count("*").alias("n_chunks")), list(PAGE), "left")
-    count = F.col("n_proposals") + F.coalesce("n_chunks", F.lit(0))
-    left = read.join(asked, list(PAGE), "left_semi").join(used, [*PAGE, "block_id"], "left_anti").withColumn("seq", F.row_number().over(Window.partitionBy(*PAGE).orderBy("ord")).cast("bigint"))
-    one = F.array("block_id")
-    missing = left.join(n, list(PAGE)).select(*PAGE, (count + F.col("seq")).alias("place"), F.lit(1).alias("stage"), "seq", F.concat(F.lit("p"), "page", F.lit("-semantic-fallback-"), "block_id").alias("chunk_id"), F.lit("text").alias("type"), one.alias("block_ids"), "text", F.lit("missing").alias("origin"))
-    again = tables.select(*PAGE, F.col("chunk_ord").cast("bigint").alias("place"), F.lit(2).alias("stage"), F.col("chunk_ord").cast("bigint").alias("seq"), "chunk_id", "type", "block_ids", "text", F.lit("table").alias("origin"))
-    so_far = chunks.unionByName(missing).unionByName(again)
-    total = so_far.groupBy(*PAGE).agg(F.count("*").alias("n_before"))
-    late = blocks.where("source is not null").join(asked, list(PAGE), "left_semi").withColumn("seq", F.row_number().over(Window.partitionBy(*PAGE).orderBy("ord")).cast("bigint")).join(total, list(PAGE), "left")
-    derived = late.select(*PAGE, (F.coalesce("n_before", F.lit(0)) + F.col("seq")).alias("place"), F.lit(3).alias("stage"), "seq", F.concat(F.lit("p"), "page", F.lit("-derived-"), "seq").alias("chunk_id"), F.lit("text").alias("type"), one.alias("block_ids"), "text", F.lit("derived").alias("origin"))
+    long, key = (lambda c: F.col(c).cast("bigint")), [*PAGE, "place", "stage", "seq", "chunk_id", "type", "origin"]
+    made = own.select(*PAGE, long("reading_order").alias("place"), F.lit(0).alias("stage"), long("proposal_ord").alias("seq"), F.col("proposal_id").alias("chunk_id"), kind.alias("type"), F.lit("proposed").alias("origin"), "at", "block_id")
+    chunks = made.groupBy(*PAGE).agg(F.count_distinct("seq").alias("n_chunks"))
+    n = p.groupBy(*PAGE).agg(F.count("*").alias("n_proposals")).join(chunks, list(PAGE), "left").select(*PAGE, (F.col("n_proposals") + F.coalesce("n_chunks", F.lit(0))).alias("n"))
+
+    def alone(x: DataFrame, before: DataFrame, stage: int, name: str, origin: str) -> DataFrame:
+        """A chunk for each block, behind as many as ``before`` counts."""
+        x = x.withColumn("seq", F.row_number().over(Window.partitionBy(*PAGE).orderBy("ord")).cast("bigint")).join(before, list(PAGE), "left")
+        return x.select(*PAGE, (F.coalesce("n", F.lit(0)) + F.col("seq")).alias("place"), F.lit(stage).alias("stage"), "seq", F.concat(F.lit("p"), "page", F.lit(name), F.col("block_id") if stage == 1 else F.col("seq")).alias("chunk_id"), F.lit("text").alias("type"), F.lit(origin).alias("origin"), F.lit(0).alias("at"), "block_id")
+
+    bare = blocks.select(*PAGE, "block_id", "ord", "source").join(asked, list(PAGE), "left_semi")
+    missing = alone(bare.where("source is null").join(each.select(*PAGE, "block_id"), [*PAGE, "block_id"], "left_anti"), n, 1, "-semantic-fallback-", "missing")
+    count = lambda x, c: x.groupBy(*PAGE).agg(c.alias("n"))
+    so_far = chunks.select(*PAGE, F.col("n_chunks").alias("n")).unionByName(count(missing, F.count("*"))).unionByName(count(tables, F.count("*")))
+    derived = alone(bare.where("source is not null"), count(so_far, F.sum("n")), 3, "-derived-", "derived")
+    pieces = made.unionByName(missing).unionByName(derived).join(blocks.select(*PAGE, "block_id", "text"), [*PAGE, "block_id"])  # the texts pass here, once
+    listed = pieces.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("at", "block_id", "text"))).alias("s"))
+    joined = F.array_join(F.transform("s", lambda b: strip(b["text"])), "\n")
+    new = listed.select(*key, F.transform("s", lambda b: b["block_id"]).alias("block_ids"), F.when(F.col("stage") == 0, joined).otherwise(F.get("s", 0)["text"]).alias("text"))
+    again = tables.select(*PAGE, long("chunk_ord").alias("place"), F.lit(2).alias("stage"), long("chunk_ord").alias("seq"), "chunk_id", "type", F.lit("table").alias("origin"), "block_ids", "text")
     order = F.row_number().over(Window.partitionBy(*PAGE).orderBy("place", "stage", "seq"))
-    new = so_far.unionByName(derived).withColumn("reading_order", order.cast("bigint"))
+    new = new.unionByName(again).withColumn("reading_order", order.cast("bigint"))
     old = fallback.join(asked, list(PAGE), "left_anti").withColumns({"reading_order": F.row_number().over(Window.partitionBy(*PAGE).orderBy("chunk_ord")).cast("bigint"), "origin": F.lit("fallback")})
     out = [*PAGE, "reading_order", "chunk_id", "type", "block_ids", "text", "origin"]
     return new.select(*out).unionByName(old.select(*out))
