@@ -31,7 +31,7 @@ def validated_types(proposals: DataFrame, members: DataFrame, evidence: DataFram
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "\n")
     marked = F.greatest(*[F.contains(F.upper("text"), F.lit(m)) for m in SIGNED])
     m = members.groupBy(*key).agg(F.collect_set(F.lower("label")).alias("labels"), g.union_of("box").alias("around"), F.count("*").alias("n"), F.coalesce(F.bool_and(marked), F.lit(False)).alias("all_marked"), text.alias("text"))
-    shown = evidence.where("source = 'visual' and box is not null").select(*key, F.col("box").alias("e_box")).join(m.select(*key, "around"), key)
+    shown = evidence.where("source = 'visual' and box is not null").select(*key, F.col("box").alias("e_box")).join(m.where("around is not null").select(*key, "around"), key)
     covers = F.greatest(g.coverage(F.col("around"), F.col("e_box")), g.coverage(F.col("e_box"), F.col("around"))) >= SHOWN
     seen = shown.where(covers).groupBy(*key).agg(F.max(F.col("e_box.b") - F.col("e_box.t")).alias("height"))
     x = proposals.select(*key, "type").join(m, key, "left").join(seen, key, "left")
