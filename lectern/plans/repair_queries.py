@@ -15,14 +15,14 @@ def _blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def t05_repair_scope(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks of ten blocks; a review item for each block of very low score, of which every third names its block."""
+    """Chunks of ten blocks; a review item for each block of very low score, of which every third names its block and every 15th quotes it."""
     b = _blocks(spark, d)
     own = F.array_sort(F.collect_list(F.struct("k", "block_id", "text")))
     c = b.groupBy("doc_id", "page", F.expr("k div 10").alias("chunk_ord")).agg(own.alias("own"))
     texts = F.transform("own", lambda x: x["text"])
     chunks = c.select("doc_id", "page", "chunk_ord", F.concat(F.lit("p"), "page", F.lit("-c"), "chunk_ord").alias("chunk_id"), F.transform("own", lambda x: x["block_id"]).alias("block_ids"), F.array_join(texts, "\n").alias("text"), F.array_join(texts, "\n\n").alias("markdown"))
     low = b.where("score < 0.54")
-    items = low.select("doc_id", F.concat(F.lit("Field line_"), "ord", F.lit(" requires review: "), "text").alias("message"))
+    items = low.select("doc_id", F.concat(F.lit("Field line_"), "ord", F.lit(" requires review: "), F.when(F.expr("ord % 15 = 0"), F.col("text")).otherwise("order of the state")).alias("message"))
     named = low.where("ord % 3 = 0").select("doc_id", "block_id", F.lit(None).cast("string").alias("chunk_id"))
     return R.repair_scope(R.chunk_scores(chunks, items, named))
 
@@ -56,7 +56,7 @@ _T05 = (
     + BLOCKS_SQL
     + f""", c AS (SELECT doc_id, page, k // 10 AS chunk_ord, list(block_id) AS ids, {_FOLD("string_agg(text, chr(10) ORDER BY k)")} AS folded, length(string_agg(text, chr(10) || chr(10) ORDER BY k)) AS size FROM blocks GROUP BY 1, 2, 3
 ), low AS (SELECT * FROM blocks WHERE score < 0.54
-), words AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all({_FOLD("replace('Field line_' || ord || ' requires review: ' || text, '_', ' ')")}, '[a-z0-9]+')) AS w FROM low
+), words AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all({_FOLD("replace('Field line_' || ord || ' requires review: ' || CASE WHEN ord % 15 = 0 THEN text ELSE 'order of the state' END, '_', ' ')")}, '[a-z0-9]+')) AS w FROM low
 ), terms AS (SELECT doc_id, list(w) AS terms FROM words WHERE length(w) > 2 AND w NOT IN ({_IGNORED}) GROUP BY doc_id
 ), named AS (SELECT doc_id, list(block_id) AS named FROM low WHERE ord % 3 = 0 GROUP BY doc_id
 ), scored AS (
