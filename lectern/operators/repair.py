@@ -1,7 +1,7 @@
 """Repair of what failed: which chunks a repair may look at, and rounds of repair until nothing is left or nothing changes.
 
 Defined cases: a chunk id that stands twice in a document counts once, in its first place;
-null texts hold no terms; a document without review items is accepted before the first
+null texts hold no terms; documents with a null id have no scope; a document without review items is accepted before the first
 round; answers to items that were not asked for change nothing.
 """
 
@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import casefold, occurrences
+from ..functions.text import casefold
 
 #: Words of review messages that say nothing of the text, the score of a chunk that is named, and the bounds of a scope.
 IGNORED = ("field", "required", "review", "uncertain", "invalid", "abstained", "schema")
@@ -27,24 +28,58 @@ def query_terms(texts: Column) -> Column:
 
 
 def chunk_scores(chunks: DataFrame, items: DataFrame, named: DataFrame) -> DataFrame:
-    """``chunks`` of documents with review items, with score: 100 if a named block or chunk is in it, and how often each term of the
-    items' messages occurs in its text. ``chunks``: doc_id, page, chunk_ord, chunk_id, block_ids, text, markdown; ``items``: message;
-    ``named``: doc_id and block_id or chunk_id. Texts pass one join, with one row of terms and names a document."""
-    asked = items.groupBy("doc_id").agg(query_terms(F.collect_set("message")).alias("_terms"))
-    known = named.groupBy("doc_id").agg(F.collect_set("block_id").alias("_blocks"), F.collect_set("chunk_id").alias("_chunks"))
-    x = chunks.join(asked.join(known, "doc_id", "left"), "doc_id")
-    direct = F.arrays_overlap("block_ids", "_blocks") | F.array_contains("_chunks", F.col("chunk_id"))
-    found = F.aggregate("_terms", F.lit(0).cast("bigint"), lambda a, t: a + occurrences(F.col("_text"), t))
-    x = x.withColumn("_text", casefold(F.coalesce("text", F.lit(""))))
-    return x.withColumn("score", F.when(F.coalesce(direct, F.lit(False)), DIRECT).otherwise(0) + found).drop("_text", "_terms", "_blocks", "_chunks")
+    """(doc_id, page, chunk_ord, chunk_id, size, score) of the chunks of documents with review items: 100 if a named block or chunk is in
+    it, and how often each term of the items' messages occurs in its text. ``chunks``: doc_id, page, chunk_ord, chunk_id, block_ids,
+    text, markdown; ``items``: message; ``named``: doc_id and block_id or chunk_id. A document's terms pass before its chunks through
+    one task, which looks for all of them at once: the time goes by the length of texts, not by that times the number of terms."""
+    asked = items.groupBy("doc_id").agg(query_terms(F.collect_set("message")).alias("terms"))
+    known = named.groupBy("doc_id").agg(F.collect_set("block_id").alias("block_ids"), F.collect_set("chunk_id").alias("chunk_ids"))
+    size = F.length(F.coalesce(F.nullif("markdown", F.lit("")), F.col("text"), F.lit("")))
+    rows = chunks.select("doc_id", "page", "chunk_ord", "chunk_id", size.cast("bigint").alias("size"), "block_ids", casefold(F.coalesce("text", F.lit(""))).alias("text"), F.lit(1).alias("kind"))
+    rows = asked.join(known, "doc_id", "left").withColumn("kind", F.lit(0)).unionByName(rows, allowMissingColumns=True)
+    names = ["doc_id", "page", "chunk_ord", "chunk_id", "size"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, finder, blocks, ids = object(), None, frozenset(), frozenset()
+        for b in batches:
+            stay, scores = [], []
+            for i, (own, kind, terms, held, chunk_ids, chunk, text) in enumerate(zip(*(b.column(c).to_pylist() for c in ("doc_id", "kind", "terms", "block_ids", "chunk_ids", "chunk_id", "text")))):
+                if kind == 0:
+                    doc, finder, blocks, ids = own, _finder(terms), frozenset(held or ()), frozenset(chunk_ids or ())
+                elif own == doc and finder is not None:
+                    named_here = chunk in ids or not blocks.isdisjoint(held or ())
+                    stay.append(i)
+                    scores.append(DIRECT * named_here + _occurrences(finder, text))
+            kept = b.take(pa.array(stay, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in names), pa.array(scores, pa.int64())], names=[*names, "score"])
+
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names) + ", score bigint"
+    return rows.where("doc_id is not null").repartition("doc_id").sortWithinPartitions("doc_id", "kind").mapInArrow(count, schema)
+
+
+def _finder(terms: list[str]) -> ahocorasick.Automaton:
+    out = ahocorasick.Automaton()
+    for t in terms:
+        out.add_word(t, t)
+    if terms:
+        out.make_automaton()
+    return out
+
+
+def _occurrences(finder: ahocorasick.Automaton, text: str) -> int:
+    """How often the terms occur, those of one term without overlaps."""
+    n, reach = 0, {}
+    for end, term in finder.iter(text) if len(finder) else ():
+        if end - len(term) >= reach.get(term, -1):
+            n, reach[term] = n + 1, end
+    return n
 
 
 def repair_scope(scored: DataFrame, most_chunks: int = MOST_CHUNKS, most_characters: int = MOST_CHARACTERS) -> DataFrame:
     """(doc_id, page, chunk_id, score, place): the chunks of a document that a repair looks at, by score (highest), page and order: those
     with a score, while they fit; one that does not fit is passed over, but the first is always taken. Only sizes and ids pass, in
     order, through the task of their document, which keeps the ids taken."""
-    size = F.length(F.coalesce(F.nullif("markdown", F.lit("")), F.col("text"), F.lit("")))
-    x = scored.where("score > 0").select("doc_id", "page", "chunk_ord", "chunk_id", "score", size.cast("bigint").alias("size"))
+    x = scored.where("score > 0").select("doc_id", "page", "chunk_ord", "chunk_id", "score", "size")
     names = ["doc_id", "page", "chunk_id", "score"]
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
