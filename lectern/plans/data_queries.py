@@ -298,6 +298,20 @@ ORACLES = {
     "x19_message_kinds": f"""WITH {BLOCKS_SQL}, m AS (SELECT lower(['Table', 'Field', 'low-confidence block', 'Page', 'Checkbox on page', 'note', 'Table requires review'][ord % 7 + 1] || ' ' || text) AS m FROM blocks)
         SELECT CASE WHEN contains(m, 'checkbox') THEN 'checkbox' WHEN contains(m, 'classification') THEN 'classify' WHEN contains(m, 'section') THEN 'section' WHEN contains(m, 'split') THEN 'split' WHEN contains(m, 'field') THEN 'extract'
           WHEN contains(m, 'low-confidence block') OR contains(m, 'table') AND contains(m, 'requires review') OR contains(m, 'page') THEN 'parse' ELSE 'validate' END AS stage, count(*) AS n FROM m GROUP BY 1""",
+    "w13_budget_admission": """WITH RECURSIVE e AS (SELECT user_id, event_id AS seq, event_id * 37 % 1000 + 100 AS worst, CASE WHEN event_id % 41 <> 0 THEN event_id * 37 % 1000 END AS actual, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+        f AS (SELECT DISTINCT user_id, cast(0 AS bigint) AS n, cast(0 AS bigint) AS spent, false AS blocked, false AS ok FROM e UNION ALL
+          SELECT e.user_id, e.n, cast(spent + CASE WHEN o.ok THEN coalesce(actual, worst) ELSE 0 END AS bigint), blocked OR (o.ok AND actual IS NULL), o.ok FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1, LATERAL (SELECT NOT blocked AND spent + worst <= 20000 AS ok) o)
+        SELECT user_id, seq, ok AS admitted, max(spent) OVER (PARTITION BY user_id) AS spent FROM f JOIN e USING (user_id, n)""",
+    "j19_section_parents": f"""WITH RECURSIVE {BLOCKS_SQL}, s AS (SELECT doc_id, ord, cast((ord * 7 + doc_id) % 4 + 1 AS int) AS level FROM blocks),
+        f AS (SELECT DISTINCT doc_id, cast(0 AS bigint) AS ord, cast([] AS STRUCT(ord BIGINT, level INT)[]) AS open, cast(NULL AS bigint) AS parent, false AS kept FROM s UNION ALL
+          SELECT s.doc_id, s.ord, CASE WHEN s.level = 1 OR p.parent IS NOT NULL THEN list_append(list_filter(open, lambda o: o.level < s.level), {{'ord': s.ord, 'level': s.level}}) ELSE open END, p.parent, s.level = 1 OR p.parent IS NOT NULL
+          FROM f JOIN s ON s.doc_id = f.doc_id AND s.ord = f.ord + 1, LATERAL (SELECT list_filter(open, lambda o: o.level < s.level)[-1].ord AS parent) p)
+        SELECT doc_id, ord, parent, kept FROM f WHERE ord > 0""",
+    "g01_accepted_links": """WITH RECURSIVE l AS (SELECT o_custkey AS c, o_orderkey % 5 AS s, (o_orderkey * 3 + o_custkey) % 5 AS t, o_orderkey AS ord, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+        f AS (SELECT DISTINCT c, cast(0 AS bigint) AS n, cast([] AS bigint[]) AS pairs, false AS ok FROM l UNION ALL
+          SELECT l.c, l.n, CASE WHEN i.ok THEN list_distinct(list_concat(pairs, flatten(list_transform(list_append(list_transform(list_filter(pairs, lambda p: p % 10 = s), lambda p: p // 10), s), lambda x: list_transform(list_append(list_transform(list_filter(pairs, lambda p: p // 10 = t), lambda p: p % 10), t), lambda y: x * 10 + y))))) ELSE pairs END, i.ok
+          FROM f JOIN l ON l.c = f.c AND l.n = f.n + 1, LATERAL (SELECT s <> t AND NOT list_contains(pairs, t * 10 + s) AS ok) i)
+        SELECT c AS o_custkey, s AS src, t AS dst, ord, ok AS accepted FROM f JOIN l USING (c, n)""",
     "g01_checked_links": """WITH RECURSIVE l AS (SELECT o_custkey AS c, cast(o_orderkey % 7 AS int) AS s, cast((o_orderkey * 3 + o_custkey) % 6 AS int) AS t, CASE WHEN o_orderkey % 3 = 0 THEN 'continues' ELSE 'cites' END AS r, o_orderkey AS ord, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
         f AS (SELECT DISTINCT c, cast(0 AS bigint) AS n, cast([] AS integer[]) AS pairs, cast([] AS varchar[]) AS seen, NULL::VARCHAR AS issue FROM l UNION ALL
           SELECT l.c, l.n, CASE WHEN i.issue IS NULL THEN list_distinct(list_concat(pairs, flatten(list_transform(list_append(list_transform(list_filter(pairs, lambda p: p % 10 = s), lambda p: p // 10), s), lambda x: list_transform(list_append(list_transform(list_filter(pairs, lambda p: p // 10 = t), lambda p: p % 10), t), lambda y: x * 10 + y)))))

@@ -141,6 +141,12 @@ _CONTROLS = """controls AS (
 _W = "WITH " + BLOCKS_SQL + ", "
 _STRIP = r"regexp_replace(label, '^[\s\x0b\x1c-\x1f\x85\p{Z}]+|[\s\x0b\x1c-\x1f\x85\p{Z}]+$', '', 'g')"
 ORACLES = {
+    "u06_first_of_overlapping": "WITH RECURSIVE " + BLOCKS_SQL + """, w AS (SELECT doc_id, page, {'l': l, 't': t, 'r': r, 'b': b + CASE WHEN ord % 3 = 0 THEN 0.06::DOUBLE ELSE 0.0::DOUBLE END} AS box, row_number() OVER (PARTITION BY doc_id, page ORDER BY ord) AS n FROM blocks),
+        f AS (SELECT DISTINCT doc_id, page, cast(0 AS bigint) AS n, cast([] AS STRUCT(l DOUBLE, t DOUBLE, r DOUBLE, b DOUBLE, a DOUBLE)[]) AS kept FROM w UNION ALL
+          SELECT w.doc_id, w.page, w.n, CASE WHEN len(list_filter(kept, lambda k: k.both / (k.a + o.a - k.both) > 0.6 OR k.both / least(k.a, o.a) > 0.8)) > 0 THEN f.kept ELSE list_append(f.kept, {'l': w.box.l, 't': w.box.t, 'r': w.box.r, 'b': w.box.b, 'a': o.a}) END
+          FROM f JOIN w ON w.doc_id = f.doc_id AND w.page = f.page AND w.n = f.n + 1, LATERAL (SELECT (w.box.r - w.box.l) * (w.box.b - w.box.t) AS a) o,
+          LATERAL (SELECT list_transform(f.kept, lambda k: {'a': k.a, 'both': greatest(0.0::DOUBLE, least(w.box.r, k.r) - greatest(w.box.l, k.l)) * greatest(0.0::DOUBLE, least(w.box.b, k.b) - greatest(w.box.t, k.t))}) AS kept) h)
+        SELECT doc_id, page, max(len(kept)) AS n_kept FROM f GROUP BY doc_id, page""".replace("len(list_filter(kept,", "len(list_filter(h.kept,"),
     "f05_graded_checkboxes": _W + _CONTROLS + " SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE visual) AS n_visual, count(*) FILTER (WHERE credible) AS n_credible, count(*) FILTER (WHERE credible AND NOT risk) AS n_automatic FROM credit GROUP BY 1",
     "x09_checkbox_lines": _W + _CONTROLS + f""" SELECT doc_id, page, md5(string_agg(CASE state WHEN 'CHECKED' THEN '[x] ' ELSE '[ ] ' END || {_STRIP}, chr(10) ORDER BY t, l, CASE state WHEN 'CHECKED' THEN '[x] ' ELSE '[ ] ' END || {_STRIP})) AS lines_md5, count(*) AS n
         FROM controls WHERE status = 'automated' AND state <> 'NOT_DETERMINABLE' AND {_STRIP} <> '' GROUP BY 1, 2""",
