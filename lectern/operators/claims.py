@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions import geometry as g
 from ..functions.text import strip
-from ..sources.stage import written
+from ..sources.stage import in_turn, written
 
 PAGE = ("doc_id", "page")
 #: How a claimed table is named, and its style until its cells are built.
@@ -47,7 +47,7 @@ def first_claims(taken: DataFrame, claims: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(kept.columns[:4], names=["doc_id", "page", "claim_ord", "name"])
 
     schema = ", ".join(f"{c} {kind[c].dataType.simpleString()}" for c in (*PAGE, "claim_ord", "name"))
-    return rows.repartition(*PAGE).sortWithinPartitions(*PAGE, F.asc_nulls_first("claim_ord"), "name").mapInArrow(work, schema)
+    return in_turn(rows, list(PAGE), F.asc_nulls_first("claim_ord"), "name").mapInArrow(work, schema)
 
 
 def table_claims(tables: DataFrame, table_blocks: DataFrame, proposals: DataFrame, blocks: DataFrame) -> DataFrame:

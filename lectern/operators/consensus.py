@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import strip
+from ..sources.stage import in_turn
 from .visual import best_local_match
 
 PAGE = ("doc_id", "page")
@@ -52,7 +53,7 @@ def overlaps_earlier(boxes: DataFrame, limit: float = SAME) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keys), pa.array(out, pa.bool_())], names=[*keys, "overlaps"])
 
     schema = ", ".join(f"{c} {x.schema[c].dataType.simpleString()}" for c in keys) + ", overlaps boolean"
-    found = x.repartition(*PAGE).sortWithinPartitions(*keys).mapInArrow(work, schema)
+    found = in_turn(x, list(PAGE), "pos").mapInArrow(work, schema)
     found = found.withColumnsRenamed({k: f"_{k}" for k in keys})
     return boxes.join(found, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])).drop(*(f"_{k}" for k in keys))
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.stage import written
+from ..sources.stage import in_turn, written
 
 
 def accepted_links(links: DataFrame, by: str) -> DataFrame:
@@ -40,7 +40,7 @@ def accepted_links(links: DataFrame, by: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.bool_())], names=[*b.schema.names, "accepted"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in links.schema) + ", accepted boolean"
-    return links.repartition(by).sortWithinPartitions(by, F.asc_nulls_last("ord"), "src", "dst").mapInArrow(work, schema)
+    return in_turn(links, [by], F.asc_nulls_last("ord"), "src", "dst").mapInArrow(work, schema)
 
 
 class Order:
@@ -109,7 +109,7 @@ def checked_links(links: DataFrame, nodes: DataFrame, by: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(out, pa.string())], names=[*columns, "issue"])
 
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns) + ", issue string"
-    return rows.repartition(by).sortWithinPartitions(by, F.asc_nulls_last("ord"), "src", "dst", "relation").mapInArrow(work, schema)
+    return in_turn(rows, [by], F.asc_nulls_last("ord"), "src", "dst", "relation").mapInArrow(work, schema)
 
 
 def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from ..functions import geometry as g
 from ..functions.text import strip
+from ..sources.stage import in_turn
 
 PAGE = ("doc_id", "page")
 LOW_CONFIDENCE = 0.85
@@ -186,4 +187,4 @@ def kept_in_turn(rows: DataFrame, keys: list[str], order: list, seen: list[str],
             yield b.filter(pa.array(keep, pa.bool_()))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(work, schema)
+    return in_turn(rows, keys, *order).mapInArrow(work, schema)

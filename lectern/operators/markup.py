@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..sources.stage import in_turn
 
 #: Patterns of tables, closed rows and cells, of character references, of page markers, and named characters.
 TABLE, ROW, CLOSED = r"(?is)<table\b[^>]*>.*?</table\s*>", r"(?i)<tr\b", r"(?is)^[^>]*>(.*?)</tr\s*>"
@@ -98,7 +99,7 @@ def grid_columns(cells: DataFrame, *keys: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int32())], names=[*names, "col"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema) + ", col int"
-    return cells.repartition(*keys).sortWithinPartitions(*keys, "row", "ord").mapInArrow(work, schema)
+    return in_turn(cells, list(keys), "row", "ord").mapInArrow(work, schema)
 
 
 def _bound(value: Column, then: Callable[[Column], Column]) -> Column:

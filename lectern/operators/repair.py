@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import casefold
+from ..sources.stage import in_turn
 
 #: Words of review messages that say nothing of the text, the score of a chunk that is named, and the bounds of a scope.
 IGNORED = ("field", "required", "review", "uncertain", "invalid", "abstained", "schema")
@@ -54,7 +55,7 @@ def chunk_scores(chunks: DataFrame, items: DataFrame, named: DataFrame) -> DataF
             yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in names), pa.array(scores, pa.int64())], names=[*names, "score"])
 
     schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names) + ", score bigint"
-    return rows.where("doc_id is not null").repartition("doc_id").sortWithinPartitions("doc_id", "kind").mapInArrow(count, schema)
+    return in_turn(rows.where("doc_id is not null"), ["doc_id"], "kind").mapInArrow(count, schema)
 
 
 def _finder(terms: list[str]) -> ahocorasick.Automaton:
@@ -99,7 +100,7 @@ def repair_scope(scored: DataFrame, most_chunks: int = MOST_CHUNKS, most_charact
             yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in names), pa.array(place, pa.int32())], names=[*names, "place"])
 
     schema = ", ".join(f"{c} {x.schema[c].dataType.simpleString()}" for c in names) + ", place int"
-    return x.repartition("doc_id").sortWithinPartitions("doc_id", F.desc("score"), "page", "chunk_ord", "chunk_id").mapInArrow(fill, schema)
+    return in_turn(x, ["doc_id"], F.desc("score"), "page", "chunk_ord", "chunk_id").mapInArrow(fill, schema)
 
 
 def retryable(items: DataFrame) -> DataFrame:

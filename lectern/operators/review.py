@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as g
+from ..sources.stage import in_turn
 
 PAGE = ("doc_id", "page")
 #: Share of the page that a region may cover, how much larger a merged box may be than its parts together, regions aimed at.
@@ -149,7 +150,7 @@ def merged_boxes(candidates: DataFrame, target: int = TARGET) -> DataFrame:
             yield flush()
 
     schema = ", ".join(f"{c} {t}" for c, t in kinds.items()) + ", merged int, l double, t double, r double, b double"
-    out = x.repartition(*PAGE).sortWithinPartitions(*PAGE, "cand_ord").mapInArrow(work, schema)
+    out = in_turn(x, list(PAGE), "cand_ord").mapInArrow(work, schema)
     return out.select(*PAGE, "cand_ord", "merged", g.box(*(F.col(k) for k in "ltrb")).alias("box"))
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.stage import in_turn
+
 #: Dollars per million tokens, and where long prompts begin.
 UNCACHED, CACHED, WRITTEN, OUTPUT, LONG_PROMPT = 2.00, 0.20, 2.50, 10.00, 272_000
 TOKENS = ("input_tokens", "cached_tokens", "write_tokens", "output_tokens")
@@ -102,6 +104,6 @@ def admissions(requests: DataFrame, by: str, order: str, limit: int) -> DataFram
             if rows:
                 yield batch(b, rows)
 
-    folded = x.repartition("by").sortWithinPartitions("by", "o", "worst", "actual").mapInArrow(fold, schema := f"by {kind}, o bigint, admitted boolean, spent bigint, total boolean")
-    settled = folded.repartition("by").sortWithinPartitions("by", F.desc("total")).mapInArrow(settle, schema)
+    folded = in_turn(x, ["by"], "o", "worst", "actual").mapInArrow(fold, schema := f"by {kind}, o bigint, admitted boolean, spent bigint, total boolean")
+    settled = in_turn(folded, ["by"], F.desc("total")).mapInArrow(settle, schema)
     return settled.select(F.col("by").alias(by), F.col("o").alias(order), "admitted", "spent")

@@ -1,11 +1,12 @@
-"""Steps that are written once and read several times, in the folder that the whole cluster shares."""
+"""Steps that are written once and read several times, in the folder that the whole cluster shares; rows dealt to tasks by key."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,3 +25,10 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def in_turn(rows: DataFrame, keys: list[str], *order: str | Column) -> DataFrame:
+    """``rows`` for a pass over sorted rows: those of one key in one task, by key and ``order``. They are dealt by a hash of the keys: a
+    repartition by the keys themselves is left out where a join has dealt them so before, and that join may turn out at run time as
+    one that does not."""
+    return rows.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)
