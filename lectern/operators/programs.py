@@ -112,10 +112,10 @@ def schema_rules(schemas: DataFrame, depth: int = 12) -> DataFrame:
 
     start = F.struct(F.lit("").alias("path"), F.lit(0).alias("mode"), F.lit(None).cast("string").alias("word"))
     x = n.withColumn("at", F.aggregate(F.filter(F.split("ppath", "/"), lambda s: s != ""), start, step))
-    words = x.where("at.mode = 2 and at.word <> 'required'").select("schema_id", "at.path", F.col("at.word").alias("keyword"), F.coalesce("text", "json").alias("argument"))
-    needed = x.where("at.mode = 3 and at.word = 'required'").select("schema_id", "at.path", F.lit("required").alias("keyword"), F.col("text").alias("argument"))
-    declared = x.where("at.mode = 0 and at.path <> ''").select("schema_id", "at.path", F.lit("declared").alias("keyword"), F.lit(None).cast("string").alias("argument"))
-    return words.unionByName(needed).unionByName(declared)
+    mode, word = F.col("at.mode"), F.col("at.word")
+    keyword = F.when((mode == 2) & (word != "required"), word).when((mode == 3) & (word == "required"), "required").when((mode == 0) & (F.col("at.path") != ""), "declared")
+    argument = F.when(mode == 2, F.coalesce("text", "json")).when(mode == 3, F.col("text"))
+    return x.select("schema_id", "at.path", keyword.alias("keyword"), argument.alias("argument")).where("keyword is not null")
 
 
 def schema_faults(ids: DataFrame, rules: DataFrame) -> DataFrame:
