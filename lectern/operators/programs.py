@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..sources.stage import written
 
 #: Headings that name a field, the dialect of compiled schemas, kinds of JSON values, formats that are checked.
 FIELD_HEADING = r"(?m)^##\s+([A-Za-z_][A-Za-z0-9_.-]*)\s*$"
@@ -161,8 +162,9 @@ def _breaks() -> Column:
 def violations(nodes: DataFrame, rules: DataFrame, *keys: str) -> DataFrame:
     """(keys, ppath, keyword, argument): every rule that a value breaks, at the node that breaks it (for required and
     additionalProperties: at the member that is missing or not declared). ``nodes``: json_nodes with schema_id and the ``keys`` of
-    a value among the columns kept; ``rules``: schema_rules."""
+    a value among the columns kept; ``rules``: schema_rules. Nodes are written once."""
     at = ["schema_id", "path"]
+    nodes = written(nodes, "nodes")
     own = rules.where(~F.col("keyword").isin("required", "additionalProperties", "declared"))
     broken = nodes.join(own, at).where(_breaks()).select(*keys, "ppath", "keyword", "argument")
     objects = nodes.where("kind = 'object'").select(*keys, *at, "ppath")
