@@ -189,7 +189,8 @@ def value_rules(documents: DataFrame, found: DataFrame, rules: DataFrame, *keys:
 
     equals: the one field has the value; sum_equals: the fields' numbers add up to the target's one number; less_than_or_equal:
     the field's one value is at most the target's. Fields that are not there, that stand several times where one is asked for, or
-    whose values cannot be compared, fail. Any other op is "unsupported"."""
+    whose values cannot be compared, fail. Any other op is "unsupported". ``found`` is written once."""
+    found = written(found, "operands")
     r = rules.withColumn("tolerance", F.coalesce("tolerance", F.lit(TOLERANCE)))
     asked = documents.select(*keys, "scope").join(r, "scope").drop("scope")
     part = asked.select(*keys, "rule_id", F.explode("fields").alias("field")).join(found, [*keys, "field"])
