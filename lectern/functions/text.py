@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,14 @@ STOP_WORDS = ("a", "an", "and", "are", "about", "do", "for", "from", "how", "in"
 
 TERM = r"[\p{L}\p{N}_]+"
 
+#: White space of any script, as Python strips it.
+SPACES = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once, however often ``then`` names it."""
+    return F.get(F.transform(F.array(value), then), 0)
+
 
 def casefold(x: Column) -> Column:
     return F.lower(F.replace(x, F.lit("ß"), F.lit("ss")))
@@ -27,7 +37,7 @@ def search_terms(x: Column) -> Column:
 
 def strip(x: Column) -> Column:
     """Without white space (of any script) at either end."""
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    return F.btrim(x, F.lit(SPACES))
 
 
 def html_escape(x: Column) -> Column:

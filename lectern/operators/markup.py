@@ -7,13 +7,13 @@ without rows become nothing; nested tables are not looked for; null texts have n
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import bound, strip
 from ..sources.stage import in_turn
 
 #: Patterns of tables, closed rows and cells, of character references, of page markers, and named characters.
@@ -26,7 +26,7 @@ NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " 
 
 def _character(reference: Column) -> Column:
     """The character that a reference (&amp;, &#38;, &#x26;) stands for; the reference itself if it is not known."""
-    return _bound(F.regexp_extract(reference, "^&(.*);$", 1), lambda name: _named_character(name, reference))
+    return bound(F.regexp_extract(reference, "^&(.*);$", 1), lambda name: _named_character(name, reference))
 
 
 def _named_character(name: Column, reference: Column) -> Column:
@@ -48,7 +48,7 @@ def unescaped(text: Column) -> Column:
 def cell_text(markup: Column) -> Column:
     """What a cell shows, in one line: line breaks are spaces, other tags nothing."""
     bare = F.regexp_replace(F.regexp_replace(markup, r"(?i)<br\b[^>]*>", " "), r"(?s)<[^>]*>", "")
-    return _bound(bare, lambda b: strip(F.regexp_replace(unescaped(b), r"(?U)\s+", " ")))
+    return bound(bare, lambda b: strip(F.regexp_replace(unescaped(b), r"(?U)\s+", " ")))
 
 
 def _span(attributes: Column, name: str) -> Column:
@@ -102,11 +102,6 @@ def grid_columns(cells: DataFrame, *keys: str) -> DataFrame:
     return in_turn(cells, list(keys), "row", "ord").mapInArrow(work, schema)
 
 
-def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then`` of a value that is worked out once, however often ``then`` names it."""
-    return F.get(F.transform(F.array(value), then), 0)
-
-
 def pipes(table: Column) -> Column:
     """The pipe table of a table's markup, an empty line before and after; nothing if it has no cells. A cell that spans columns is
     followed by empty ones, short rows are filled up."""
@@ -117,11 +112,11 @@ def pipes(table: Column) -> Column:
     def whole(rows: Column, width: Column) -> Column:
         lines = F.transform(rows, lambda r: line(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r)))))
         rule = F.array(line(F.array_repeat(F.lit("---"), width)))
-        joined = _bound(lines, lambda x: F.concat(F.slice(x, 1, 1), rule, F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0)))))
+        joined = bound(lines, lambda x: F.concat(F.slice(x, 1, 1), rule, F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0)))))
         return F.when(F.size(rows) > 0, F.concat(F.lit("\n\n"), F.array_join(joined, "\n"), F.lit("\n\n"))).otherwise("")
 
     rows = F.filter(F.transform(_rows(table), row), lambda r: F.size(r) > 0)
-    return _bound(rows, lambda r: _bound(F.coalesce(F.array_max(F.transform(r, F.size)), F.lit(0)), lambda w: whole(r, w)))
+    return bound(rows, lambda r: bound(F.coalesce(F.array_max(F.transform(r, F.size)), F.lit(0)), lambda w: whole(r, w)))
 
 
 def display_markdown(markdown: Column) -> Column:

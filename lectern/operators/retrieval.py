@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import STOP_WORDS, casefold, strip, terms
+from ..functions.text import STOP_WORDS, bound, casefold, strip, terms
+from ..sources.stage import written
 
 MAX_CHARS, MAX_EXCERPTS, CHUNK_CHARS, HISTORY = 40_000, 12, 3_000, 6
 MARKER = r"<!--\s*page:\s*(\d+)\s*-->"
@@ -22,18 +23,19 @@ BROAD = re.compile(r"\b(summar(?:y|ize|ise)|overview|compare|contrast|key\s+poin
 
 def _packed(section: Column, most: int) -> Column:
     """A section whole if it fits, else its paragraphs packed into pieces of ``most`` characters at most."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("done"), F.lit("").alias("open"))
 
     def step(acc: Column, part: Column) -> Column:
-        joined = F.when(acc["open"] != "", strip(F.concat(acc["open"], F.lit("\n\n"), part))).otherwise(part)
-        full = (acc["open"] != "") & (F.length(joined) > most)
-        text = F.when(full, part).otherwise(joined)
-        cuts = F.greatest(F.ceil(F.length(text) / most).cast("int") - 1, F.lit(0))
-        pieces = F.when(cuts > 0, F.transform(F.sequence(F.lit(0), cuts - 1), lambda i: F.substring(text, i * most + 1, F.lit(most)))).otherwise(F.array().cast("array<string>"))
-        done = F.concat(acc["done"], F.when(full, F.array(acc["open"])).otherwise(F.array().cast("array<string>")), pieces)
-        return F.struct(done.alias("done"), F.substring(text, cuts * most + 1, F.length(text)).alias("open"))
-
-    packed = F.aggregate(F.split(section, r"\n{2,}"), start, step, lambda acc: F.concat(acc["done"], F.when(acc["open"] != "", F.array(acc["open"])).otherwise(F.array().cast("array<string>"))))
+        def put(joined: Column) -> Column:
+            full = (acc["open"] != "") & (F.length(joined) > most)
+            before = F.concat(acc["done"], F.when(full, F.array(acc["open"])).otherwise(none))
+            pieces = F.regexp_extract_all(F.when(full, part).otherwise(joined), F.lit(f"(?s).{{1,{most}}}"), 0)  # cut in one pass, however long
+            return bound(pieces, lambda x: F.struct(F.concat(before, F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0)))).alias("done"), F.coalesce(F.try_element_at(x, F.lit(-1)), F.lit("")).alias("open")))
+
+        return bound(F.when(acc["open"] != "", strip(F.concat(acc["open"], F.lit("\n\n"), part))).otherwise(part), put)
+
+    packed = F.aggregate(F.split(section, r"\n{2,}"), start, step, lambda acc: F.concat(acc["done"], F.when(acc["open"] != "", F.array(acc["open"])).otherwise(none)))
     return F.when(F.length(section) <= most, F.array(section)).otherwise(packed)
 
 
@@ -43,14 +45,13 @@ def excerpts(documents: DataFrame, most: int = CHUNK_CHARS) -> DataFrame:
 
     def of_page(p: Column) -> Column:
         number = F.regexp_extract(p, rf"^{MARKER}", 1)
-        page = F.when(number != "", number.cast("int"))
         sections = F.split(strip(F.regexp_replace(p, rf"^{MARKER}", "")), at_heading)
-        return F.flatten(F.transform(sections, lambda s: of_section(page, s)))
+        return bound(F.when(number != "", number.cast("int")), lambda page: F.flatten(F.transform(sections, lambda s: of_section(page, s))))
 
     def of_section(page: Column, s: Column) -> Column:
         title = F.regexp_extract(s, r"^#{1,6}[ \t]+([^\n]*)", 1)
-        heading = F.when(title != "", strip(title))
-        return F.transform(F.filter(_packed(strip(s), most), lambda c: strip(c) != ""), lambda c: F.struct(page.alias("page"), heading.alias("heading"), strip(c).alias("excerpt")))
+        pieces = bound(strip(s), lambda x: F.filter(F.transform(_packed(x, most), strip), lambda c: c != ""))
+        return bound(F.when(title != "", strip(title)), lambda heading: F.transform(pieces, lambda c: F.struct(page.alias("page"), heading.alias("heading"), c.alias("excerpt"))))
 
     found = F.flatten(F.transform(F.split("markdown", at_marker), of_page))
     return documents.select("doc_id", F.posexplode(found).alias("pos", "x")).select("doc_id", (F.col("pos") + 1).alias("excerpt_no"), "x.page", "x.heading", "x.excerpt")
@@ -69,10 +70,18 @@ def scored(found: DataFrame, query: str) -> DataFrame:
     return words.withColumn("score", score.cast("bigint")).drop("_t", "_h")
 
 
+def keys(found: DataFrame) -> DataFrame:
+    """(doc_id, excerpt_no, score, n_chars) of scored excerpts, written once: the texts are cut and scored in one pass over the documents."""
+    return written(found.select("doc_id", "excerpt_no", "score", F.length("excerpt").cast("bigint").alias("n_chars")), "excerpts")
+
+
 def fair_topk(found: DataFrame, limit: int = MAX_EXCERPTS) -> DataFrame:
     """The best excerpt of every document first, in order of documents, then the best others with a score; ``limit`` in all.
-    (doc_id, excerpt_no, score, n_chars, rank). Only keys and scores are ranked, and each document's best by an aggregate."""
-    key = found.select("doc_id", "excerpt_no", "score", F.length("excerpt").cast("bigint").alias("n_chars"))
+    (doc_id, excerpt_no, score, n_chars, rank). Only ``keys`` are ranked, and each document's best by an aggregate."""
+    return _fairest(keys(found), limit)
+
+
+def _fairest(key: DataFrame, limit: int) -> DataFrame:
     best = key.groupBy("doc_id").agg(F.min_by("excerpt_no", F.struct(-F.col("score"), F.col("n_chars"), F.col("excerpt_no"))).alias("first"))
     heads = key.join(best, (key["doc_id"] == best["doc_id"]) & (key["excerpt_no"] == best["first"]), "left_semi").orderBy("doc_id").limit(limit).withColumn("turn", F.lit(0))
     others = key.where("score > 0").join(best, (key["doc_id"] == best["doc_id"]) & (key["excerpt_no"] == best["first"]), "left_anti")
@@ -106,18 +115,21 @@ def retrieve(documents: DataFrame, query: str, max_chars: int = MAX_CHARS, limit
     """Everything if it fits, an even sample for overview requests, else the fair top, cut to the budget.
     (rank, doc_id, excerpt_no, excerpt). The number of documents is what a user selects."""
     found = excerpts(documents)
-    total, docs = found.agg(F.coalesce(F.sum(F.length("excerpt")), F.lit(0)), F.count_distinct("doc_id")).first()
+    key = keys(scored(found, query))
+    total, docs = key.agg(F.coalesce(F.sum("n_chars"), F.lit(0)), F.count_distinct("doc_id")).first()
     if total <= max_chars:
         order = Window.orderBy("doc_id", "excerpt_no")
         return found.select(F.row_number().over(order).alias("rank"), "doc_id", "excerpt_no", "excerpt")  # bounded by max_chars
     if BROAD.search(query):
-        picked = stratified(found, max(1, limit // max(1, docs))).orderBy("doc_id", "excerpt_no").limit(limit)
-        ranked = picked.select("doc_id", "excerpt_no", F.row_number().over(Window.orderBy("doc_id", "excerpt_no")).alias("rank"))
+        picked = stratified(key, max(1, limit // max(1, docs))).orderBy("doc_id", "excerpt_no").limit(limit)
+        ranked = picked.withColumn("rank", F.row_number().over(Window.orderBy("doc_id", "excerpt_no")))
     else:
-        ranked = fair_topk(scored(found, query), limit).select("doc_id", "excerpt_no", "rank")
-    sized = found.join(F.broadcast(ranked), ["doc_id", "excerpt_no"]).withColumns({"n_chars": F.length("excerpt"), "one": F.lit(1)})  # limit rows at most
-    kept = within_budget(sized, "one", "rank", "n_chars", max_chars, limit).select(F.col("rank").cast("int").alias("rank"))
-    return sized.join(kept, "rank").select("rank", "doc_id", "excerpt_no", "excerpt")
+        ranked = _fairest(key, limit)
+    ranked = written(ranked.select("rank", "doc_id", "excerpt_no", "n_chars", F.lit(1).alias("one")), "ranked")  # limit rows at most
+    kept = within_budget(ranked, "one", "rank", "n_chars", max_chars, limit).select(F.col("rank").cast("int").alias("rank"))
+    taken = F.broadcast(ranked.join(kept, "rank").select("rank", "doc_id", "excerpt_no"))
+    texts = excerpts(documents.join(F.broadcast(ranked.select("doc_id").distinct()), "doc_id", "left_semi"))  # only the documents that are shown are cut again
+    return texts.join(taken, ["doc_id", "excerpt_no"]).select("rank", "doc_id", "excerpt_no", "excerpt")
 
 
 def recent_history(turns: DataFrame, most: int = HISTORY) -> DataFrame:
