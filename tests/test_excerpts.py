@@ -13,6 +13,13 @@ def folders(spark):
     return {x for x in os.listdir(path) if x.startswith("excerpts-")} if os.path.isdir(path) else set()
 
 
+def test_fair_topk_reads_keys_that_are_written(spark):
+    docs = spark.createDataFrame([(1, "# Totals\nthe total is 4\n# B\ntotal"), (2, "# Other\nnothing"), (3, "# More\ntotal total total")], "doc_id int, markdown string")
+    x = R.fair_topk(R.scored(R.excerpts(docs), "What is the total"), 4)
+    assert "Generate " not in x._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.doc_id, r.excerpt_no, r.score) for r in x.orderBy("rank").collect()] == [(1, 2, 1), (2, 1, 0), (3, 1, 3), (1, 1, 1)]
+
+
 def test_retrieve_scores_once_and_cuts_only_what_it_shows(spark):
     docs = spark.createDataFrame([(i, f"# Page {i}\n" + "total " * i) for i in range(1, 9)], "doc_id int, markdown string")
     for query, want in (("total", [1, 2, 3, 4]), ("an overview", [1, 2, 3, 4])):
