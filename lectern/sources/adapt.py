@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -17,20 +17,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def blocks(documents: DataFrame) -> DataFrame:
     """(doc_id, ord, page, k, block_id, text, score, box): one block per line, on pages of 40, some in two columns."""
-    lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("ord", F.col("pos") + 1)
-    lines = lines.withColumns({"page": F.expr("cast(1 + pos div 40 as int)"), "k": F.expr("pos % 40")})
-    two = F.col("doc_id") % 3 == 0
-    right = two & (F.col("k") >= 20)
+    lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return lines.select("doc_id", *(c.alias(name) for name, c in block(F.col("doc_id"), F.col("pos"), F.col("line")).items()))
+
+
+def block(doc: Column, pos: Column, line: Column) -> dict[str, Column]:
+    """The fields of the block that the line ``pos`` (from 0) of a document becomes."""
+    order, k = pos + 1, pos % PAGE_LINES
+    page = (1 + (pos - k) / PAGE_LINES).cast("int")
+    two = doc % 3 == 0
+    right = two & (k >= 20)
     left = F.when(right, 550).otherwise(50)
     width = F.when(two, 400).otherwise(900)
-    top = F.when(two, 20 + 45 * (F.col("k") % 20)).otherwise(20 + 24 * F.col("k"))
-    high = F.when(F.col("ord") % 11 == 1, 27).otherwise(18)
-    score = F.when((F.col("doc_id") + F.col("ord")) % 29 != 0, (50 + (F.col("doc_id") * 31 + F.col("ord") * 17) % 50) / 100.0)
-    text = F.when(F.col("ord") % 7 == 1, F.concat(F.lit("- "), "line")).when(F.col("ord") % 7 == 2, F.concat(F.lit("Field "), "ord", F.lit(": "), "line")).otherwise(F.col("line"))
-    return lines.select(
-        "doc_id", "ord", "page", "k", F.concat(F.lit("p"), "page", F.lit("-b"), "ord").alias("block_id"), text.alias("text"), score.alias("score"),
-        g.box(left / 1000.0, top / 1000.0, (left + width) / 1000.0, (top + high) / 1000.0).alias("box"),
-    )
+    top = F.when(two, 20 + 45 * (k % 20)).otherwise(20 + 24 * k)
+    high = F.when(order % 11 == 1, 27).otherwise(18)
+    return {
+        "ord": order, "page": page, "k": k, "block_id": F.concat(F.lit("p"), page, F.lit("-b"), order),
+        "text": F.when(order % 7 == 1, F.concat(F.lit("- "), line)).when(order % 7 == 2, F.concat(F.lit("Field "), order, F.lit(": "), line)).otherwise(line),
+        "score": F.when((doc + order) % 29 != 0, (50 + (doc * 31 + order * 17) % 50) / 100.0),
+        "box": g.box(left / 1000.0, top / 1000.0, (left + width) / 1000.0, (top + high) / 1000.0),
+    }
 
 
 def regions(documents: DataFrame) -> DataFrame:
