@@ -18,7 +18,7 @@ from ..sources.stage import in_turn
 
 #: Patterns of tables, closed rows and cells, of character references, of page markers, and named characters.
 TABLE, ROW, CLOSED = r"(?is)<table\b[^>]*>.*?</table\s*>", r"(?i)<tr\b", r"(?is)^[^>]*>(.*?)</tr\s*>"
-CELL, OPENED = r"(?is)<t[dh]\b.*?</t[dh]\s*>", r"(?is)^.*<(t[dh])\b([^>]*)>(.*?)</t[dh]\s*>$"
+CELL, OPENED = r"(?is)<t[dh]\b.*?</t[dh]\s*>", r"(?is)^.*<(t[dh]\b[^>]*>.*?)</t[dh]\s*>$"
 REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]+);"
 PAGE_MARKER, PAGE_HEADING = r"(?i)<!--\s*page\s*:\s*(\d+)\s*-->", "\n\n---\n\n#### Page {}\n"
 NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " "}
@@ -54,19 +54,23 @@ def cell_text(markup: Column) -> Column:
 def _span(attributes: Column, name: str) -> Column:
     """A span of at least 1; 1 where it is no whole number."""
     value = F.regexp_extract(attributes, rf"(?i)(?:^|\s){name}\s*=\s*[\"']?\s*\+?([0-9]+)\s*(?:[\"'\s]|$)", 1)
-    return F.greatest(F.lit(1), F.coalesce(value.try_cast("int"), F.lit(1)))
+    number = bound(value, lambda v: F.when(v != "", v.try_cast("int")))  # a cast that fails costs more than the rest
+    return F.when(attributes == "", 1).otherwise(F.greatest(F.lit(1), F.coalesce(number, F.lit(1))))
 
 
 def _rows(table: Column) -> Column:
     """The inner markup of a table's closed rows."""
-    closed = F.filter(F.split(table, ROW, -1), lambda r, i: (i > 0) & r.rlike(CLOSED))
-    return F.transform(closed, lambda r: F.regexp_extract(r, CLOSED, 1))
+    return F.flatten(F.transform(F.filter(F.split(table, ROW, -1), lambda _, i: i > 0), lambda r: F.regexp_extract_all(r, F.lit(CLOSED), 1)))
 
 
 def _cells(row: Column) -> Column:
     """The cells of a row's markup: tag, col_span, row_span, text."""
-    part = lambda c, k: F.regexp_extract(c, OPENED, k)
-    one = lambda c: F.struct(F.lower(part(c, 1)).alias("tag"), _span(part(c, 2), "rowspan").alias("row_span"), _span(part(c, 2), "colspan").alias("col_span"), cell_text(part(c, 3)).alias("text"))
+
+    def parts(x: Column, head: Column) -> Column:
+        text = F.substr(x, F.length(head) + 2)
+        return bound(F.substr(head, F.lit(3)), lambda at: F.struct(F.lower(F.substring(head, 1, 2)).alias("tag"), _span(at, "rowspan").alias("row_span"), _span(at, "colspan").alias("col_span"), cell_text(text).alias("text")))
+
+    one = lambda c: bound(F.regexp_extract(c, OPENED, 1), lambda x: bound(F.substring_index(x, ">", 1), lambda head: parts(x, head)))
     return F.transform(F.regexp_extract_all(row, F.lit(CELL), 0), one)
 
 

@@ -2,25 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import html_escape
+from ..functions.text import bound, html_escape
 from ..operators import markup as M
 from ..sources import adapt
 
 
 def _marked(spark: SparkSession, d: str) -> DataFrame:
-    """Documents whose lines stand in tables of three: a head over two columns, two rows of cells; a page marker before every seventh table."""
-    lines = adapt.table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    t = lines.groupBy("doc_id", F.expr("pos div 3").alias("t")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: html_escape(x["line"])).alias("l"))
-    cell = lambda k: F.coalesce(F.get("l", k), F.lit(""))
-    table = F.concat(
-        F.lit('<TABLE class="x"><tr><th colspan="2">'), cell(0), F.lit("&#38;<br/>&#x3b1;&nope;</th></tr>\n<tr></tr><tr><td>lost<td rowspan='2'> a|b\t"), cell(1), F.lit(" <b>x</b></td><td>2</td><td colspan=zz>3</TD></tr><tr><td>"), cell(2), F.lit("</td></tr><tr><td>open</tr></table>"),
-    )
-    mark = F.when(F.col("t") % 7 == 0, F.concat(F.lit("<!-- page: "), (F.col("t") / 7 + 1).cast("int"), F.lit(" -->\n"))).otherwise("")
-    parts = F.array_sort(F.collect_list(F.struct("t", F.concat(mark, F.lit("before "), table, F.lit(" after")).alias("m"))))
-    return t.groupBy("doc_id").agg(F.array_join(F.transform(parts, lambda x: x["m"]), "\n").alias("markdown"))
+    """Documents whose lines stand in tables of three: a head over two columns, two rows of cells; a page marker before every seventh table.
+    All of a document is made within its row, without a shuffle."""
+
+    def part(own: Column, i: Column) -> Column:
+        cell = lambda k: F.coalesce(F.get(own, F.lit(k)), F.lit(""))
+        mark = F.when(i % 21 == 0, F.concat(F.lit("<!-- page: "), (i / 21 + 1).cast("int"), F.lit(" -->\n"))).otherwise("")
+        table = F.concat(
+            F.lit('<TABLE class="x"><tr><th colspan="2">'), cell(0), F.lit("&#38;<br/>&#x3b1;&nope;</th></tr>\n<tr></tr><tr><td>lost<td rowspan='2'> a|b\t"), cell(1), F.lit(" <b>x</b></td><td>2</td><td colspan=zz>3</TD></tr><tr><td>"), cell(2), F.lit("</td></tr><tr><td>open</tr></table>"),
+        )
+        return F.concat(mark, F.lit("before "), table, F.lit(" after"))
+
+    def parts(lines: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(lines) - 1, F.lit(3)), lambda i: bound(F.slice(lines, i + 1, 3), lambda own: part(own, i)))
+
+    escaped = F.split(html_escape(F.col("text")), "\n")
+    return adapt.table(spark, d, "documents").where("text is not null").select("doc_id", F.array_join(bound(escaped, parts), "\n").alias("markdown"))
 
 
 def k18_display_markdown(spark: SparkSession, d: str) -> DataFrame:
@@ -28,8 +34,8 @@ def k18_display_markdown(spark: SparkSession, d: str) -> DataFrame:
 
 
 def w19_grid_columns(spark: SparkSession, d: str) -> DataFrame:
-    cells = M.html_cells(_marked(spark, d), "markdown", "doc_id")
-    return M.grid_columns(cells, "doc_id", "table_no").select("doc_id", "table_no", "row", "col", "tag", "row_span", "col_span", F.md5("text").alias("text_md5"))
+    cells = M.html_cells(_marked(spark, d), "markdown", "doc_id").withColumn("text_md5", F.md5("text")).drop("text")  # no text is shuffled
+    return M.grid_columns(cells, "doc_id", "table_no").select("doc_id", "table_no", "row", "col", "tag", "row_span", "col_span", "text_md5")
 
 
 def w19_placed_lines(spark: SparkSession, d: str) -> DataFrame:
