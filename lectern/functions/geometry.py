@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,7 +83,8 @@ def union_of(column: str) -> Column:
 
 def raw_box(x: Column) -> Column:
     """The box of an array of 4 numbers (l, t, r, b) or of 8 (four points); null for any other or with a null in it."""
-    axis = lambda k: F.filter(x, lambda _, i: i % 2 == k)
-    eight = box(F.array_min(axis(0)), F.array_min(axis(1)), F.array_max(axis(0)), F.array_max(axis(1)))
-    whole = ~F.exists(x, F.isnull)
-    return F.when(whole & (F.size(x) == 4), box(F.get(x, 0), F.get(x, 1), F.get(x, 2), F.get(x, 3))).when(whole & (F.size(x) == 8), eight)
+    at = lambda k: F.get(x, F.lit(k))
+    axis = lambda k: [at(i) for i in range(k, 8, 2)]
+    full = lambda n: reduce(Column.__and__, (at(i).isNotNull() for i in range(n)), F.size(x) == n)
+    eight = box(F.least(*axis(0)), F.least(*axis(1)), F.greatest(*axis(0)), F.greatest(*axis(1)))
+    return F.when(full(4), box(*map(at, range(4)))).when(full(8), eight)

@@ -202,7 +202,7 @@ def x26_block_words(spark: SparkSession, d: str) -> DataFrame:
     at = "named_struct('text', w, 'score', if(i % 7 = 3, 'none', '0.5'), 'polygon', case i % 5 when 0 then array(1.0D + i, 2.0D, 9.0D + i, 12.0D) when 1 then array(3.0D, 1.0D, 8.0D, 1.0D, 8.0D, 6.0D, 3.0D, 6.0D) when 2 then array(1.0D, 2.0D) when 3 then array(4.0D, 4.0D, 6.0D, 8.0D) end)"
     x = _blocks(spark, d).select(*PAGE, "block_id", F.expr(f"transform(split(text, ' '), (w, i) -> {at})").alias("words"), F.lit(100).alias("width"), F.lit(200).alias("height"))
     w = S.words_of_blocks(x)
-    last = F.max(F.expr("cast(regexp_extract(word_id, '-w([0-9]+)$', 1) as int)"))
+    last = F.max(F.expr("cast(substring_index(word_id, '-w', -1) as int)"))
     return w.groupBy(*PAGE, "block_id").agg(F.count("*").alias("n_words"), F.sum(F.length("text")).alias("n_chars"), last.alias("last_word"), F.round(F.sum("box.r"), 4).alias("sum_r"), F.round(F.sum("box.b"), 4).alias("sum_b"))
 
 
