@@ -2,30 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..functions import text as X
 from ..operators import consensus as C
 from ..sources import adapt
 from ..sources.adapt import BLOCKS_SQL
+from ..sources.stage import written
 
 PAGE = list(C.PAGE)
 
 
+def _digest(label: Column) -> Column:
+    """The MD5 of a label, which is all that the query shows of it; a blank one stays, as blank labels are filled."""
+    return F.when(X.strip(label) == "", label).otherwise(F.md5(label))
+
+
+def _md5_of(digest: Column) -> Column:
+    return F.when(X.strip(digest) != "", digest).otherwise(F.md5(F.coalesce(digest, F.lit(""))))
+
+
 def _evidence(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Main candidates at every third line, local ones at every second and again at every tenth, by up to 6 thousandths apart; ids that
-    stand twice or are none; verifications of most ids."""
+    stand twice or are none; verifications of most ids. Labels are given as digests, so that no text is shuffled."""
     b = adapt.blocks(adapt.table(spark, d, "documents"))
     o = F.col("ord")
     control = lambda by: g.box(F.col("box.l"), F.col("box.t") + by / 1000.0, F.col("box.l") + 0.02, F.col("box.t") + by / 1000.0 + 0.018)
     state = lambda n: F.element_at(F.array(*map(F.lit, ("CHECKED", "UNCHECKED", "UNCLEAR", "CHECKED"))), n % 4 + 1)
     name = F.when(o % 41 == 0, F.concat(F.lit("bad id "), "ord")).when(o % 33 == 0, F.concat(F.lit("m"), o - 3)).otherwise(F.concat(F.lit("m"), "ord"))
-    main = b.where("ord % 3 = 0").select(*PAGE, "ord", name.alias("id"), F.when(o % 4 == 0, " ").otherwise(F.col("text")).alias("label"), state(o).alias("state"), control(F.lit(0)).alias("box"), F.when(o % 11 != 0, F.col("block_id")).alias("label_block_id"), ((50 + o % 50) / 100.0).alias("confidence"))
+    main = b.where("ord % 3 = 0").select(*PAGE, "ord", name.alias("id"), _digest(F.when(o % 4 == 0, " ").otherwise(F.col("text"))).alias("label"), state(o).alias("state"), control(F.lit(0)).alias("box"), F.when(o % 11 != 0, F.col("block_id")).alias("label_block_id"), ((50 + o % 50) / 100.0).alias("confidence"))
     near = b.where("ord % 2 = 0").withColumn("by", (o % 4) * 3).unionByName(b.where("ord % 10 = 0").withColumn("by", F.lit(2) + o % 3))
     again = F.col("by") < 5
     twin = F.when((o % 10 == 0) & again & (F.col("by") > 0), F.concat(F.lit("c"), "ord", F.lit("b"))).when(o % 14 == 0, F.concat(F.lit("m"), o + 1)).otherwise(F.concat(F.lit("c"), "ord"))
-    local = near.select(*PAGE, (o * 2 + (F.col("by") % 3 > 0).cast("int")).alias("ord"), twin.alias("id"), F.concat(F.lit("local "), "text").alias("label"), state(o + F.when(o % 9 == 0, 1).otherwise(0)).alias("state"), control(F.col("by")).alias("box"), "block_id", F.lit(0.5).alias("confidence")).withColumnRenamed("block_id", "label_block_id")
+    local = near.select(*PAGE, (o * 2 + (F.col("by") % 3 > 0).cast("int")).alias("ord"), twin.alias("id"), _digest(F.concat(F.lit("local "), "text")).alias("label"), state(o + F.when(o % 9 == 0, 1).otherwise(0)).alias("state"), control(F.col("by")).alias("box"), "block_id", F.lit(0.5).alias("confidence")).withColumnRenamed("block_id", "label_block_id")
     return main, local, C.joint_candidates(main, local), b
 
 
@@ -36,6 +47,7 @@ def j16_joint_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 def j18_consensus(spark: SparkSession, d: str) -> DataFrame:
     _, local, joint, b = _evidence(spark, d)
+    joint = written(joint, "joint")
     n = F.coalesce(F.regexp_extract("id", r"(\d+)", 1).try_cast("int"), F.lit(0))
     shown = F.element_at(F.array(*map(F.lit, ("CHECKED", "UNCHECKED", "UNCLEAR", "CHECKED"))), (n + F.when(n % 15 == 0, 1).otherwise(0)) % 4 + 1)
     v = joint.withColumn("n", n).where("n % 7 <> 0").groupBy("doc_id", "id").agg(F.min("page").alias("v_page"), F.min("n").alias("m")).select(
@@ -43,7 +55,7 @@ def j18_consensus(spark: SparkSession, d: str) -> DataFrame:
     ).select("doc_id", "id", "v_page", "control_status", shown.alias("v_state"), ((85 + F.col("n") % 3 * 5) / 100.0).alias("v_confidence"))
     c = joint.withColumn("n", n).withColumns({"given_risks": F.when(F.expr("n % 17 = 0"), F.array(F.lit("no_alphabetic_label"))), "label_grounded": F.expr("n % 19 <> 0")}).drop("n")
     out = C.consensus(c, v, local, b)
-    return out.select(*PAGE, "id", F.md5(F.coalesce("label", F.lit(""))).alias("label_md5"), "state", "confidence", "decision", "agreement", F.array_join("risks", ";").alias("risks"))
+    return out.select(*PAGE, "id", _md5_of(F.col("label")).alias("label_md5"), "state", "confidence", "decision", "agreement", F.array_join("risks", ";").alias("risks"))
 
 
 QUERIES = {f.__name__: f for f in (j16_joint_candidates, j18_consensus)}
