@@ -35,6 +35,14 @@ def search_terms(x: Column) -> Column:
     return F.filter(terms(x), lambda t: ~F.array_contains(stop, t))
 
 
+def word_count(folded: Column, term: str) -> Column:
+    """How often ``term`` (a folded word run) is among the words of a folded text: ``terms`` that equal it, without taking the others
+    out. A search that begins with the term itself is a plain one; the sign behind the class makes Java look back by code points."""
+    word = r"[\p{L}\p{N}_" + "\U00010400]"
+    whole = F.regexp_count(folded, F.lit(f"{term}(?!{word})(?<!{word}{term})"))
+    return F.when(~F.contains(folded, F.lit(term)), 0).otherwise(whole)
+
+
 def strip(x: Column) -> Column:
     """Without white space (of any script) at either end."""
     return F.btrim(x, F.lit(SPACES))

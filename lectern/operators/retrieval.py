@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import STOP_WORDS, bound, casefold, strip, terms
+from ..functions.text import STOP_WORDS, bound, casefold, strip, word_count
 from ..sources.stage import written
 
 MAX_CHARS, MAX_EXCERPTS, CHUNK_CHARS, HISTORY = 40_000, 12, 3_000, 6
@@ -22,7 +22,7 @@ BROAD = re.compile(r"\b(summar(?:y|ize|ise)|overview|compare|contrast|key\s+poin
 
 
 def _packed(section: Column, most: int) -> Column:
-    """A section whole if it fits, else its paragraphs packed into pieces of ``most`` characters at most."""
+    """A section (stripped) whole if it fits, else its paragraphs packed into pieces of ``most`` characters at most, stripped."""
     none = F.array().cast("array<string>")
     start = F.struct(none.alias("done"), F.lit("").alias("open"))
 
@@ -36,12 +36,12 @@ def _packed(section: Column, most: int) -> Column:
         return bound(F.when(acc["open"] != "", strip(F.concat(acc["open"], F.lit("\n\n"), part))).otherwise(part), put)
 
     packed = F.aggregate(F.split(section, r"\n{2,}"), start, step, lambda acc: F.concat(acc["done"], F.when(acc["open"] != "", F.array(acc["open"])).otherwise(none)))
-    return F.when(F.length(section) <= most, F.array(section)).otherwise(packed)
+    return F.when(F.length(section) <= most, F.array(section)).otherwise(F.transform(packed, strip))
 
 
 def excerpts(documents: DataFrame, most: int = CHUNK_CHARS) -> DataFrame:
     """(doc_id, excerpt_no, page, heading, excerpt): pages by their markers, sections by their headings, long sections in pieces."""
-    at_marker, at_heading = rf"(?m)(?=^{MARKER}[ \t]*$)", r"(?m)(?=^#{1,6}[ \t]+\S)"
+    at_marker, at_heading = rf"(?m)^(?={MARKER}[ \t]*$)", r"(?m)^(?=#{1,6}[ \t]+\S)"
 
     def of_page(p: Column) -> Column:
         number = F.regexp_extract(p, rf"^{MARKER}", 1)
@@ -50,7 +50,7 @@ def excerpts(documents: DataFrame, most: int = CHUNK_CHARS) -> DataFrame:
 
     def of_section(page: Column, s: Column) -> Column:
         title = F.regexp_extract(s, r"^#{1,6}[ \t]+([^\n]*)", 1)
-        pieces = bound(strip(s), lambda x: F.filter(F.transform(_packed(x, most), strip), lambda c: c != ""))
+        pieces = bound(strip(s), lambda x: F.filter(_packed(x, most), lambda c: c != ""))
         return bound(F.when(title != "", strip(title)), lambda heading: F.transform(pieces, lambda c: F.struct(page.alias("page"), heading.alias("heading"), c.alias("excerpt"))))
 
     found = F.flatten(F.transform(F.split("markdown", at_marker), of_page))
@@ -60,14 +60,13 @@ def excerpts(documents: DataFrame, most: int = CHUNK_CHARS) -> DataFrame:
 def scored(found: DataFrame, query: str) -> DataFrame:
     """``found`` with score: each query term counts its occurrences, in the heading twice more, and 5 for the whole query."""
     wanted = Counter(t for t in re.findall(r"\w+", query.casefold()) if t not in STOP_WORDS)
-    words = found.withColumns({"_t": terms(F.col("excerpt")), "_h": terms(F.coalesce("heading", F.lit("")))})
-    hits = lambda c, term: F.size(F.filter(c, lambda t: t == term))
+    folded = found.withColumns({"_t": casefold(F.col("excerpt")), "_h": casefold(F.coalesce("heading", F.lit("")))})
     score = F.lit(0)
     for term, n in sorted(wanted.items()):
-        score = score + n * (hits("_t", term) + 2 * hits("_h", term))
+        score = score + n * (word_count(F.col("_t"), term) + 2 * word_count(F.col("_h"), term))
     if query.strip():
-        score = score + F.when(F.contains(casefold(F.col("excerpt")), F.lit(query.casefold())), 5).otherwise(0)
-    return words.withColumn("score", score.cast("bigint")).drop("_t", "_h")
+        score = score + F.when(F.contains("_t", F.lit(query.casefold())), 5).otherwise(0)
+    return folded.withColumn("score", score.cast("bigint")).drop("_t", "_h")
 
 
 def keys(found: DataFrame) -> DataFrame:

@@ -41,3 +41,11 @@ def test_long_sections_are_cut_by_code_points(spark):
 def test_strip_takes_the_white_space_of_all_scripts(spark):
     odd = "\x1c\x1f  　  x  y\x85\n\x1d"
     assert spark.range(1).select(X.strip(F.lit(odd)), X.strip(F.lit("​ a")), X.strip(F.lit(" \n")), X.strip(F.lit(None).cast("string"))).first() == (odd.strip(), "​ a", "", None)
+
+
+def test_scores_count_words_without_taking_the_others_out(spark):
+    odd = "total total_ Total,total \U0001d49ctotal \U0001f600total totals subtotal STRASSE straße 7 77 7.7"
+    x = R.scored(spark.createDataFrame([(odd, "Total 7"), ("", None), (None, None)], "excerpt string, heading string"), "7 total strasse")
+    plan = x._jdf.queryExecution().optimizedPlan().toString()
+    assert X.TERM not in plan and plan.count("lower(") == 2  # a text is folded once
+    assert [r.score for r in x.collect()] == [4 + 2 + 3 + 2 * 2, 0, None]
