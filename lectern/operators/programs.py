@@ -13,7 +13,7 @@ for every value; keywords that are not listed here are passed over, as unknown o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
@@ -28,36 +28,82 @@ NUMBERS, COUNTS = ("minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum",
 #: Fixed value: how far a sum may be from its target.
 TOLERANCE = 0.01
 
-_NODE = "struct<ppath:string,path:string,name:string,v:variant>"
+
+def _escaped(name: Column) -> Column:
+    """A member's name as a segment of a path."""
+    return F.replace(F.replace(name, F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
+
+
+def _leaf() -> Column:
+    return F.col("members").isNull() & F.col("items").isNull()
+
+
+def _shape() -> Column:
+    """What kind of leaf a node (members, items, v) is, in Spark's words."""
+    return F.when(_leaf(), F.schema_of_variant("v"))
+
+
+def _kind() -> Column:
+    """The kind of a node (members, items, _s: its shape)."""
+    shape = F.col("_s")
+    named = F.when(shape == "STRING", "string").when(shape == "BOOLEAN", "boolean").when(shape == "VOID", "null").when(shape == "BIGINT", "integer").otherwise("number")
+    return F.when(F.col("members").isNotNull(), "object").when(F.col("items").isNotNull(), "array").otherwise(named)
+
+
+def _size() -> Column:
+    """Items, members or characters of a node (members, items, _s, text)."""
+    return F.when(F.col("members").isNotNull(), F.size("members")).when(F.col("items").isNotNull(), F.col("items")).when(F.col("_s") == "STRING", F.length("text"))
 
 
 def json_nodes(rows: DataFrame, value: str, depth: int, *keep: str) -> DataFrame:
-    """(keep, ppath, path, parent, parent_path, name, kind, text, json, size): the nodes of the JSON in ``value``, down to ``depth``
-    below its root. ``ppath`` has the places of array items, ``path`` a star; ``text`` is a leaf's value, ``json`` that of any node;
-    ``size`` counts items, members or characters."""
-    none = F.array().cast(f"array<{_NODE}>")
-    node = lambda p, q, name, v: F.struct(p.alias("ppath"), q.alias("path"), name.alias("name"), v.alias("v"))
+    """(keep, ppath, path, parent, parent_path, name, members, items, v, kind, text, json, size): the nodes of the JSON in ``value``, down
+    to ``depth`` below its root. ``ppath`` has the places of array items, ``path`` a star; ``members`` are the names of an object's
+    members, ``items`` counts those of an array, ``v`` is the node itself; ``text`` is a leaf's value, ``json`` that of any node;
+    ``size`` counts items, members or characters.
+
+    A level at a time, all in one pass over the rows: the nodes of the last level give themselves and what is in them, those above only
+    themselves. The plan grows with ``depth``."""
+    none, unnamed = F.array().cast("array<variant>"), F.lit(None).cast("string")
+    at = ["ppath", "path", "parent", "parent_path", "name"]
+    state = [*keep, *at, "_level"]
+    x = rows.select(*keep, F.try_parse_json(value).alias("v"), *(F.lit("").alias(c) for c in at[:2]), *(unnamed.alias(c) for c in at[2:]), F.lit(0).alias("_level"), F.lit(None).cast("array<string>").alias("members"), F.lit(None).cast("int").alias("items"))
+    x = x.where("v is not null") if depth == 0 else x
+    for d in range(depth + 1):
+        last = lambda c: F.when(F.col("_level") == d, c)  # noqa: E731, B023
+        x = x.select(*state, "v", "members", "items", last(F.col("v").try_cast("map<string,variant>")).alias("_m"), last(F.col("v").try_cast("array<variant>")).alias("_a"))
+        items = F.coalesce(F.when(F.col("_a").isNotNull(), F.size("_a")), "items")
+        x = x.select(*state, "v", F.coalesce(F.map_keys("_m"), "members").alias("members"), items.alias("items"), F.coalesce(F.map_values("_m"), "_a", none).alias("_in"))
+        if d == depth:
+            break
+        x = x.select(*state, "members", "items", F.posexplode(F.when(F.col("v").isNotNull(), F.concat(F.array("v"), "_in"))).alias("_i", "v"))
+        name = F.coalesce(_escaped(F.element_at("members", F.col("_i"))), (F.col("_i") - 1).cast("string"))
+        x = x.select(*state, "members", "items", "v", (F.col("_i") == 0).alias("_own"), F.when(F.col("_i") > 0, name).alias("_n"))
+        own, n = F.col("_own"), F.coalesce("_n", F.lit(""))
+        x = x.select(
+            *keep, F.when(own, F.col("ppath")).otherwise(F.concat("ppath", F.lit("/"), n)).alias("ppath"), F.when(own, F.col("path")).otherwise(F.concat("path", F.lit("/"), F.when(F.col("members").isNull(), "*").otherwise(n))).alias("path"),
+            F.when(own, F.col("parent")).otherwise(F.col("ppath")).alias("parent"), F.when(own, F.col("parent_path")).otherwise(F.col("path")).alias("parent_path"), F.when(own, F.col("name")).otherwise(F.col("_n")).alias("name"),
+            F.when(own, F.col("_level")).otherwise(d + 1).alias("_level"), "v", F.when(own, F.col("members")).alias("members"), F.when(own, F.col("items")).alias("items"),
+        )
+    x = x.select(*keep, *at, "members", "items", "v", _shape().alias("_s"), F.when(_leaf(), F.col("v").try_cast("string")).alias("text"))
+    return x.select(*keep, *at, "members", "items", "v", _kind().alias("kind"), "text", F.to_json("v").alias("json"), _size().alias("size"))
 
-    def below(n: Column) -> Column:
-        def member(e: Column) -> Column:
-            key = F.replace(F.replace(e["key"], F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
-            return node(F.concat(n["ppath"], F.lit("/"), key), F.concat(n["path"], F.lit("/"), key), key, e["value"])
 
-        items = F.transform(n["v"].try_cast("array<variant>"), lambda x, i: node(F.concat(n["ppath"], F.lit("/"), i.cast("string")), F.concat(n["path"], F.lit("/*")), i.cast("string"), x))
-        members = F.transform(F.map_entries(n["v"].try_cast("map<string,variant>")), member)
-        return F.concat(F.coalesce(members, none), F.coalesce(items, none))
+def _json_places(rows: DataFrame, value: str, depth: int, *keep: str) -> DataFrame:
+    """(keep, ppath, text, json) of ``json_nodes``, by arrays in arrays: slower, but the plan stays short for texts of many levels."""
+    none = F.array().cast("array<struct<ppath:string,v:variant>>")
+    node = lambda n, name, v: F.struct(F.concat(n["ppath"], F.lit("/"), name).alias("ppath"), v.alias("v"))
+
+    def below(n: Column) -> Column:
+        members = F.transform(F.map_entries(n["v"].try_cast("map<string,variant>")), lambda e: node(n, _escaped(e["key"]), e["value"]))
+        items = F.transform(n["v"].try_cast("array<variant>"), lambda x, i: node(n, i.cast("string"), x))
+        return F.coalesce(members, items, none)
 
     x = rows.select(*keep, F.try_parse_json(value).alias("_v")).where("_v is not null")
-    x = x.select(*keep, F.array(node(F.lit(""), F.lit(""), F.lit(None).cast("string"), F.col("_v"))).alias("_l0"))
+    x = x.select(*keep, F.array(F.struct(F.lit("").alias("ppath"), F.col("_v").alias("v"))).alias("_l0"))
     for d in range(1, depth + 1):
         x = x.withColumn(f"_l{d}", F.flatten(F.transform(f"_l{d - 1}", below)))
-    n = x.select(*keep, F.explode(F.concat(*(f"_l{d}" for d in range(depth + 1)))).alias("n")).select(*keep, "n.*")
-    shape = F.schema_of_variant("v")
-    kind = F.when(F.startswith(shape, F.lit("OBJECT")), "object").when(F.startswith(shape, F.lit("ARRAY")), "array").when(shape == "STRING", "string").when(shape == "BOOLEAN", "boolean").when(shape == "VOID", "null").when(shape == "BIGINT", "integer").otherwise("number")
-    leaf = F.col("v").try_cast("string")
-    size = F.when(kind == "array", F.size(F.col("v").try_cast("array<variant>"))).when(kind == "object", F.size(F.map_keys(F.col("v").try_cast("map<string,variant>")))).when(kind == "string", F.length(leaf))
-    above = lambda c: F.when(F.col("name").isNotNull(), F.regexp_replace(c, "/[^/]*$", ""))
-    return n.select(*keep, "ppath", "path", above("ppath").alias("parent"), above("path").alias("parent_path"), "name", kind.alias("kind"), F.when(~kind.isin("object", "array"), leaf).alias("text"), F.to_json("v").alias("json"), size.alias("size"))
+    x = x.select(*keep, F.explode(F.concat(*(f"_l{d}" for d in range(depth + 1)))).alias("n")).select(*keep, "n.ppath", F.to_json("n.v").alias("json"), F.col("n.v").alias("v"))
+    return x.select(*keep, "ppath", F.when(~F.substr("json", F.lit(1), F.lit(1)).isin("{", "["), F.col("v").try_cast("string")).alias("text"), "json")
 
 
 def markdown_fields(schemas: DataFrame) -> DataFrame:
@@ -100,7 +146,7 @@ def schema_version(schema: Column) -> Column:
 def schema_rules(schemas: DataFrame, depth: int = 12) -> DataFrame:
     """(schema_id, path, keyword, argument) of the schemas' texts: a row a keyword, several for required names, and "declared" for every
     property. Arguments are plain text, lists and objects JSON. ``depth`` counts the levels of the schema's text."""
-    n = json_nodes(schemas, "schema", depth, "schema_id")
+    n = _json_places(schemas, "schema", depth, "schema_id")
 
     def step(a: Column, seg: Column) -> Column:
         make = lambda path, mode, word: F.struct(path.alias("path"), F.lit(mode).alias("mode"), word.alias("word"))
@@ -136,44 +182,66 @@ def schema_faults(ids: DataFrame, rules: DataFrame) -> DataFrame:
     return own.unionByName(lacks(root, "type", "root_is_no_object")).unionByName(lacks(fields, "properties", "no_fields"))
 
 
+#: Keywords that a node breaks by its kind or its items, by the value of a leaf, and all that it breaks by itself.
+_BY_KIND, _BY_TEXT = ("type", "minItems", "maxItems"), ("pattern", "format", "minLength", "maxLength", *NUMBERS)
+_OWN = (*_BY_KIND, *_BY_TEXT, "enum", "const")
+
+
 def _breaks() -> Column:
-    """Whether a node (kind, text, json, size) breaks the rule (keyword, argument) of its path."""
+    """Whether a node (kind, text, size, v) breaks the rule (keyword, argument, and what ``violations`` has read from it) of its path."""
     kind, word, arg = F.col("kind"), F.col("keyword"), F.col("argument")
-    v, a = F.col("text").try_cast("double"), arg.try_cast("double")
+    v, a = F.col("text").try_cast("double"), F.col("number")
     number, text, size = kind.isin("integer", "number"), kind == "string", F.col("size")
-    kinds = F.when(F.startswith(arg, F.lit("[")), F.from_json(arg, "array<string>")).otherwise(F.array(arg))
+    kinds = F.col("kinds")
     in_kind = F.array_contains(kinds, kind) | ((kind == "integer") & F.array_contains(kinds, "number")) | ((kind == "number") & F.array_contains(kinds, "integer") & (v == F.floor(v)))
-    listed = F.transform(F.try_parse_json(arg).try_cast("array<variant>"), lambda x: F.to_json(x))
+    listed = F.array_contains("listed", F.to_json("v"))
     steps = v / a
     no_date = ~F.col("text").rlike(DATE) | F.try_to_date("text", "yyyy-MM-dd").isNull()
     no_time = ~F.col("text").rlike(DATE_TIME) | F.try_to_timestamp("text").isNull()
     wrong_format = F.when(arg == "date", no_date).when(arg == "date-time", no_time).when(arg == "email", ~F.contains("text", F.lit("@"))).otherwise(False)
     cases = {
-        "type": ~in_kind, "enum": ~F.array_contains(listed, F.col("json")), "const": F.col("json") != F.to_json(F.try_parse_json(arg)), "pattern": text & ~F.rlike(F.col("text"), arg), "format": text & wrong_format,
+        "type": ~in_kind, "enum": ~listed, "const": ~listed, "pattern": text & ~F.rlike(F.col("text"), arg), "format": text & wrong_format,
         "minLength": text & (size < a), "maxLength": text & (size > a), "minItems": (kind == "array") & (size < a), "maxItems": (kind == "array") & (size > a),
         "minimum": number & (v < a), "maximum": number & (v > a), "exclusiveMinimum": number & (v <= a), "exclusiveMaximum": number & (v >= a), "multipleOf": number & (F.abs(steps - F.round(steps)) > 1e-9),
     }
-    out = F.lit(False)
-    for name, broken in cases.items():
-        out = F.when(word == name, broken).otherwise(out)
+    out = F
+    for name in _OWN:
+        out = out.when(word == name, cases[name])
     return F.coalesce(out, F.lit(False))
 
 
 def violations(nodes: DataFrame, rules: DataFrame, *keys: str) -> DataFrame:
     """(keys, ppath, keyword, argument): every rule that a value breaks, at the node that breaks it (for required and
     additionalProperties: at the member that is missing or not declared). ``nodes``: json_nodes with schema_id and the ``keys`` of
-    a value among the columns kept; ``rules``: schema_rules. Nodes are written once."""
-    at = ["schema_id", "path"]
-    nodes = written(nodes, "nodes")
-    own = rules.where(~F.col("keyword").isin("required", "additionalProperties", "declared"))
-    broken = nodes.join(own, at).where(_breaks()).select(*keys, "ppath", "keyword", "argument")
-    objects = nodes.where("kind = 'object'").select(*keys, *at, "ppath")
-    wanted = objects.join(rules.where("keyword = 'required'"), at).withColumn("ppath", F.concat("ppath", F.lit("/"), "argument"))
-    missing = wanted.join(nodes.select(*keys, "schema_id", "ppath"), [*keys, "schema_id", "ppath"], "left_anti").select(*keys, "ppath", "keyword", "argument")
-    closed = rules.where("keyword = 'additionalProperties' and argument = 'false'").select("schema_id", F.col("path").alias("parent_path"), "keyword", "argument")
-    members = nodes.where("name is not null").join(objects.select(*keys, "schema_id", F.col("ppath").alias("parent")), [*keys, "schema_id", "parent"], "left_semi")
-    extra = members.join(closed, ["schema_id", "parent_path"]).join(rules.where("keyword = 'declared'").select(*at), at, "left_anti").select(*keys, "ppath", "keyword", "argument")
-    return broken.unionByName(missing).unionByName(extra)
+    a value among the columns kept; ``rules``: schema_rules.
+
+    One pass over the nodes: an object has the names of its members, and a rule what was read from its argument and, where it lets in
+    no other members, the names declared there. Of a node only what its rule looks at is worked out. What is found is written once."""
+    word, arg, path = F.col("keyword"), F.col("argument"), F.col("path")
+    declared, closed = word == "declared", (word == "additionalProperties") & (arg == "false")
+    name = F.replace(F.replace(F.substring_index(path, "/", -1), F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~"))
+    r = rules.where(word.isin(*_OWN, "required") | closed | (declared & (path != "")))
+    r = r.withColumn("_owner", F.when(declared, F.regexp_replace(path, "/[^/]*$", "")).otherwise(path))
+    r = r.withColumn("names", F.collect_set(F.when(declared, name)).over(Window.partitionBy("schema_id", "_owner"))).where(~declared)
+    as_list = F.startswith(arg, F.lit("["))
+    listed = F.when(word == "enum", F.transform(F.try_parse_json(arg).try_cast("array<variant>"), lambda x: F.to_json(x))).when(word == "const", F.array(F.to_json(F.try_parse_json(arg))))
+    r = r.select(
+        "schema_id", "path", "keyword", "argument", F.when(closed, F.col("names")).alias("names"), listed.alias("listed"),
+        F.when(word == "type", F.when(as_list, F.from_json(arg, "array<string>")).otherwise(F.array(arg))).alias("kinds"), arg.try_cast("double").alias("number"),
+    )
+    member = (
+        F.when(word == "required", F.when(~F.array_contains("members", arg), F.array(arg))).when(word == "additionalProperties", F.array_except("members", "names"))
+        .when(_breaks(), F.array(F.lit(None).cast("string")))
+    )
+    x = nodes.join(r, ["schema_id", "path"]).select(*keys, "ppath", "keyword", "argument", "names", "listed", "kinds", "number", "members", "items", "v")
+    x = x.select("*", F.when(word.isin(*_BY_KIND, *_BY_TEXT), _shape()).alias("_s"))
+    x = x.select("*", F.when(word.isin(*_BY_KIND, *_BY_TEXT), _kind()).alias("kind"))
+    read = (word.isin(*_BY_TEXT) & _leaf()) | ((word == "type") & (F.col("kind") == "number"))
+    x = x.select("*", F.when(read, F.col("v").try_cast("string")).alias("text"))
+    x = x.select("*", _size().alias("size"))
+    x = x.select(*keys, "ppath", "keyword", "argument", F.explode(member).alias("_member"))
+    place = F.when(F.col("_member").isNull(), F.col("ppath")).otherwise(F.concat("ppath", F.lit("/"), _escaped(F.col("_member"))))
+    return written(x.select(*keys, place.alias("ppath"), "keyword", "argument"), "violations")
 
 
 def operands(nodes: DataFrame, *keys: str) -> DataFrame:

@@ -9,11 +9,12 @@ from ..operators import programs as P
 from ..sources import adapt
 
 
-def _orders(spark: SparkSession, d: str) -> DataFrame:
-    """Orders as JSON: members that are missing, of another kind, not declared or out of range, by rules on their key."""
+def _orders(spark: SparkSession, d: str, orders: DataFrame | None = None, *keep: str) -> DataFrame:
+    """Orders as JSON: members that are missing, of another kind, not declared or out of range, by rules on their key. ``orders``: the
+    table, or it with columns to ``keep``."""
     items = F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("bigint").alias("qty"), F.col("l_returnflag").alias("flag"))))
-    lines = adapt.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(items.alias("items"))
-    o = adapt.table(spark, d, "orders").join(lines, "o_orderkey", "left")
+    lines = adapt.table(spark, d, "lineitem").repartition("l_orderkey").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(items.alias("items"))
+    o = (adapt.table(spark, d, "orders") if orders is None else orders).repartition("o_orderkey").join(lines, "o_orderkey", "left")
     key, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
     note = F.when(key % 6 == 0, F.lit("7")).when(key % 3 == 0, F.lit('"seen"'))
     total = F.aggregate("items", F.lit(0).cast("bigint"), lambda a, x: a + x["qty"])
@@ -23,7 +24,7 @@ def _orders(spark: SparkSession, d: str) -> DataFrame:
         F.when(key % 9 == 0, total + 1).when(key % 11 != 0, total).alias("sum"), F.when(key % 5 == 0, 1).alias("bonus"), F.when(key % 10 == 0, F.lit("x")).alias("extra"),
     )
     text = F.concat(F.regexp_replace(F.to_json(value), r"\}$", ""), F.coalesce(F.concat(F.lit(',"note":'), note), F.lit("")), F.lit("}"))
-    return o.select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("scope"), text.alias("value"))
+    return o.select("o_orderkey", F.col("o_orderstatus").alias("scope"), *keep, text.alias("value"))
 
 
 #: (path, keyword, argument as an expression of n_nationkey, when the nation's schema has the rule)
@@ -43,7 +44,8 @@ def x14_schema_violations(spark: SparkSession, d: str) -> DataFrame:
     rules = F.array(*(F.struct(F.lit(p).alias("path"), F.lit(k).alias("keyword"), F.expr(f"cast({a} as string)").alias("argument"), F.expr(w).alias("here")) for p, k, a, w in _RULES))
     r = adapt.table(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("schema_id"), F.explode(rules).alias("r")).where("r.here").select("schema_id", "r.path", "r.keyword", "r.argument")
     c = adapt.table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("int").alias("schema_id"))
-    return P.violations(P.json_nodes(_orders(spark, d).join(c, "o_custkey"), "value", 3, "o_orderkey", "schema_id"), r, "o_orderkey")
+    o = _orders(spark, d, adapt.table(spark, d, "orders").join(c, "o_custkey"), "schema_id")
+    return P.violations(P.json_nodes(o, "value", 3, "o_orderkey", "schema_id"), r, "o_orderkey")
 
 
 def _fields(spark: SparkSession, d: str) -> DataFrame:

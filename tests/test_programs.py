@@ -1,6 +1,7 @@
 """Schemas compiled to rules, and rules joined with JSON values."""
 
 import json
+import os
 import random
 import re
 from datetime import date
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import programs as P
+from lectern.sources.stage import shared_folder
 
 
 def schemas_of(spark, texts):
@@ -109,6 +111,27 @@ def test_violations_equal_brute_force(spark):
     assert sorted((r.doc, r.ppath, r.keyword) for r in got) == sorted(want)
 
 
+def test_violations_take_each_value_by_itself_in_one_pass(spark):
+    """Two values under one key, required and declared names with a slash or a tilde, and an object at the last level."""
+    values = [(1, 0, '{"a/b": 1, "x~y": {"q": 1}}'), (1, 0, '{"x~y": {}}'), (2, 0, '{"a/b": 1, "x~y": {"q": 1, "z/": 2}, "c/d": 3}'), (3, 0, "null"), (4, 0, "[]")]
+    docs = spark.createDataFrame(values, "doc int, schema_id int, value string")
+    schema = {"type": "object", "required": ["a/b"], "additionalProperties": False, "properties": {"a/b": {}, "x~y": {"required": ["q"], "additionalProperties": False, "properties": {"q": {}}}}}
+    rules = P.schema_rules(spark.createDataFrame([(0, json.dumps(schema))], "schema_id int, schema string"))
+    for depth in (1, 2):
+        got = P.violations(P.json_nodes(docs, "value", depth, "doc", "schema_id"), rules, "doc").collect()
+        assert sorted((r.doc, r.ppath, r.keyword) for r in got) == [(1, "/a~1b", "required"), (1, "/x~0y/q", "required"), (2, "/c~1d", "additionalProperties"), (2, "/x~0y/z~1", "additionalProperties"), (3, "", "type"), (4, "", "type")], depth
+
+
+def test_only_what_is_found_is_written(spark):
+    """Values meet their rules where they are taken apart: their nodes are neither written nor joined with themselves."""
+    docs = spark.range(2000).selectExpr("id as doc", "0 as schema_id", """'{"a":1,"b":[{"c":2},{"c":3}]}' as value""")
+    rules = spark.createDataFrame([(0, "", "required", "a"), (0, "/b/*/c", "maximum", "2"), (0, "", "additionalProperties", "false"), (0, "/a", "declared", None), (0, "/b", "declared", None)], "schema_id int, path string, keyword string, argument string")
+    folder = shared_folder(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    found = P.violations(P.json_nodes(docs, "value", 3, "doc", "schema_id"), rules, "doc")
+    assert [spark.read.parquet(f"{folder}/{new}").count() for new in set(os.listdir(folder)) - before] == [2000] == [found.count()]
+
+
 def test_schemas_that_are_none(spark):
     bad = [{"type": "array"}, {"type": "object", "properties": {}}, {"type": "object", "properties": {"a": {"type": "text", "minimum": "x", "minLength": 1.5, "enum": "z"}}}, {"type": "object", "properties": {"a": {"type": ["string", "null"]}}}]
     s = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(bad)], "schema_id int, schema string")
