@@ -11,10 +11,11 @@ from ..sources import adapt
 
 def _orders(spark: SparkSession, d: str, orders: DataFrame | None = None, *keep: str) -> DataFrame:
     """Orders as JSON: members that are missing, of another kind, not declared or out of range, by rules on their key. ``orders``: the
-    table, or it with columns to ``keep``."""
+    table, or it with columns to ``keep``. All shuffle partitions are kept: what is done with the JSON costs far more than its bytes tell."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     items = F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("bigint").alias("qty"), F.col("l_returnflag").alias("flag"))))
-    lines = adapt.table(spark, d, "lineitem").repartition("l_orderkey").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(items.alias("items"))
-    o = (adapt.table(spark, d, "orders") if orders is None else orders).repartition("o_orderkey").join(lines, "o_orderkey", "left")
+    lines = adapt.table(spark, d, "lineitem").repartition(parts, "l_orderkey").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(items.alias("items"))
+    o = (adapt.table(spark, d, "orders") if orders is None else orders).repartition(parts, "o_orderkey").join(lines, "o_orderkey", "left")
     key, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
     note = F.when(key % 6 == 0, F.lit("7")).when(key % 3 == 0, F.lit('"seen"'))
     total = F.aggregate("items", F.lit(0).cast("bigint"), lambda a, x: a + x["qty"])
